@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from strandline.llm.chat import OP1_SQL, op1_chat_format
 from strandline.llm.packing import op8_best_fit
+from strandline.llm.quality import op9_quality
+from strandline.llm.secrets import op6_secrets
 from strandline.llm.token_records import op4_token_records
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": op1_chat_format,
         "op4_token_records": op4_token_records,
+        "op6_secrets": op6_secrets,
         "op8_best_fit": op8_best_fit,
+        "op9_quality": op9_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL}
