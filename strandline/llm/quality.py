@@ -189,19 +189,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and quality_score (0 to 1; null and empty texts are scored as a passage of zeros)."""
+    """All columns of ``docs`` and quality_score (0 to 1; null and empty texts are scored as a passage of zeros).
+
+    Rows are scored one by one, repeated ones alike; a column quality_score of ``docs`` is replaced.
+    """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    at = docs.columns.index("text")
+    docs = docs.drop("quality_score")
+
+    names = docs.columns
+    at = names.index("text")
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [model.score(*passages(data, offs)) for _, _, data, offs in _words.blocks(b.column(at))]
             y = pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, y], [*docs.columns, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, y], [*names, "quality_score"])
 
-    rest = [f for f in docs.schema.fields if f.name != "quality_score"]
-    return docs.mapInArrow(look, StructType([*rest, StructField("quality_score", DoubleType())]))
+    return docs.mapInArrow(look, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

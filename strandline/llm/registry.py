@@ -5,19 +5,23 @@ from __future__ import annotations
 from strandline.llm.chat import OP1_SQL, op1_chat_format
 from strandline.llm.packing import op8_best_fit
 from strandline.llm.quality import op9_quality
+from strandline.llm.revisits import OP10_SQL, op10_revisits
 from strandline.llm.secrets import op6_secrets
+from strandline.llm.tiling import op2_decontamination
 from strandline.llm.token_records import op4_token_records
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_decontamination": op2_decontamination,
         "op4_token_records": op4_token_records,
         "op6_secrets": op6_secrets,
         "op8_best_fit": op8_best_fit,
         "op9_quality": op9_quality,
+        "op10_revisits": op10_revisits,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op10_revisits": OP10_SQL}

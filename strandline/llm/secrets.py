@@ -213,7 +213,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.01) -> DataF
     """``docs`` with every found span replaced by ``mark`` in text (touching spans by one) and n_chars counted anew."""
     usual = usual_symbols(docs)
     least = thresholds(docs, usual, rate)
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def clean(text: str | None) -> str | None:
         if not text:
@@ -228,7 +229,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.01) -> DataF
     def replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(b.columns)], docs.columns)
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(b.columns)], names)
 
     out = docs.mapInArrow(replace, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
