@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm.chat import OP1_SQL, op1_chat_format
+from strandline.llm.near_vectors import op3_near_vectors
 from strandline.llm.packing import op8_best_fit
 from strandline.llm.quality import op9_quality
 from strandline.llm.revisits import OP10_SQL, op10_revisits
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_decontamination": op2_decontamination,
+        "op3_near_vectors": op3_near_vectors,
         "op4_token_records": op4_token_records,
         "op6_secrets": op6_secrets,
         "op8_best_fit": op8_best_fit,
