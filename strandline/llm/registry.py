@@ -6,6 +6,7 @@ from strandline.llm.chat import OP1_SQL, op1_chat_format
 from strandline.llm.near_vectors import op3_near_vectors
 from strandline.llm.packing import op8_best_fit
 from strandline.llm.quality import op9_quality
+from strandline.llm.repeats import op5_repeats
 from strandline.llm.revisits import OP10_SQL, op10_revisits
 from strandline.llm.secrets import op6_secrets
 from strandline.llm.tiling import op2_decontamination
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination,
         "op3_near_vectors": op3_near_vectors,
         "op4_token_records": op4_token_records,
+        "op5_repeats": op5_repeats,
         "op6_secrets": op6_secrets,
         "op8_best_fit": op8_best_fit,
         "op9_quality": op9_quality,
