@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm.chat import OP1_SQL, op1_chat_format
+from strandline.llm.near_docs import op7_near_documents
 from strandline.llm.near_vectors import op3_near_vectors
 from strandline.llm.packing import op8_best_fit
 from strandline.llm.quality import op9_quality
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_token_records": op4_token_records,
         "op5_repeats": op5_repeats,
         "op6_secrets": op6_secrets,
+        "op7_near_documents": op7_near_documents,
         "op8_best_fit": op8_best_fit,
         "op9_quality": op9_quality,
         "op10_revisits": op10_revisits,
