@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from strandline.operators import folds, sequences
+
+_ALL = {**sequences.QUERIES, **folds.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: build for name, (build, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
