@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.operators import folds, sequences
+from strandline.operators import folds, metrics, sequences
 
-_ALL = {**sequences.QUERIES, **folds.QUERIES}
+_ALL = {**sequences.QUERIES, **folds.QUERIES, **metrics.QUERIES}
 
 
 def queries() -> dict:
