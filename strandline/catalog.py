@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from strandline.functions import text
 from strandline.operators import folds, metrics, sequences
+from strandline.plans import ranges, sweeps
 
-_ALL = {**sequences.QUERIES, **folds.QUERIES, **metrics.QUERIES}
+_ALL = {**sequences.QUERIES, **folds.QUERIES, **metrics.QUERIES, **ranges.QUERIES, **sweeps.QUERIES, **text.QUERIES}
 
 
 def queries() -> dict:
