@@ -5,8 +5,10 @@ from __future__ import annotations
 from strandline.functions import text
 from strandline.operators import folds, metrics, sequences
 from strandline.plans import ranges, sweeps
+from strandline.sources import files
+from strandline.streaming import flows
 
-_ALL = {**sequences.QUERIES, **folds.QUERIES, **metrics.QUERIES, **ranges.QUERIES, **sweeps.QUERIES, **text.QUERIES}
+_ALL = {k: v for m in (sequences, folds, metrics, ranges, sweeps, text, files, flows) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict:
