@@ -1,0 +1,173 @@
+"""Cases worked out by hand, and what holds for any input."""
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from strandline.functions import text
+from strandline.operators import folds, metrics, sequences
+from strandline.plans import ranges, sweeps
+from strandline.session import pct_nearest
+from strandline.sources import files
+
+
+def track(spark, values, column="v"):
+    rows = [(1, i, None if v is None else float(v)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, f"track long, frame long, {column} double")
+
+
+def column(df, name):
+    return [r[name] for r in df.orderBy("frame").collect()]
+
+
+def test_fill(spark):
+    assert column(sequences.fill(track(spark, [None, 5, None, None, 9, None])), "filled") == [5, 5, 5, 5, 9, 9]
+
+
+def test_fill_without_any_value(spark):
+    assert column(sequences.fill(track(spark, [None, None])), "filled") == [None, None]
+
+
+def test_interpolate(spark):
+    assert column(sequences.interpolate(track(spark, [None, 4, None, None, 10, None])), "filled") == [4, 4, 6, 8, 10, 10]
+
+
+def test_runs(spark):
+    t = track(spark, [1 if i in (2, 3, 4, 7, 9, 10) else 0 for i in range(12)])
+    found = sequences.runs(t, F.col("v") == 1).orderBy("first").collect()
+    assert [(r["first"], r["last"]) for r in found] == [(2, 4), (7, 7), (9, 10)]
+
+
+def test_ema_both_ways(spark):
+    t = track(spark, [0, 8])
+    on = column(folds.scan(t, lambda: folds.Ema(0.5), "v", "y"), "y")
+    back = column(folds.scan(t, lambda: folds.Ema(0.5), "v", "y", backward=True), "y")
+    assert (on, back) == ([0, 4], [4, 8])
+
+
+def test_bucket_is_strict(spark):
+    label = sequences.bucket(F.lit(0.25), [0.25, 0.5], ["low", "mid", "high"])
+    assert spark.range(1).select(label.alias("x")).first()["x"] == "mid"
+
+
+def test_nearest_rank(spark):
+    a = F.array(*[F.lit(float(i)) for i in range(1, 12)])
+    assert spark.range(1).select(pct_nearest(a, 0.95).alias("x")).first()["x"] == 11
+
+
+def test_overlap_of_empty_sets(spark):
+    r = spark.range(1).select(metrics.iou(F.lit(0), F.lit(0)).alias("i"), metrics.dice(F.lit(0), F.lit(0), F.lit(0)).alias("d")).first()
+    assert (r["i"], r["d"]) == (1, 1)
+
+
+@pytest.mark.parametrize("policy", ["tail", "ceil", "cover"])
+def test_windows_cover_every_frame(spark, policy):
+    totals = spark.createDataFrame([(n,) for n in (1, 23, 24, 25, 40, 41, 200)], "total long")
+    for r in ranges.windows(totals, 24, 8, policy).groupBy("total").agg(F.collect_list(F.struct("start", "end")).alias("w")).collect():
+        covered = {f for w in r["w"] for f in range(w["start"], w["end"])}
+        assert covered == set(range(r["total"]))
+
+
+def test_range_join_equals_nested_loop(spark):
+    p = spark.createDataFrame([(1, i) for i in range(50)], "track long, frame long")
+    w = spark.createDataFrame([(1, 0, 7), (1, 5, 31), (1, 31, 31), (1, 40, 90)], "track long, start long, end long")
+    got = {(r["frame"], r["start"]) for r in ranges.range_join(p, w, ["track"], "frame", 8).collect()}
+    assert got == {(f, s) for f in range(50) for s, e in ((0, 7), (5, 31), (31, 31), (40, 90)) if s <= f < e}
+
+
+def test_frame_counts(spark):
+    n = spark.createDataFrame([(1,), (5,), (7,), (9,), (81,)], "n long")
+    got = n.select(ranges.latent_frames(F.col("n")).alias("l"), ranges.align_down(F.col("n")).alias("d"), ranges.align_up(F.col("n")).alias("u")).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1), (2, 5, 5), (2, 5, 9), (3, 9, 9), (21, 81, 81)]
+
+
+def test_grid_has_each_combination_once(spark):
+    a = spark.createDataFrame([("x", 0), ("y", 1)], "a string, a_pos int")
+    b = spark.createDataFrame([(5, 0), (6, 1), (7, 2)], "b int, b_pos int")
+    got = [tuple(r) for r in sweeps.grid([a, b]).orderBy("id").collect()]
+    assert got == [(i * 3 + j, x, y) for i, x in enumerate("xy") for j, y in enumerate((5, 6, 7))]
+
+
+def test_float_range_and_splits():
+    assert sweeps.float_range(1, 0, 0.25) == [1, 0.75, 0.5, 0.25, 0]
+    assert sweeps.step_splits(20, 4, 16, 4) == ["4,16", "8,12", "12,8", "16,4"]
+
+
+def test_names(spark):
+    r = spark.range(1).select(text.safe_name(F.lit(3.0)).alias("a"), text.safe_name(F.lit(3.5)).alias("b"), text.safe_name(F.lit("a b/c")).alias("c")).first()
+    assert tuple(r) == ("3", "3-5", "a-b-c")
+
+
+def test_video_id(spark):
+    urls = ["https://youtu.be/ABCDEFGHIJK?si=x", "https://www.youtube.com/watch?a=1&v=ABCDEFGHIJK", "https://YOUTUBE.com/shorts/ABCDEFGHIJK", "https://example.org/ABCDEFGHIJK"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(text.video_id(F.col("u")).alias("v"))
+    assert [r["v"] for r in df.collect()] == ["ABCDEFGHIJK"] * 3 + [""]
+
+
+def test_clock_and_budget(spark):
+    r = spark.range(1).select(text.clock(F.lit(3725)).alias("a"), text.clock(F.lit(65)).alias("b"), text.clock(F.lit(None).cast("int")).alias("c"), text.token_budget(F.lit(90)).alias("d")).first()
+    assert tuple(r) == ("1:02:05", "01:05", "??:??", 32780)
+
+
+def test_split_last_marker(spark):
+    head, tail = text.split_last_marker(F.lit("a cat NEGATIVE: x negative: dog "), "negative:")
+    assert tuple(spark.range(1).select(head.alias("h"), tail.alias("t")).first()) == ("a cat NEGATIVE: x", "dog")
+
+
+def test_components_of_a_mask():
+    m = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 0, 0]], bool)
+    assert folds.components(m).max() == 3
+    assert folds.components(m, eight=False).max() == 4
+    assert folds.components(np.zeros((2, 2), bool)).max() == 0
+
+
+def test_hull_area():
+    assert folds.convex_hull_area([(0, 0), (2, 0), (2, 2), (0, 2), (1, 1)]) == 4
+    assert folds.convex_hull_area([(0, 0), (1, 1)]) == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.floats(-1e3, 1e3), min_size=1, max_size=40))
+def test_filters_keep_bounds_and_length(values):
+    x = np.array(values)
+    for f in (folds.gaussian, folds.median_filter, folds.smooth_path):
+        y = f(x)
+        assert len(y) == len(x)
+    assert folds.gaussian(x).min() >= x.min() - 1e-9 and folds.gaussian(x).max() <= x.max() + 1e-9
+    assert np.abs(folds.smooth_path(x) - x).max() <= 40 + 1e-9
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.floats(1, 100), st.integers(1, 30))
+def test_a_constant_stays(value, n):
+    x = np.full(n, value)
+    for f in (folds.gaussian, folds.median_filter, folds.kalman_rts):
+        assert np.allclose(f(x), x)
+    assert [folds.OneEuro()(value)] == [value]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.floats(0, 10), min_size=1, max_size=60), st.integers(1, 8))
+def test_kept_peaks_are_spaced(values, spacing):
+    at = np.flatnonzero(folds.spaced_peaks(np.array(values), spacing))
+    assert len(at) and (len(at) == 1 or np.diff(at).min() >= spacing)
+
+
+def test_jsonl_keeps_broken_lines_apart(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1, "x": 2.5}\nnot json\n')
+    rows = files.read_jsonl(spark, str(tmp_path), "id long, x double").orderBy("id").collect()
+    assert [(r["id"], r["_corrupt"]) for r in rows] == [(None, "not json"), (1, None)]
+
+
+def test_folder_inventory(spark, tmp_path):
+    for name in ("a/x_2.pt", "a/x_10.pt", "b/y.txt", "b/skip.tmp"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("1")
+    found = files.inventory(spark, f"file://{tmp_path}")
+    assert found.count() == 4
+    assert [r["number"] for r in files.numbered_files(found, "x").collect()] == [2, 10]
+    folder = F.regexp_extract("path", "/([ab])/", 1)
+    kept = files.with_fallback(found, folder, r"\.pt$", r"\.txt$").collect()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in kept) == ["x_10.pt", "x_2.pt", "y.txt"]
