@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from strandline.functions import records, text
+from strandline.functions import configs, records, text
 from strandline.operators import folds, metrics, sequences
 from strandline.plans import ranges, sweeps
 from strandline.sources import files
 from strandline.streaming import flows
 
-_ALL = {k: v for m in (sequences, folds, metrics, ranges, sweeps, text, records, files, flows) for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in (sequences, folds, metrics, ranges, sweeps, text, records, configs, files, flows) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict:
