@@ -255,7 +255,8 @@ def repeated_spans(distinct: DataFrame, group: int = GROUP, shard: int = SHARD)
     """
     n = _common.parts(distinct.sparkSession)
     sizes = distinct.groupBy("phrase").agg(F.count("*").alias("size"))
-    hot = sizes.where(F.col("size") > group).select("phrase")
+    # few at most: each has more than ``group`` contexts; stored, so that the texts need not be shuffled to be told apart
+    hot = _common.bounded(_common.stage(sizes.where(F.col("size") > group).select("phrase"), "hot"), 8)
     cold = distinct.join(hot, "phrase", "left_anti")
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
