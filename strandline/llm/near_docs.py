@@ -17,6 +17,9 @@ from strandline.llm import _common, _words
 SHINGLE = 5
 #: Shingles and rows that one packed block holds, pairs of one leader that meet in one task, sets in one tree.
 BLOCK, BLOCK_ROWS, FAN, TREE = 1 << 20, 60_000, 2048, 256
+#: Bits of a set's signature, as columns of 64.
+BITS = 1024
+SIGNATURE = [f"s{k}" for k in range(BITS // 64)]
 _I64, _U64 = np.int64, np.uint64
 
 
@@ -249,7 +252,11 @@ def _through(batches: Iterable[pa.RecordBatch], count) -> Iterator[pa.RecordBatc
 
 
 def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, n, hashes (sorted, packed) of the chosen documents."""
+    """doc_id, n, hashes (sorted, packed) and signature of the chosen documents.
+
+    A bit of the signature says whether an odd number of the set's hashes falls on it. So two signatures differ in no
+    more bits than the sets do in elements.
+    """
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,19 +264,24 @@ def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 h, first = shingle_sets(data, offs)
                 packed = [h[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)]
                 cols = [b.column(0).slice(i, j - i), pa.array(np.diff(first).astype(_I64)), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "hashes"])
+                at = (h & _U64(BITS - 1)).astype(_I64) + BITS * _words.row_of(first)
+                odd = (np.bincount(at, minlength=BITS * (j - i)) & 1).astype(np.uint8).reshape(j - i, BITS)
+                bits = np.packbits(odd, axis=1).view(_I64)
+                cols += [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "hashes", *SIGNATURE])
 
     rows = docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text"))
     return rows.join(_common.bounded(chosen, 64), "doc_id").select("doc_id", "text").mapInArrow(
-        look, "doc_id long, n long, hashes binary"
+        look, "doc_id long, n long, hashes binary, " + ", ".join(f"{c} long" for c in SIGNATURE)
     )
 
 
 def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
-    """token, doc_id, n: shared tokens in each set's prefix, with the table's rarest tokens first.
+    """token, doc_id, n, place, last: shared tokens in each set's prefix, with the table's rarest tokens first.
 
     If two sets link, they share at least three quarters of either, so a set's n - ceil(0.75 n) + 1 first tokens in
     any order that holds for all sets hold a shared one. Tokens of one set alone bring no pair but fill the prefix.
+    ``place`` is a token's place in its set's order, ``last`` marks the two commonest tokens of a prefix.
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +310,17 @@ def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
             place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             n = sizes[row]
             keep = (place < n - (3 * n + 3) // 4 + 1) & (rarity[order] > 0)
-            cols = [pa.array(h[order][keep].astype(_I64)), pa.array(ids[row[keep]]), pa.array(n[keep])]
-            yield pa.RecordBatch.from_arrays(cols, ["token", "doc_id", "n"])
+            own = row[keep]
+            last = np.append(own[:-2] != own[2:], [True] * min(2, len(own)))
+            cols = [
+                pa.array(h[order][keep].astype(_I64)), pa.array(ids[own]), pa.array(n[keep]), pa.array(place[keep]), pa.array(last),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["token", "doc_id", "n", "place", "last"])
 
     packed = sets.select("doc_id", "n", "hashes").mapInArrow(pack, PACKED)
-    return _exchanged(packed, n_buckets, False, answer).mapInArrow(choose, "token long, doc_id long, n long")
+    return _exchanged(packed, n_buckets, False, answer).mapInArrow(
+        choose, "token long, doc_id long, n long, place long, last boolean"
+    )
 
 
 def tree_links(leader: np.ndarray, sets: list[tuple[int, np.ndarray]]) -> list[int]:
@@ -392,12 +410,18 @@ def _alike(a: Column | str, b: Column | str) -> Column:
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
+def _may_link(a: list[str], b: list[str], n: str, m: str) -> Column:
+    """Whether two signatures leave room for a link: linked sets differ in a seventh of their sizes' sum at most."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return 7 * differ <= F.col(n) + F.col(m)
+
+
 def near_documents(docs: DataFrame, shingles_per_bucket: int = 1 << 21) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when their shingle sets' Jaccard similarity is 0.75.
 
     Words are lower-cased (A-Z). Equal sets are one node from the start. A document whose shingles are to more than a
     quarter its own can have no partner; for the others prefixes of rare-first sets bring candidates. Candidates meet
-    three leaders of each token's documents first; after that only documents that are still in different components
+    leaders of their commonest tokens' documents first; after that only documents that are still in different components
     need to meet, those of all but the largest component with all others of the token. So a group of copies costs rows
     in proportion to its size, and no link between components is missed. The component is the least doc_id.
 
@@ -419,31 +443,43 @@ def near_documents(docs: DataFrame, shingles_per_bucket: int = 1 << 21) -> DataF
     tokens = _common.stage(prefixes(sets, buckets), "tokens")
 
     def leader(k: int) -> Column:
-        return F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), F.col("doc_id").alias("leader"), F.col("n").alias("m")))
-
-    leads = tokens.groupBy("token").agg(F.array(*[leader(k) for k in range(3)]).alias("leads"))
-    first = tokens.join(leads, "token").select("doc_id", "n", F.explode("leads").alias("x"))
-    first = first.select(F.col("x.leader").alias("leader"), "doc_id", "n", F.col("x.m").alias("m"))
-    first = _common.stage(
-        first.where((F.col("leader") != F.col("doc_id")) & _alike("n", "m"))
-        .select(F.least("leader", "doc_id").alias("leader"), F.greatest("leader", "doc_id").alias("doc_id")).distinct(), "pairs",
-    )
-    links = _common.stage(verified(first, sets), "links")
-    now = _common.edges_to_components(links)
+        return F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), F.col("doc_id").alias("leader")))
+
+    marks = sets.select("doc_id", "n", *SIGNATURE)
+    theirs = [f"t{k}" for k in range(len(SIGNATURE))]
+    other = marks.toDF("leader", "m", *theirs)
+    leads = tokens.groupBy("token").agg(F.array(*[leader(k) for k in range(6)]).alias("leads"))
+    first = tokens.where("last").join(leads, "token").select("doc_id", F.explode("leads").alias("x"))
+    first = first.select(F.col("x.leader").alias("leader"), "doc_id").where("leader <> doc_id")
+    first = first.select(F.least("leader", "doc_id").alias("leader"), F.greatest("leader", "doc_id").alias("doc_id")).distinct()
+    first = first.join(marks, "doc_id").join(other, "leader").where(_alike("n", "m") & _may_link(SIGNATURE, theirs, "n", "m"))
+    first = _common.stage(first.select("leader", "doc_id"), "pairs")
+    now = _common.stage(_common.edges_to_components(verified(first, sets)), "components")
     placed = tokens.join(now.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = _common.stage(placed.select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "placed")
+    placed = placed.select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c"))
+    placed = _common.stage(placed, "placed")
     sizes = placed.groupBy("token", "c").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
-    open_ = _common.stage(placed.join(largest.select("token", "top"), "token"), "open")
-    few = open_.where("c <> top").select("token", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
+    open_ = placed.join(largest.select("token", "top"), "token").join(marks.drop("n"), "doc_id")
+    open_ = _common.stage(open_, "open")
+    few = open_.where("c <> top").select(
+        "token", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("c").alias("d"),
+        *[F.col(x).alias(y) for x, y in zip(SIGNATURE, theirs, strict=True)],
+    )
+    # at the first token that a pair shares, no more than what is left of either set can be shared
+    enough = 7 * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q")) >= 3 * (F.col("n") + F.col("m"))
     rest = (
-        few.join(open_, "token").where((F.col("c") != F.col("d")) & _alike("n", "m"))
+        few.join(open_, "token").where((F.col("c") != F.col("d")) & enough & _may_link(SIGNATURE, theirs, "n", "m"))
         .select(F.least("a", "doc_id").alias("leader"), F.greatest("a", "doc_id").alias("doc_id")).distinct()
         .join(first, ["leader", "doc_id"], "left_anti")
     )
     more = _common.stage(verified(_common.stage(rest, "pairs"), sets), "links")
-    parts = _common.edges_to_components(links.unionByName(more))
-    known = same.join(parts, "node", "left").select("fa", "fb", F.coalesce("component", "node").alias("component_id"))
+    # links between components: the components' own components
+    at = now.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    more = more.join(at, "a", "left").join(at.toDF("b", "cb"), "b", "left")
+    joined = _common.edges_to_components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    known = same.join(now, "node", "left").select("fa", "fb", F.coalesce("component", "node").alias("c"))
+    known = known.join(joined.toDF("c", "top"), "c", "left").select("fa", "fb", F.coalesce("top", "c").alias("component_id"))
     out = own.join(known, ["fa", "fb"], "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
