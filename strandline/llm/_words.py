@@ -43,7 +43,7 @@ _LOWER[65:91] = _PLAIN[97:123]
 def powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         have = np.full(size, base, U)
         have[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(have)
@@ -91,7 +91,7 @@ def columns(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def blocks(array: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(array: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) in runs of rows of about ``limit`` bytes; a longer row stands alone."""
     data, offs = columns(array)
     i, n = 0, len(offs) - 1

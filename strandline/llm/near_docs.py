@@ -16,7 +16,7 @@ from strandline.llm import _common, _words
 #: Words of a shingle. Two sets link when 7 * shared >= 3 * (sum of sizes), which is a Jaccard similarity of 0.75.
 SHINGLE = 5
 #: Shingles and rows that one packed block holds, pairs of one leader that meet in one task, sets in one tree.
-BLOCK, BLOCK_ROWS, FAN, TREE = 1 << 20, 60_000, 2048, 256
+BLOCK, BLOCK_ROWS, FAN, TREE = 1 << 19, 60_000, 2048, 256
 #: Bits of a set's signature, as columns of 64.
 BITS = 1024
 SIGNATURE = [f"s{k}" for k in range(BITS // 64)]
@@ -144,7 +144,7 @@ def _count(narrow: bool, answer):
                     spool.write(h)
                     spool.write(rows)
                     held.setdefault(k, []).append(np.frombuffer(h, kind))
-                    if sum(map(len, held[k])) > max(1 << 20, len(values.get(k, ()))):
+                    if sum(map(len, held[k])) > max(1 << 19, len(values.get(k, ()))):
                         merge(k)
             for k in list(held):
                 merge(k)
@@ -416,7 +416,7 @@ def _may_link(a: list[str], b: list[str], n: str, m: str) -> Column:
     return 7 * differ <= F.col(n) + F.col(m)
 
 
-def near_documents(docs: DataFrame, shingles_per_bucket: int = 1 << 21) -> DataFrame:
+def near_documents(docs: DataFrame, shingles_per_bucket: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when their shingle sets' Jaccard similarity is 0.75.
 
     Words are lower-cased (A-Z). Equal sets are one node from the start. A document whose shingles are to more than a
