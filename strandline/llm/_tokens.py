@@ -25,34 +25,41 @@ _ALPHABET = {b: b if b in _PLAIN_BYTES else 256 + sum(x not in _PLAIN_BYTES for
 
 
 def tokenizer(path: str, spaced: bool) -> "BatchTokenizer":
-    """One for each worker process, so that its cache serves later tasks too."""
+    """One for each worker process, so that the vocabulary is read once; ``release`` it when a task ends."""
     if (path, spaced) not in _ONE:
         _ONE[path, spaced] = BatchTokenizer(path, spaced)
     return _ONE[path, spaced]
 
 
 class BatchTokenizer:
-    """Memory is bounded: a table of 2**21 words by hash, where a later word takes a place over, and an arena of ids."""
+    """Memory is bounded: a table of 2**20 words by hash, where a later word takes a place over, and an arena of ids."""
 
-    def __init__(self, path: str, spaced: bool, bits: int = 21, arena: int = 1 << 24):
+    def __init__(self, path: str, spaced: bool, bits: int = 20, arena: int = 1 << 22):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.spaced, self.mask, self.most = spaced, np.uint64((1 << bits) - 1), arena
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.at = np.zeros(1 << bits, np.int64)
-        self.n = np.zeros(1 << bits, np.int64)
-        self.ids = np.zeros(1 << 20, np.uint32)
+        self.release()
+
+    def release(self) -> None:
+        """Drops what it remembers, so that a worker that waits for other tasks holds no more than the vocabulary."""
+        self.keys = self.at = self.n = self.ids = np.zeros(0, np.uint64)
         self.used = 0
         self.parts: dict[bytes, list[int]] = {}
 
+    def _ready(self) -> None:
+        if not len(self.keys):
+            size = int(self.mask) + 1
+            self.keys, self.at, self.n = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+            self.ids = np.zeros(1 << 20, np.uint32)
+
     def _part(self, part: bytes) -> list[int]:
         own = self.parts.get(part)
         if own is None:
             text = part if self.spaced else part.decode().lower().encode()
             own = [x.id for x in self.library.model.tokenize(text.decode("latin-1").translate(_ALPHABET))]
-            if len(self.parts) >= 200_000:
+            if len(self.parts) >= 100_000:
                 self.parts.clear()
             self.parts[part] = own
         return own
@@ -102,6 +109,7 @@ class BatchTokenizer:
         else:
             w = _words.words(data, offs)
             start, end, first, h = w.start, w.end, w.first, w.hash
+        self._ready()
         slot = (h & self.mask).astype(np.int64)
         missed = np.flatnonzero(self.keys[slot] != h)
         at, n = self.at[slot], self.n[slot]
@@ -110,7 +118,7 @@ class BatchTokenizer:
             one = missed[one]
             whole = data.tobytes()
             lists = self._new([whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
-            if self.used + sum(map(len, lists)) > self.most:
+            if self.used and self.used + sum(map(len, lists)) > self.most:
                 self.keys[:] = 0
                 self.used = 0
                 if len(lists) < len(h):

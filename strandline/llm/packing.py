@@ -47,6 +47,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names
                 )
+        own.release()
 
     return docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text")).mapInArrow(cut, PIECES)
 

@@ -149,6 +149,7 @@ def write_records(
                 ids, at = own.encode(data, offs)
                 for r in range(i, j):
                     out.write(doc_ids[r], np.concatenate([ids[at[r - i] : at[r - i + 1]], end]), wide)
+        own.release()
         out.close()
         rows = list(zip(*out.done, strict=True)) or [[]] * 5
         kinds = pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()

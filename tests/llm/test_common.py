@@ -45,7 +45,7 @@ def test_equal_runs_have_equal_hashes():
 def test_ids_are_the_librarys(name, spaced, limit):
     from tokenizers import Tokenizer
 
-    own = _tokens.BatchTokenizer(public_tokenizers.path(name), spaced, bits=4, arena=1 << 14)
+    own = _tokens.BatchTokenizer(public_tokenizers.path(name), spaced, bits=4, arena=1 << 3)
     library = Tokenizer.from_file(public_tokenizers.path(name))
     library.encode_special_tokens = True
     for i, j, data, offs in _words.blocks(pa.array(TEXTS), limit):
