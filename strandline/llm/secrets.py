@@ -23,7 +23,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 #: Shortest run of letters, digits and base64 signs that is tested.
 LEAST = 16
-_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: '=' counts only as padding at a run's end, so that of name=value both sides are runs of their own.
+_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?")
+#: Where a run that fits no encoding is parted: base64, base64url and base62 parts are left.
+_PARTS = tuple(re.compile(rf"[{own}]{{{LEAST},}}=*") for own in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9"))
 #: Encodings by the symbols that occur, narrowest first; padding does not count as a symbol.
 ENCODINGS = (
     ("decimal", "0123456789"),
@@ -108,15 +111,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)])
 
 
+def _parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run: all of it, or each part of 16 or more if it mixes '+/' with '_-'."""
+    if encoding_of(run):
+        return [(0, len(run))]
+    return sorted({m.span() for part in _PARTS for m in part.finditer(run)})
+
+
 def candidates(text: str, usual: np.ndarray) -> Iterator[tuple[int, int, str, str, float]]:
     """(start, end, run, encoding, p) of each run whose symbols are more than the letters of one word."""
     for m in _RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() and (run.islower() or run.isupper() or run[1:].islower()):
-            continue
-        name = encoding_of(run)
-        if name and len(run.rstrip("=")) >= LEAST:
-            yield m.start(), m.end(), run, name, surprise(run, name, usual)
+        for i, j in _parts(m[0]):
+            run = m[0][i:j]
+            if run.isalpha() and (run.islower() or run.isupper() or run[1:].islower()):
+                continue
+            name = encoding_of(run)
+            if name and len(run.rstrip("=")) >= LEAST:
+                yield m.start() + i, m.start() + j, run, name, surprise(run, name, usual)
 
 
 def band(n: int) -> int:
@@ -174,15 +185,20 @@ def thresholds(docs: DataFrame, usual: np.ndarray, rate: float = 0.01) -> dict[i
 
 
 def find(text: str, usual: np.ndarray, least: dict[int, int], alpha: float = 0.001) -> list[tuple[int, int, int]]:
-    """All spans (start, kind, end): the fixed ones, and runs that pass both tests and touch none of those."""
+    """All spans (start, kind, end): the fixed ones, and runs that pass both tests and touch none of those.
+
+    Parts of one run that overlap and pass are one span.
+    """
     base = base_spans(text)
     taken = sorted((a, b) for a, _, b in base)
-    found = list(base)
+    found: list[tuple[int, int, int]] = []
     for a, b, run, name, p in candidates(text, usual):
         if step(p) >= least.get(band(len(run)), STEPS + 1) and not any(x < b and a < y for x, y in taken):
             if battery(run, name) >= alpha:
+                if found and a < found[-1][2]:
+                    a, b = found[-1][0], max(b, found.pop()[2])
                 found.append((a, 3, b))
-    return sorted(found)
+    return sorted(base + found)
 
 
 def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:

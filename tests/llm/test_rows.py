@@ -149,6 +149,26 @@ def test_random_runs_are_found_and_words_are_not(spark, odd, none):
     assert clean.columns == [*odd.columns, "n_chars"] and clean.count() == 6
 
 
+def test_random_values_after_a_name_are_found(spark):
+    rng = random.Random(7)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    plain = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    # the last two mix '_' or '-' with '/' and '+', so their runs fit no encoding
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "DB_PASS={}==", "https://h.example/x?sig={}&v=1", "my_path/{}", "a-key+{}"]
+    hidden = ["".join(rng.choice(base64 if i % 5 < 3 else base64[:62]) for _ in range(44)) for i in range(100)]
+    texts = [f"one two {forms[i % 5].format(x)} three" for i, x in enumerate(hidden)]
+    docs = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(plain)
+    rows = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] for r in secrets.scan(docs).collect()}
+    for k in range(5):
+        mine = range(k, 100, 5)
+        hit = [any(a <= texts[i].index(hidden[i]) and b >= texts[i].index(hidden[i]) + 44 for a, b in rows[10_000 + i]) for i in mine]
+        assert sum(hit) >= 18, forms[k]
+    assert not any(v for i, v in rows.items() if i < 10_000)
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert sum(hidden[i] in out[10_000 + i] for i in range(100)) <= 10
+    assert secrets._RUN.findall("AWS_SECRET_ACCESS_KEY=abcdefghijklmnop== x") == ["AWS_SECRET_ACCESS_KEY", "abcdefghijklmnop=="]
+
+
 def test_quality(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
