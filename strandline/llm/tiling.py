@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm import _common, _words
 
-#: Least words of a tile, and least share of an item's words that tiles must cover.
-TILE, COVERAGE = 8, 0.6
+#: Least words of a tile, least share of an item's words that tiles must cover, and least words that they must cover.
+TILE, COVERAGE, LEAST = 4, 0.6, 8
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 PAIRS = "item_id long, covered long, n_words long, n_tiles long, coverage double"
 
@@ -109,7 +109,7 @@ def seeds(benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["item_id", "n_words", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("long"), _common.text_or_empty().alias("text"))
-    return rows.mapInArrow(look, "item_id long, n_words long, words binary").where(F.col("n_words") >= TILE).distinct()
+    return rows.mapInArrow(look, "item_id long, n_words long, words binary").where(F.col("n_words") >= LEAST).distinct()
 
 
 class _Index:
@@ -132,11 +132,10 @@ class _Index:
         at = np.flatnonzero(self.low[(runs & np.uint64(0xFFFF)).astype(np.int64)])
         a = np.searchsorted(self.hash, runs[at], "left")
         n = np.searchsorted(self.hash, runs[at], "right") - a
-        at, a, n = at[n > 0], a[n > 0], n[n > 0]
-        if not len(at):
-            return
-        ok = _words.inside_rows(w.first, TILE, len(runs))[at]
+        ok = (n > 0) & _words.inside_rows(w.first, TILE, len(runs))[at]
         at, a, n = at[ok], a[ok], n[ok]
+        if not len(at):  # none, or only across the ends of rows
+            return
         total = int(n.sum())
         place = np.repeat(at, n)
         item = self.item[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(total)]
@@ -146,18 +145,18 @@ class _Index:
         for s, e in zip(new, np.append(new[1:], key.shape[1]), strict=True):
             r, i = int(key[0, s]), int(key[1, s])
             item_id, words = self.items[i]
-            if (e - s) * TILE < coverage * len(words):  # a tile has a seed for each of its first words
+            if (e - s) * TILE < max(LEAST, coverage * len(words)):  # a tile has a seed for each of its first words
                 continue
             covered, k = _cover(words, w.hash[w.first[r] : w.first[r + 1]], key[2, s:e] - w.first[r])
-            if covered >= coverage * len(words):
+            if covered >= max(LEAST, coverage * len(words)):
                 yield r, item_id, covered, len(words), k
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, limit: int = _common.BROADCAST_BYTES) -> DataFrame:
-    """Pairs of a document and a benchmark item whose words lie under tiles for ``coverage`` or more.
+    """Pairs of a document and a benchmark item whose words lie under tiles for ``coverage`` or more, 8 at least.
 
-    Words ignore case and ASCII punctuation; a tile is a match of 8 words or more, so passages in another order, or
-    with changed words between, still add up. Seeds (runs of 8 words that both share) bring the pairs. Items that fit
+    Words ignore case and ASCII punctuation; a tile is a match of 4 words or more, so passages in another order, or
+    with changed words between, still add up. Seeds (runs of 4 words that both share) bring the pairs. Items that fit
     ``limit`` bytes go to every task, which tiles its documents without a shuffle; larger benchmarks are joined by
     seed. Null or empty texts, items of fewer than 8 words and empty tables give no pairs; a null doc_id is kept as
     it is; repeated rows give repeated pairs, repeated items one.
@@ -215,7 +214,7 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     hits = (
         left.join(right, "seed").groupBy(F.col("doc_id").alias("row"), "item_id")
         .agg(F.sort_array(F.collect_set("place")).alias("places"))  # at most the words of one document
-        .join(items, "item_id").where(F.size("places") * TILE >= F.col("n_words") * coverage)
+        .join(items, "item_id").where(F.size("places") * TILE >= F.greatest(F.lit(LEAST), F.col("n_words") * coverage))
     )
     both = hits.join(keyed, "row").select("doc_id", "text", "item_id", "words", "places")
 
@@ -227,7 +226,7 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
                 data, offs = _words.columns(b.column(1).slice(k, 1))
                 item = np.frombuffer(words, np.uint64)
                 covered, n = _cover(item, _normal(data, offs).hash, np.array(places))
-                if covered >= coverage * len(item):
+                if covered >= max(LEAST, coverage * len(item)):
                     rows.append((doc_id, item_id, covered, len(item), n))
             yield _batch(rows)
 

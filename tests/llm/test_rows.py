@@ -2,16 +2,18 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, packing, quality, registry, revisits, secrets, tiling, token_records
+from strandline.llm import _words, chat, packing, quality, registry, revisits, secrets, tiling, token_records
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, spans string, key long, quality_score double"
@@ -228,6 +230,31 @@ def test_contaminated(spark, odd, none, limit):
     assert tiling.contaminated(odd, benchmark.where("item_id = 0"), limit=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_every_item_is_found_in_another_order_and_with_a_changed_word(spark, limit):
+    rng = random.Random(8)
+    benchmark = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    docs, want = [], set()
+    for item_id, text in benchmark.select("item_id", "text").collect():
+        sentences, words = re.split(r"(?<=[.!?])\s+", text), text.split()
+        rng.shuffle(sentences)
+        k = len(words) // 2
+        third = -(-len(words) // 3)
+        for j, x in enumerate((sentences, words[:k] + ["zz"] + words[k + 1 :], words[2 * third :] + words[third : 2 * third] + words[:third])):
+            docs.append((item_id * 3 + j, "aa bb " + " ".join(x) + " cc"))
+            want.add((item_id * 3 + j, item_id))
+    docs.append((-1, " ".join(" ".join(t.split()[:3]) for t in benchmark.toPandas()["text"])))  # three words of each item
+    got = tiling.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, limit=limit).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+def test_seed_across_two_rows_only():
+    words = [f"w{i}" for i in range(8)]
+    item, data = (_words.columns(pa.array(x, pa.string())) for x in ([" ".join(words)], [" ".join(words[:2]), " ".join(words[2:4])]))
+    index = tiling._Index([(1, tiling._normal(*item).hash)])
+    assert list(index.pairs(*data, 0.6)) == []
+
+
 def test_revisits(spark):
     rows = [
         (1, 10, "response", "http://A.org/x/?b=1&a=2#f", "e1", None, "d1", {"etag": "e1", "server": "s"}),
