@@ -150,7 +150,7 @@ TRAJECTORIES = f"with {TRACKS} select track, count(*) n, count(v) seen, round(su
 
 def chunk_plan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans as JSON with either of two names for the end, read with one; seams are the ends before the last."""
-    c = table(spark, sf_dir, "orders").where("o_orderkey <= 2000").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    c = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     end = (F.col("k") + 1) * 20
     odd = F.pmod("o_orderkey", F.lit(2)) == 1
     c = c.select("o_orderkey", F.struct(F.col("k").alias("chunk_idx"), (F.col("k") * 20).alias("start_frame"), F.when(odd, end).alias("end"), F.when(~odd, end).alias("end_frame")).alias("chunk"))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandline.functions import text
+from strandline.functions import records, text
 from strandline.operators import folds, metrics, sequences
 from strandline.plans import ranges, sweeps
 from strandline.session import pct_nearest
@@ -171,3 +171,10 @@ def test_folder_inventory(spark, tmp_path):
     folder = F.regexp_extract("path", "/([ab])/", 1)
     kept = files.with_fallback(found, folder, r"\.pt$", r"\.txt$").collect()
     assert sorted(r["path"].rsplit("/", 1)[1] for r in kept) == ["x_10.pt", "x_2.pt", "y.txt"]
+
+
+def test_each_order_has_a_plan(spark, tmp_path):
+    keys = spark.createDataFrame([(1,), (2000,), (2001,), (90_000,)], "o_orderkey long")
+    keys.write.parquet(f"{tmp_path}/orders.parquet")
+    rows = records.chunk_plan_json(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in rows) == [(k, "2.0", 3, "20,40") for k in (1, 2000, 2001, 90_000)]
