@@ -285,7 +285,7 @@ def line_list_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents, comments and blanks dropped, the first of equal ones kept with its place."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     d = d.withColumn("line", F.trim("line")).where("line <> '' and not startswith(line, '#')")
-    g = d.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    g = d.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("x"), F.count("*").alias("n"))
     return g.select(F.sha2("line", 256).alias("line_sha"), F.col("x.doc_id").alias("doc_id"), F.col("x.place").alias("place"), "n")
 
 

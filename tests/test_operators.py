@@ -1,5 +1,7 @@
 """Cases worked out by hand, and what holds for any input."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -178,3 +180,11 @@ def test_each_order_has_a_plan(spark, tmp_path):
     keys.write.parquet(f"{tmp_path}/orders.parquet")
     rows = records.chunk_plan_json(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in rows) == [(k, "2.0", 3, "20,40") for k in (1, 2000, 2001, 90_000)]
+
+
+def test_lines_that_occur_once_are_kept(spark, tmp_path):
+    docs = [(1, "a\n# c\n b \n"), (2, "b\nd\na"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = text.line_list_dedup(spark, str(tmp_path)).collect()
+    want = {"a": (1, 0, 2), "b": (1, 2, 2), "d": (2, 1, 1)}
+    assert {r["line_sha"]: tuple(r)[1:] for r in rows} == {hashlib.sha256(k.encode()).hexdigest(): v for k, v in want.items()}
