@@ -87,8 +87,13 @@ select label, prev_id, vec_id, round(case when err < 1e-10 then 100.0 else 10 *
 
 def seam_pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute difference of consecutive frames over the whole table; a seam is where the label changes."""
-    w = Window.partitionBy(F.floor(F.col("vec_id") / 1000)).orderBy("vec_id")
-    f = frames(spark, sf_dir).withColumn("prev", F.lag("px").over(w)).withColumn("before", F.lag("label").over(w))
+    f = frames(spark, sf_dir).withColumn("block", F.floor(F.col("vec_id") / 1000)).withColumn("own", F.lit(True))
+    # the last frame of each block also stands before the first one of the next block that has any
+    ends = f.where("block is not null").groupBy("block").agg(F.max_by(F.struct("label", "vec_id", "px"), "vec_id").alias("end"))
+    ends = ends.withColumn("block", F.lead("block").over(Window.orderBy("block"))).where("block is not null")
+    f = f.unionByName(ends.select("end.*", "block", F.lit(False).alias("own")))
+    w = Window.partitionBy("block").orderBy("vec_id")
+    f = f.withColumn("prev", F.lag("px").over(w)).withColumn("before", F.lag("label").over(w)).where("own")
     d = total(F.zip_with("prev", "px", lambda x, y: F.abs(x - y))) / F.size("px")
     return f.where("prev is not null").select("vec_id", (F.col("label") != F.col("before")).alias("is_seam"), F.round(d, 5).alias("delta"))
 

@@ -188,3 +188,14 @@ def test_lines_that_occur_once_are_kept(spark, tmp_path):
     rows = text.line_list_dedup(spark, str(tmp_path)).collect()
     want = {"a": (1, 0, 2), "b": (1, 2, 2), "d": (2, 1, 1)}
     assert {r["line_sha"]: tuple(r)[1:] for r in rows} == {hashlib.sha256(k.encode()).hexdigest(): v for k, v in want.items()}
+
+
+def test_seams_across_blocks_of_ids(spark, tmp_path):
+    ids = [*range(995, 1003), 1998, 1999, 5000, 5001, 7000]
+    rows = [(i, [((i * k) % 7) / 7 for k in range(4)], i // 3 % 2) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: (r["is_seam"], r["delta"]) for r in metrics.seam_pair_metrics(spark, str(tmp_path)).collect()}
+    want = {b[0]: (a[2] != b[2], np.abs(np.float32(a[1]) - np.float32(b[1])).mean() / 2) for a, b in zip(rows, rows[1:])}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == s and got[i][1] == pytest.approx(d, abs=1e-5) for i, (s, d) in want.items())
+    assert metrics.seam_summary(spark, str(tmp_path)).first()["seams"] == sum(s for s, _ in want.values())
