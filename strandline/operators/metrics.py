@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.sequences import bucket
-from strandline.session import pct_nearest, table
+from strandline.session import at_rank, table
 
 
 def total(values: Column) -> Column:
@@ -121,15 +121,14 @@ select count_if(is_seam) as seams, round(avg(delta) filter (where is_seam), 5) a
 def zone_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones by return flag, channels by line status: mean over channels, the channels' largest 95th percentile."""
     x = F.abs(F.col("l_extendedprice") - 1000 * F.col("l_quantity"))
-    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg(x).alias("m"), F.count("*").alias("n"), sorted_list_of(x))
-    g = g.withColumn("p", pct_nearest(F.col("xs"), 0.95)).groupBy("l_returnflag")
+    zone = ["l_returnflag", "l_linestatus"]
+    rows = table(spark, sf_dir, "lineitem").select(*zone, x.alias("x"))
+    p95 = at_rank(rows, zone, "x", lambda n: F.bround(0.95 * (n - 1))).select(*zone, F.lit(None).alias("m"), F.lit(None).alias("n"), F.col("value").alias("p"))
+    g = rows.groupBy(*zone).agg(F.avg("x").alias("m"), F.count("*").alias("n")).withColumn("p", F.lit(None))
+    g = g.unionByName(p95).groupBy("l_returnflag")
     return g.agg(F.round(F.avg("m"), 2).alias("mean"), F.round(F.max("p"), 2).alias("p95"), F.sum("n").alias("n"))
 
 
-def sorted_list_of(x: Column, name: str = "xs") -> Column:
-    return F.sort_array(F.collect_list(x)).alias(name)
-
-
 ZONE_DIFF_STATS = """
 with x as (select l_returnflag, l_linestatus, abs(l_extendedprice - 1000 * l_quantity) x from lineitem),
 g as (select l_returnflag, l_linestatus, avg(x) m, count(*) n, list(x order by x) xs from x group by 1, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.session import TRACKS, by_frame, median_upper, pct_floor, sorted_list, tracks, whole
+from strandline.session import TRACKS, at_rank, by_frame, median_upper, pct_floor, sorted_list, tracks, whole
 
 _BACK = Window.unboundedPreceding
 _ON = Window.unboundedFollowing
@@ -61,8 +61,9 @@ def reject_anomalies(df: DataFrame, threshold: float = 1.5, column: str = "v", o
     """
     w = by_frame()
     previous = F.last(column, True).over(w.rowsBetween(_BACK, -1))
-    values = F.sort_array(F.collect_list(column).over(whole()))
-    df = df.withColumn("_m", median_upper(values)).withColumn("_n", F.size(values))
+    middle = at_rank(df, ["track"], column, lambda n: F.floor(n / 2))
+    middle = middle.select(F.col("track").alias("_t"), F.col("value").alias("_m"), F.col("known").alias("_n"))
+    df = df.join(middle, F.col("track").eqNullSafe(F.col("_t")), "left").drop("_t")
     df = df.withColumn("_jump", F.abs(F.col(column) - previous))
     score = F.greatest(
         F.abs(F.col(column) - F.col("_m")) / F.greatest("_m", F.lit(1e-6)),

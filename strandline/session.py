@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -53,6 +54,18 @@ def median_upper(values: Column) -> Column:
     return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
 
 
+def at_rank(df: DataFrame, keys: list[str], column: str, rank: Callable[[Column], Column]) -> DataFrame:
+    """keys, value, known: the value at index ``rank(known)`` of a group's sorted values; nulls are not counted.
+
+    Values are counted first and ranks cumulated over distinct ones, so no group is gathered in an array.
+    """
+    c = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    c = c.withColumn("_upto", F.sum("_c").over(w.orderBy(column))).withColumn("_all", F.sum("_c").over(w))
+    hit = c.where(F.col("_upto") > rank(F.col("_all")))
+    return hit.groupBy(*keys).agg(F.min(column).alias("value"), F.max("_all").alias("known"))
+
+
 def sorted_list(column: str) -> Column:
     return F.sort_array(F.collect_list(column))
 

@@ -1,6 +1,7 @@
 """Cases worked out by hand, and what holds for any input."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -199,3 +200,48 @@ def test_seams_across_blocks_of_ids(spark, tmp_path):
     assert got.keys() == want.keys()
     assert all(got[i][0] == s and got[i][1] == pytest.approx(d, abs=1e-5) for i, (s, d) in want.items())
     assert metrics.seam_summary(spark, str(tmp_path)).first()["seams"] == sum(s for s, _ in want.values())
+
+
+def test_path_of_a_long_track_needs_no_matrix():
+    def dense(x, rounds):
+        n = len(x)
+        h = sum(w * (d := np.diff(np.eye(n), k, axis=0)).T @ d for k, w in ((1, 1.0), (2, 10.0), (3, 100.0)))
+        size, y, z, t = np.abs(h).sum(1).max(), x.copy(), x.copy(), 1.0
+        for _ in range(rounds):
+            new = np.clip(z - (h @ z) / size, x - 40, x + 40)
+            u = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            z, y, t = new + (t - 1) / u * (new - y), new, u
+        return y
+
+    rng = np.random.default_rng(5)
+    for n in (4, 5, 6, 7, 12, 16, 17, 80):
+        x = rng.uniform(0, 500, n)
+        assert np.allclose(folds.smooth_path(x), dense(x, 200), atol=1e-6)
+    tracemalloc.start()
+    folds.smooth_path(rng.uniform(0, 500, 5_000), rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000  # a matrix would take 200 MB
+
+
+def test_ranks_gather_no_group(spark):
+    rows = [(k, i, None if i % 5 == 0 else float(i * 37 % 11)) for k in (1, None, 2) for i in range(23)] + [(3, 0, None), (4, 0, 1.0), (4, 1, 9.0)]
+    df = spark.createDataFrame(rows, "track long, frame long, v double")
+    clean = sequences.reject_anomalies(df)
+    assert "collect_list" not in clean._jdf.queryExecution().toString()
+    assert "collect_list" not in metrics.zone_diff_stats(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert clean.count() == len(rows)
+    for k in (1, None, 2, 3, 4):
+        own = [v for t, _, v in rows if t == k]
+        known = sorted(v for v in own if v is not None)
+        keep, before = [], None
+        for v in own:
+            m = known[len(known) // 2] if known else 0
+            off = v is not None and max(abs(v - m) / max(m, 1e-6), (abs(v - before) if before is not None else 0) / max(m, 1e-6) ** 0.5) > 1.5
+            keep.append(None if off and len(known) >= 3 else v)
+            before = v if v is not None else before
+        want, last = [], next((v for v in keep if v is not None), None)
+        for v in keep:
+            last = v if v is not None else last
+            want.append(last)
+        assert column(clean.where(F.col("track").eqNullSafe(F.lit(k))), "clean") == want
