@@ -38,7 +38,9 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # strings of added tokens (<|endoftext|>) have ids of their own, wherever they stand in a word
+        added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.spaced, self.mask, self.most = spaced, np.uint64((1 << bits) - 1), arena
         self.release()
 
@@ -99,11 +101,13 @@ class BatchTokenizer:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's begin (with the end after them)."""
-        if self.spaced and _LEAD[data].any() and _ODD.search(data.tobytes()):
-            texts = [data[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            lists = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-            ends = np.cumsum([0, *map(len, lists)])
-            return np.fromiter((x for own in lists for x in own), np.uint32, int(ends[-1])), ends
+        if self._whole(data):
+            return self._rows(data, offs)
+        if len(data) > _words.PIECE and len(offs) == 2:
+            return self._long(data)
+        return self._encode(data, offs)
+
+    def _encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.spaced:
             start, end, first, h = self._pieces(data, offs)
         else:
@@ -122,7 +126,7 @@ class BatchTokenizer:
                 self.keys[:] = 0
                 self.used = 0
                 if len(lists) < len(h):
-                    return self.encode(data, offs)
+                    return self._encode(data, offs)
             own_at, own_n = self._keep(lists)
             spot = (new & self.mask).astype(np.int64)
             self.keys[spot], self.at[spot], self.n[spot] = new, own_at, own_n
@@ -131,6 +135,39 @@ class BatchTokenizer:
         pick = np.repeat(at - ends[:-1], n) + np.arange(ends[-1])
         return self.ids[pick], ends[first]
 
+    def _whole(self, data: np.ndarray) -> bool:
+        """Whether texts must go to the library as they are: odd white space, or a string of an added token."""
+        raw = None
+        if self.spaced and _LEAD[data].any():
+            raw = data.tobytes()
+            if _ODD.search(raw):
+                return True
+        return self.added is not None and (data == 124).any() and bool(self.added.search(raw or data.tobytes()))
+
+    def _rows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        lists = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, lists)])
+        return np.concatenate([*lists, np.zeros(0, np.uint32)]), ends
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One long text in pieces that begin at white space behind a word, where both vocabularies split it too."""
+        got, i = [], 0
+        while i < len(data):
+            j = i + _words.PIECE
+            while j < len(data):
+                space = _words.SPACES[data[j - 1 : j + _words.PIECE]]
+                begins = space[1:] & ~space[:-1]
+                if begins.any():
+                    j += int(begins.argmax())
+                    break
+                j += _words.PIECE
+            j = min(j, len(data))
+            got.append(self._encode(data[i:j], np.array([0, j - i]))[0])
+            i = j
+        ids = np.concatenate(got)
+        return ids, np.array([0, len(ids)])
+
     def _pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         """Runs of white space each with the word behind it; such a run at a row's end stands alone."""
         n = len(data)

@@ -18,6 +18,8 @@ U = np.uint64
 _R, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes (or values) whose hashes are summed at once.
+PIECE = 1 << 20
 
 #: Separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = np.zeros(256, bool)
@@ -41,6 +43,7 @@ _LOWER[65:91] = _PLAIN[97:123]
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers; n is at most a piece's length, so the table stays small."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 18)
@@ -102,33 +105,61 @@ def blocks(array: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np
 
 
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, separators: np.ndarray = SPACES) -> Words:
-    n = len(data)
-    inside = ~separators[data]
+    """Words of all rows. Bytes are looked at in pieces of ``PIECE``, so a long text takes about five bytes for each of its own."""
+    got = []
+    i = 0
+    while i < len(data):
+        j = _piece_end(data, i, separators)
+        got.append(_words_of(data, offs, i, j, lower, separators))
+        i = j
+    start, end, h = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
+    return Words(data, offs, start, end, h, np.searchsorted(start, offs))
+
+
+def _piece_end(data: np.ndarray, i: int, separators: np.ndarray) -> int:
+    """A place about ``PIECE`` bytes on where no word is cut (a word longer than a piece makes it longer)."""
+    j = i + PIECE
+    while j < len(data):
+        part = separators[data[j : j + PIECE]]
+        if part.any():
+            return j + int(part.argmax())
+        j += PIECE
+    return len(data)
+
+
+def _words_of(data: np.ndarray, offs: np.ndarray, i: int, j: int, lower: bool, separators: np.ndarray) -> tuple[np.ndarray, ...]:
+    own = data[i:j]
+    n = j - i
+    inside = ~separators[own]
     edge = np.zeros(n + 1, bool)
-    edge[offs] = True
+    edge[offs[np.searchsorted(offs, i) : np.searchsorted(offs, j, "right")] - i] = True
     before = np.empty(n, bool)
     after = np.empty(n, bool)
-    if n:
-        before[0] = after[-1] = True
-        np.logical_not(inside[:-1], out=before[1:])
-        np.logical_not(inside[1:], out=after[:-1])
-        before |= edge[:-1]
-        after |= edge[1:]
+    before[0] = after[-1] = True
+    np.logical_not(inside[:-1], out=before[1:])
+    np.logical_not(inside[1:], out=after[:-1])
+    before |= edge[:-1]
+    after |= edge[1:]
     start = np.flatnonzero(inside & before)
     end = np.flatnonzero(inside & after) + 1
-    sums = _sums((_LOWER if lower else _PLAIN)[data], _R)
+    sums = _sums((_LOWER if lower else _PLAIN)[own], _R)
     h = (sums[end] - sums[start]) * powers(pow(_R, -1, 1 << 64), n + 1)[start]
     h = mix(h + (end - start).astype(U) * U(_Q))
-    return Words(data, offs, start, end, h, np.searchsorted(start, offs))
+    return start + i, end + i, h
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive values; runs over row ends are in it too, see ``inside_rows``."""
-    n = len(hashes)
-    if n < k:
+    n = len(hashes) - k + 1
+    if n < 1:
         return np.zeros(0, U)
-    sums = _sums(hashes, _Q)
-    return mix((sums[k:] - sums[:-k]) * powers(pow(_Q, -1, 1 << 64), n)[: n - k + 1] + U(k))
+    out = np.empty(n, U)
+    step = max(PIECE, k)
+    for i in range(0, n, step):
+        j = min(n, i + step)
+        sums = _sums(hashes[i : j + k - 1], _Q)
+        out[i:j] = mix((sums[k:] - sums[:-k]) * powers(pow(_Q, -1, 1 << 64), j - i + k - 1)[: j - i] + U(k))
+    return out
 
 
 def inside_rows(first: np.ndarray, k: int, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 
 from strandline.llm import _common, _tokens, _words
 
-TEXTS = ["", None, "  a  b \n\n c  ", "\n x", "a  b", "it's  don't!! ok\t\tx ", "é ñ", "…“q”  x", " ", "x" * 3000, "The the THE, the.", "a\x1cb \x85 c", "<|endoftext|> x"]
+TEXTS = ["", None, "  a  b \n\n c  ", "\n x", "a  b", "it's  don't!! ok\t\tx ", "é ñ", "…“q”  x", " ", "x" * 3000, "The the THE, the.", "a\x1cb \x85 c", "<|endoftext|> x", "a <|endoftext|> b", "<|STARTOFTEXT|>a<|startoftext|>b | c"]
 
 
 def test_words_are_runs_between_the_six_spaces():
@@ -47,13 +47,37 @@ def test_ids_are_the_librarys(name, spaced, limit):
 
     own = _tokens.BatchTokenizer(public_tokenizers.path(name), spaced, bits=4, arena=1 << 3)
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     for i, j, data, offs in _words.blocks(pa.array(TEXTS), limit):
         ids, at = own.encode(data, offs)
         for r in range(i, j):
             assert ids[at[r - i] : at[r - i + 1]].tolist() == library.encode(TEXTS[r] or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_a_long_text_is_cut_where_the_library_cuts_it(name, spaced, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(_words, "PIECE", 64)
+    rng = random.Random(2)
+    text = "".join(rng.choice(["word ", "x", "\n\n ", "  ", "it's", "9", ", ", "y" * 90, "é "]) for _ in range(2000))
+    own, library = _tokens.BatchTokenizer(public_tokenizers.path(name), spaced), Tokenizer.from_file(public_tokenizers.path(name))
+    ids, ends = own.encode(*_words.columns(pa.array([text])))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(ids)]
+
+
+def test_words_do_not_depend_on_the_piece(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(60))) for _ in range(200)] + ["", None, "c" * 300, " " * 70]
+    data, offs = _words.columns(pa.array(texts))
+    want = _words.words(data, offs)
+    runs = _words.runs(want.hash, 5)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(_words, "PIECE", piece)
+        got = _words.words(data, offs)
+        assert all((getattr(got, k) == getattr(want, k)).all() for k in ("start", "end", "hash", "first"))
+        assert (_words.runs(want.hash, 5) == runs).all()
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(30)] + [(7, 7)]
