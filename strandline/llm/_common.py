@@ -37,9 +37,40 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks ``df``, a stored table, for broadcast if its rows fit the limit; else Spark shuffles it."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def bounded(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks ``df``, a stored table, for broadcast if its rows fit the limit; else Spark shuffles it.
+
+    ``row_bytes`` is what a row takes: a number, or a column to sum for rows of any size.
+    """
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def hot_keys(df: DataFrame, keys: list[str], weight: Column, least: int, per_part: float = 2.0) -> tuple[DataFrame, int]:
+    """(keys, fans of those that hold more than a share of a partition, the limit): stored, at most 2 per partition by count.
+
+    The limit is the whole weight over ``per_part`` partitions' worth, ``least`` at least; fans is how many tasks a key
+    needs so that each gets about the limit.
+    """
+    sizes = df.groupBy(*keys).agg(F.sum(weight).alias("_size"))
+    sizes = stage(sizes, "sizes")
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    limit = max(least, int(total / (per_part * parts(df.sparkSession))))
+    hot = sizes.where(F.col("_size") > limit).select(*keys, F.ceil(F.col("_size") / limit).cast("int").alias("fans"))
+    return stage(hot, "hot"), limit
+
+
+def spread_join(big: DataFrame, one: DataFrame, keys: list[str], salt: Column, how: str = "left") -> DataFrame:
+    """``big.join(one, keys)`` where ``one`` has a row for each key: a key of very many rows is dealt over tasks by ``salt``.
+
+    The few such keys are counted first; their rows of ``one`` are repeated for each task.
+    """
+    hot, _ = hot_keys(big, keys, F.lit(1), 256)
+    small = bounded(hot, 8 * len(keys) + 8)
+    fans = F.coalesce("fans", F.lit(1))
+    left = big.join(small, keys, "left").withColumn("_salt", F.pmod(salt, fans).cast("int")).drop("fans")
+    right = one.join(small, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), fans - 1))).drop("fans")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def parts(spark: SparkSession, least: int = 1) -> int:

@@ -7,15 +7,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import _common, _words
 
-#: Words of a window, and of the phrases of which each window names its least hash.
-WINDOW, PHRASE = 35, 8
-#: Contexts of one phrase up to which they meet in one task, and contexts that one automaton serves.
-GROUP, SHARD = 4096, 8192
+#: Words of a window, of the phrases of which each window names its least hash, and windows of a stretch at most.
+WINDOW, PHRASE, STRETCH = 35, 8, 256
+#: Bytes of passages that one automaton holds, and of stretches below which no phrase is dealt to several tasks.
+SHARD, GROUP = 4 << 20, 1 << 18
+FOUND = "phrase long, key long, check long, place long, size int, text binary"
 _I64 = np.int64
 
 
@@ -69,29 +71,42 @@ def _windows(w: _words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """Key of a row by its content, so that a task that runs again gives the same; equal rows share one."""
-    return docs.select(
-        F.xxhash64(F.col("doc_id"), _common.text_or_empty()).alias("key"), "doc_id", _common.text_or_empty().alias("text")
-    )
+    """Key of a row by its content (128 bits in two columns), so that a task that runs again gives the same; equal rows share one."""
+    text = _common.text_or_empty()
+    own = docs.select(F.col("doc_id"), text.alias("text"))
+    return own.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check"), "doc_id", "text")
 
 
 def repeated_phrases(named: DataFrame) -> DataFrame:
     """key, phrases: of each row the phrase hashes that windows name and that are named at another place too.
 
     Equal windows name equal phrases, so a window whose phrase is missing here cannot recur. Rows of packed hashes are
-    dealt by hash; a task keeps distinct hashes only, so a phrase of most documents costs no more than another.
+    dealt by hash. A phrase that a task meets twice itself is known to be repeated there, and only two of its places go
+    on, so a phrase of most documents is no more work for the task that gathers it than others.
     """
     n = _common.parts(named.sparkSession)
 
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        block = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
+            nonlocal block
             all_of = np.concatenate(held)
             held.clear()
-            got = list(_common.cut(all_of, (all_of[:, 0] % np.uint64(n)).astype(_I64), n))
-            cols = [pa.array([k for k, _ in got], pa.int32()), pa.array([x.tobytes() for _, x in got], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["bucket", "packed"])
+            all_of = all_of[np.argsort(all_of[:, 0], kind="stable")]
+            new = np.flatnonzero(np.diff(all_of[:, 0], prepend=~all_of[:1, 0]))
+            count = np.diff(np.append(new, len(all_of)))
+            place = np.arange(len(all_of)) - np.repeat(new, count)
+            known = np.repeat(count > 1, count)
+            asked = all_of[place < 2]
+            got = list(_common.cut(asked, (asked[:, 0] % np.uint64(n)).astype(_I64), n))
+            rows = [(k, False, x.tobytes()) for k, x in got]
+            if known.any():
+                block += 1
+                rows.append((block % n, True, all_of[known].tobytes()))
+            kinds = pa.int32(), pa.bool_(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], ["bucket", "known", "packed"])
 
         for b in batches:
             keys = b.column(0).to_numpy()
@@ -108,8 +123,8 @@ def repeated_phrases(named: DataFrame) -> DataFrame:
                 at = np.flatnonzero(p == top)
                 row = np.searchsorted(w.first, at, "right") - 1
                 held.append(np.stack([p[at], keys[i + row].astype(np.uint64)], 1))
-            if sum(map(len, held)) >= 1 << 19:
-                yield flush()
+                if sum(map(len, held)) >= 1 << 19:
+                    yield flush()
         if held:
             yield flush()
 
@@ -120,32 +135,56 @@ def repeated_phrases(named: DataFrame) -> DataFrame:
             x = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2)
             held.clear()
             value, owner = seen.add(x[:, 0], x[:, 1].astype(_I64))
-            return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(value.astype(_I64))], ["key", "phrase"])
+            return _pairs(owner, value)
+
+        def _pairs(owner: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(owner.astype(_I64)), pa.array(value.astype(_I64))], ["key", "phrase"])
 
         for b in batches:
-            held += b.column(1).to_pylist()
+            for known, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if known:
+                    x = np.unique(np.frombuffer(packed, np.uint64).reshape(-1, 2), axis=0)
+                    yield _pairs(x[:, 1], x[:, 0])
+                else:
+                    held.append(packed)
             if sum(map(len, held)) >= 1 << 24:
                 yield flush()
         if held:
             yield flush()
 
-    packed = named.select("key", "text").mapInArrow(name, "bucket int, packed binary")
+    packed = named.select("key", "text").mapInArrow(name, "bucket int, known boolean, packed binary")
     dealt = packed.repartitionById(n, F.col("bucket"))
     found = dealt.mapInArrow(meet, "key long, phrase long")
     return found.groupBy("key").agg(F.collect_set("phrase").alias("phrases"))  # at most a document's own
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """Stretches of a row whose windows name one repeated phrase: phrase, ctx (hash of the words), key, place, text."""
-    to_space = bytes(32 if _words.SPACES[b] else b for b in range(256))
+def _runs(key: np.ndarray, row: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and window after the last of each stretch: hits of one row and key in a row, ``STRETCH`` at most."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return at, at
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (key[at[1:]] != key[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
+    first = np.flatnonzero(new)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(place % STRETCH == 0)
+    return at[first], at[np.append(first[1:], len(at)) - 1] + 1
+
+
+def stretches(rows: DataFrame) -> DataFrame:
+    """Stretches of a row whose windows name one repeated phrase: phrase, key, check, place (first word), text.
+
+    A stretch of 256 windows goes on in another one, so a periodic text, all of whose windows name one phrase, has
+    stretches of bounded size too. Words of the text are parted by one space.
+    """
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_numpy()
-            lists = b.column(2)
+            keys, checks = b.column(0).to_numpy(), b.column(1).to_numpy()
+            lists = b.column(3)
             ends = lists.offsets.to_numpy()
             values = lists.values.to_numpy()
-            for i, j, data, offs in _words.blocks(b.column(1)):
+            for i, j, data, offs in _words.blocks(b.column(2)):
                 w = _words.words(data, offs)
                 _, least, ok = _windows(w)
                 row = _words.row_of(w.first)[: len(least)]
@@ -156,29 +195,40 @@ def contexts(rows: DataFrame) -> DataFrame:
                 asked = _words.mix(least + row.astype(np.uint64) * np.uint64(_words._R))
                 spot = np.minimum(np.searchsorted(pair, asked), max(0, len(pair) - 1))
                 hit = ok & (pair[spot] == asked) if len(pair) else np.zeros(len(ok), bool)
-                at = np.flatnonzero(hit)
-                if not len(at):
-                    continue
-                new = np.ones(len(at), bool)
-                new[1:] = (np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
-                start = at[new]
-                end = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + WINDOW
-                sums = _words._sums(w.hash, _words._Q)
-                inverse = _words.powers(pow(_words._Q, -1, 1 << 64), len(w.hash) + 1)
-                ctx = _words.mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-                texts = [w.text(s, e).translate(to_space) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-                cols = [
-                    pa.array(least[start].astype(_I64)), pa.array(ctx.astype(_I64)), pa.array(keys[i + row[start]]),
-                    pa.array((start - w.first[row[start]]).astype(_I64)), pa.array(texts, pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["phrase", "ctx", "key", "place", "text"])
-
-    return rows.select("key", "text", "phrases").mapInArrow(
-        look, "phrase long, ctx long, key long, place long, text binary"
-    )
-
-
-def passages(w: _words.Words, weight: np.ndarray) -> list[np.ndarray]:
+                start, end = _runs(least, row, hit)
+                for s in range(0, len(start), 4096):
+                    a, e = start[s : s + 4096], end[s : s + 4096] + WINDOW - 1
+                    texts = [b" ".join(w.text(x, y).split()) for x, y in zip(a.tolist(), e.tolist(), strict=True)]
+                    cols = [
+                        pa.array(least[a].astype(_I64)), pa.array(keys[i + row[a]]), pa.array(checks[i + row[a]]),
+                        pa.array((a - w.first[row[a]]).astype(_I64)), pa.array([len(x) for x in texts], pa.int32()), pa.array(texts, pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, ["phrase", "key", "check", "place", "size", "text"])
+
+    return rows.select("key", "check", "text", "phrases").mapInArrow(look, FOUND)
+
+
+def _recut(batches: Iterable[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
+    """(phrase, part, text, n) cut again: by the window's least phrase under other hashes, or (``single``) window by window."""
+    for b in batches:
+        for i, _, data, offs in _words.blocks(b.column(2)):
+            w = _words.words(data, offs)
+            key = _words.runs(_words.mix(w.hash), WINDOW)
+            if not single:
+                key = _least(_words.mix(_words.runs(w.hash, PHRASE)), WINDOW - PHRASE + 1)
+            row = _words.row_of(w.first)[: len(key)]
+            ok = _words.inside_rows(w.first, WINDOW, len(key))
+            start, end = (np.flatnonzero(ok), np.flatnonzero(ok) + 1) if single else _runs(key, row, ok)
+            for s in range(0, len(start), 4096):
+                a, e = start[s : s + 4096], end[s : s + 4096] + WINDOW - 1
+                take = pa.array(i + row[a])
+                part = _words.mix(key[a] + b.column(1).take(take).to_numpy().astype(np.uint64))
+                texts = [w.text(x, y) for x, y in zip(a.tolist(), e.tolist(), strict=True)]
+                cols = [b.column(0).take(take), pa.array(part.astype(_I64)), pa.array(texts, pa.binary()), b.column(3).take(take)]
+                yield pa.RecordBatch.from_arrays(cols, ["phrase", "part", "text", "n"])
+
+
+def recurring(w: _words.Words, weight: np.ndarray) -> list[np.ndarray]:
     """Word places (first, end) of the passages that recur among weighted rows.
 
     A passage is a run of recurring windows that occur only together, so it is found whole wherever it is found.
@@ -210,142 +260,192 @@ def passages(w: _words.Words, weight: np.ndarray) -> list[np.ndarray]:
     return [at[begin], at[last] + WINDOW]
 
 
-def locate(texts: pa.Array, weight: np.ndarray) -> list[bytes]:
-    """Of each row the spans of words (pairs of int32) that recur, by one automaton over the rows' passages."""
-    import ahocorasick
-
-    data, offs = _words.columns(texts)
-    w = _words.words(data, offs)
-    found = passages(w, weight)
-    if not found:
-        return [b""] * (len(offs) - 1)
-    _, ids = np.unique(w.hash, return_inverse=True)
-    words = tuple(ids.tolist())
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    sums = _words._sums(w.hash, _words._Q)
-    inverse = _words.powers(pow(_words._Q, -1, 1 << 64), len(w.hash) + 1)
-    a, b = found
-    _, one = np.unique((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64), return_index=True)
-    for s, e in zip(a[one].tolist(), b[one].tolist(), strict=True):
-        machine.add_word(words[s:e], e - s)
-    machine.make_automaton()
-    out = []
-    first = w.first.tolist()
-    for i, j in zip(first[:-1], first[1:], strict=True):
-        spans: list[int] = []
-        for end, n in machine.iter(words[i:j]):
-            s, e = end + 1 - n, end + 1
-            while spans and s <= spans[-1] and s < spans[-2]:  # a longer passage that ends later
-                s, e = min(s, spans[-2]), max(e, spans[-1])
-                del spans[-2:]
-            if spans and s <= spans[-1]:
-                spans[-1] = max(e, spans[-1])
-            else:
-                spans += [s, e]
-        out.append(np.array(spans, np.int32).tobytes())
-    return out
-
-
-def repeated_spans(distinct: DataFrame, group: int = GROUP, shard: int = SHARD) -> DataFrame:
-    """(phrase, ctx, spans) of contexts with recurring windows; ``distinct``: phrase, ctx, text, n (how often it occurs).
-
-    Windows that are equal name the same phrase, so each phrase's contexts are compared among themselves: dealt by
-    phrase, a shard of whole phrases at a time, each with an automaton of its own. A phrase with more than ``group``
-    different contexts would hold up one task, so its windows are counted one by one over all tasks instead.
-    """
-    n = _common.parts(distinct.sparkSession)
-    sizes = distinct.groupBy("phrase").agg(F.count("*").alias("size"))
-    # few at most: each has more than ``group`` contexts; stored, so that the texts need not be shuffled to be told apart
-    hot = _common.bounded(_common.stage(sizes.where(F.col("size") > group).select("phrase"), "hot"), 8)
-    cold = distinct.join(hot, "phrase", "left_anti")
+def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of stretches (phrase, part, text, n) that come by part and text; copies are counted, then parts compared."""
+    held: list[list] = []  # phrase, text, n
+    size, last = 0, None
+
+    def flush() -> pa.RecordBatch:
+        data, offs = _words.columns(pa.array([x for _, x, _ in held], pa.binary()))
+        w = _words.words(data, offs)
+        found = recurring(w, np.array([n for *_, n in held], float))
+        out: list[tuple[int, bytes]] = []
+        if found:
+            row = np.searchsorted(w.first, found[0], "right") - 1
+            spans = zip(row.tolist(), found[0].tolist(), found[1].tolist(), strict=True)
+            out = sorted({(held[r][0], w.text(a, e)) for r, a, e in spans})
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["phrase", "words"])
+
+    for b in batches:
+        for phrase, part, text, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if part == last and held and held[-1][1] == text:
+                held[-1][2] += n
+                continue
+            if part != last and size >= SHARD:
+                yield flush()
+                size = 0
+            held.append([phrase, text, n])
+            size, last = size + len(text), part
+    if held:
+        yield flush()
 
-    def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def flush(rows: pa.Table) -> pa.RecordBatch:
-            spans = locate(rows.column("text").combine_chunks(), rows.column("n").to_numpy().astype(float))
-            keep = pa.array([bool(x) for x in spans])
-            cols = [rows.column("phrase").combine_chunks(), rows.column("ctx").combine_chunks(), pa.array(spans, pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["phrase", "ctx", "spans"]).filter(keep)
+def confirmed(found: DataFrame, group: int = GROUP, share: float = 2.0) -> DataFrame:
+    """phrase, words: the passages that recur among stretches, each once; a passage occurs whole wherever a part of it does.
 
-        for b in batches:
-            held.append(b)
-            rows = pa.Table.from_batches(held)
-            held = [*rows.to_batches()]
-            while rows.num_rows >= shard + group:
-                phrase = rows.column("phrase").to_numpy()
-                cut = shard + int(np.argmax(phrase[shard:] != phrase[shard - 1]))
-                if cut == shard and phrase[shard] == phrase[shard - 1]:
-                    break
-                yield flush(rows.slice(0, cut))
-                rows = rows.slice(cut)
-                held = rows.to_batches()
-        if held:
-            yield flush(pa.Table.from_batches(held))
+    Windows that are equal name the same phrase, so stretches are compared phrase by phrase. A phrase with more bytes
+    than its share of a task is counted copy by copy first, and what is still too much is cut by a second name of each
+    window, then window by window, which Spark counts like any key; so no phrase fills a task.
+    """
+    n = _common.parts(found.sparkSession)
+    kind = "phrase long, part long, text binary, n long"
+    rows = found.select("phrase", F.col("phrase").alias("part"), "text", F.lit(1).cast("long").alias("n"), "size")
+    out = []
 
-    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, offs in _words.blocks(b.column(2)):
-                w = _words.words(data, offs)
-                runs = _words.runs(w.hash, WINDOW)
-                again = _words.runs(_words.mix(w.hash), WINDOW)
-                at = np.flatnonzero(_words.inside_rows(w.first, WINDOW, len(runs)))
-                row = np.searchsorted(w.first, at, "right") - 1
-                take = pa.array(i + row)
-                cols = [
-                    b.column(0).take(take), b.column(1).take(take), b.column(3).take(take),
-                    pa.array((at - w.first[row]).astype(_I64)), pa.array(runs[at].astype(_I64)), pa.array(again[at].astype(_I64)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["phrase", "ctx", "n", "place", "h1", "h2"])
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for places in b.column(2).to_pylist():
-                spans: list[int] = []
-                for p in places:
-                    if spans and p <= spans[-1]:
-                        spans[-1] = p + WINDOW
-                    else:
-                        spans += [p, p + WINDOW]
-                out.append(np.array(spans, np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["phrase", "ctx", "spans"])
-
-    kind = "phrase long, ctx long, spans binary"
-    few = cold.select("phrase", "ctx", "text", "n").repartition(n, "phrase").sortWithinPartitions("phrase", "ctx").mapInArrow(match, kind)
-    windows = distinct.join(hot, "phrase", "left_semi").select("phrase", "ctx", "text", "n").mapInArrow(
-        split, "phrase long, ctx long, n long, place long, h1 long, h2 long"
+    def compare(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "part").sortWithinPartitions("part", "text").mapInArrow(_confirm, "phrase long, words binary")
+
+    for single in (False, True):
+        hot, limit = _common.hot_keys(rows, ["part"], F.col("size"), group, share)
+        small = _common.bounded(hot.select("part"), 8)
+        out.append(compare(rows.join(small, "part", "left_anti").select("phrase", "part", "text", "n")))
+        if hot.isEmpty():
+            return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+        warm = rows.join(small, "part", "left_semi").groupBy("phrase", "part", "text").agg(F.sum("n").alias("n"))
+        warm = _common.stage(warm.select("phrase", "part", "text", "n"), "warm")
+        still = warm.groupBy("part").agg(F.sum(F.length("text")).alias("size")).where(F.col("size") > limit).select("part")
+        still = _common.bounded(_common.stage(still, "still"), 8)
+        out.append(compare(warm.join(still, "part", "left_anti").select("phrase", "part", "text", "n")))
+        again = warm.join(still, "part", "left_semi").select("phrase", "part", "text", "n")
+        rows = _common.stage(again.mapInArrow(lambda b, s=single: _recut(b, s), kind), "recut").withColumn("size", F.length("text"))
+    one = rows.groupBy("phrase", "text").agg(F.sum("n").alias("n")).where("n > 1").select("phrase", F.col("text").alias("words"))
+    for x in out:
+        one = one.unionByName(x)
+    return one
+
+
+class Automaton:
+    """Aho-Corasick over the words of one shard's passages; a word that no passage has parts what it stands between."""
+
+    def __init__(self, passages: list[bytes]):
+        import ahocorasick
+
+        w = _words.words(*_words.columns(pa.array(passages, pa.binary())))
+        self.known = np.unique(w.hash)
+        ids = (np.searchsorted(self.known, w.hash) + 1).tolist()
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+            if j > i:
+                self.machine.add_word(tuple(ids[i:j]), j - i)
+        self.machine.make_automaton()
+
+    def spans(self, texts: pa.Array, places: list[int]) -> Iterator[bytes]:
+        """Of each text the words (first, end, as int32 pairs, counted from its place) that passages cover."""
+        w = _words.words(*_words.columns(texts))
+        at = np.minimum(np.searchsorted(self.known, w.hash), max(0, len(self.known) - 1))
+        ids = np.where(self.known[at] == w.hash, at + 1, 0).tolist()
+        for i, j, place in zip(w.first[:-1].tolist(), w.first[1:].tolist(), places, strict=True):
+            out: list[int] = []
+            for end, n in self.machine.iter(tuple(ids[i:j])):
+                s, e = end + 1 - n + place, end + 1 + place
+                while out and s <= out[-2]:  # a longer passage that ends later
+                    e = max(e, out[-1])
+                    del out[-2:]
+                if out and s <= out[-1]:
+                    out[-1] = max(e, out[-1])
+                else:
+                    out += [s, e]
+            yield np.array(out, np.int32).tobytes()
+
+
+def _stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard, passages first: compiles each shard's automaton, then runs the stretches through it one by one."""
+    now, words, machine = None, [], None
+    for b in batches:
+        shard, slot = b.column(0).to_numpy(), b.column(1).to_numpy()
+        is_text = np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
+        edge = np.flatnonzero((np.diff(shard) != 0) | (np.diff(slot) != 0) | (is_text[1:] != is_text[:-1])) + 1
+        for i, j in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows], strict=True):
+            if i == j:
+                continue
+            own = (int(shard[i]), int(slot[i]))
+            if own != now:
+                now, words, machine = own, [], None
+            part = b.slice(i, j - i)
+            if not is_text[i]:
+                words += part.column(6).to_pylist()
+                continue
+            if machine is None and words:
+                machine, words = Automaton(words), []
+            if machine is not None:
+                spans = list(machine.spans(part.column(6), part.column(5).to_pylist()))
+                keep = pa.array([bool(x) for x in spans])
+                cols = [part.column(3), part.column(4), pa.array(spans, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "check", "spans"]).filter(keep)
+
+
+def located(found: DataFrame, passages: DataFrame, shard: int = SHARD, group: int = GROUP, share: float = 2.0) -> DataFrame:
+    """key, check, spans of the stretches in which an automaton finds a passage.
+
+    Passages are dealt to shards of about ``shard`` bytes by phrase; each stretch of every document goes to the shard of
+    its phrase. Stretches of a phrase with more than a task's share are dealt over tasks that all have its passages; and
+    if one phrase's passages are more than a shard, they make several, which its stretches all visit.
+    """
+    spark = found.sparkSession
+    n = _common.parts(spark)
+    size = passages.agg(F.sum(F.length("words"))).first()[0] or 0
+    shards = _common.spread(size, shard, n)
+    hot, _ = _common.hot_keys(found, ["phrase"], F.col("size"), group, share)
+    wide = passages.groupBy("phrase").agg(F.sum(F.length("words")).alias("bytes")).where(F.col("bytes") > shard)
+    wide = wide.select("phrase", F.ceil(F.col("bytes") / shard).cast("int").alias("subs"))
+    special = _common.bounded(_common.stage(hot.join(wide, "phrase", "full"), "special"), 24)
+
+    def dealt(df: DataFrame, salt: Column, sub: Column) -> DataFrame:
+        fans, subs = F.coalesce("fans", F.lit(1)), F.coalesce("subs", F.lit(1))
+        own = df.join(special, "phrase", "left")
+        own = own.withColumn("common", F.col("fans").isNull() & F.col("subs").isNull())
+        common = F.col("common")
+        # shards of several phrases have numbers from 0, a phrase that stands alone its own hash
+        number = F.when(common, F.pmod(F.xxhash64("phrase"), F.lit(shards))).otherwise(F.col("phrase"))
+        own = own.withColumn("shard", number).withColumn("fans", fans).withColumn("subs", subs)
+        own = own.withColumn("salt", salt).withColumn("sub", sub)
+        return own.withColumn("slot", F.when(common, 0).otherwise(1 + F.col("salt") * F.col("subs") + F.col("sub")).cast("int"))
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    texts = dealt(found, F.pmod(F.xxhash64("key", "place"), F.col("fans")).cast("int"), each("subs"))
+    words = dealt(passages, each("fans"), F.pmod(F.xxhash64("words"), F.col("subs")).cast("int"))
+    none = F.lit(None).cast("long")
+    rows = texts.select("shard", "slot", F.lit(True).alias("is_text"), "key", "check", "place", "text").unionByName(
+        words.select("shard", "slot", F.lit(False).alias("is_text"), none.alias("key"), none.alias("check"), none.alias("place"), F.col("words").alias("text"))
+    )
+    return rows.repartition(n, "shard", "slot").sortWithinPartitions("shard", "slot", "is_text").mapInArrow(
+        _stream, "key long, check long, spans binary"
     )
-    again = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n >= 2").select("h1", "h2")
-    places = windows.join(again, ["h1", "h2"]).groupBy("phrase", "ctx").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    return few.unionByName(places.select("phrase", "ctx", "places").mapInArrow(pack, kind))
 
 
-def repeats(docs: DataFrame, group: int = GROUP, shard: int = SHARD) -> DataFrame:
-    """key, doc_id, text (null: empty) and spans: packed (place, end) int32 pairs of words that recurring windows cover.
+def repeats(docs: DataFrame, shard: int = SHARD, group: int = GROUP, share: float = 2.0) -> DataFrame:
+    """doc_id, text (null: empty) and spans: packed (first, end) int32 pairs of words that recurring windows cover.
 
     A window is 35 words of one row; it recurs if its words start at any other place of the table, in that row or
-    another, a repeated row included. Rows shorter than a window, null and empty texts have no spans. Equal contexts
-    are counted before they meet, so groups of copies cost one row each; occurrences are found again by a join.
+    another, a repeated row included. First the windows that may recur are told by a phrase that they name; their
+    stretches are stored, recurring passages among them confirmed, compiled into sharded automata, and then all
+    stretches of all documents run through the automata, which alone say where passages stand.
+
+    Rows shorter than a window, null and empty texts have no spans; rows with a null doc_id count like others; rows that
+    are equal share a key and their spans; an empty table gives none; other columns are ignored. A text takes about ten
+    times its bytes in a task, so one of 64 MB is safe.
     """
     named = _named(docs)
     phrases = repeated_phrases(named)
-    found = _common.stage(contexts(named.join(phrases, "key")), "contexts")
-    distinct = _common.stage(found.groupBy("phrase", "ctx", "text").agg(F.count("*").alias("n")), "distinct")
-    spans = _common.stage(repeated_spans(distinct, group, shard), "passages")
-
-    def shift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [
-                (np.frombuffer(x, np.int32) + p).astype(np.int32).tobytes()
-                for p, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["key", "spans"])
-
-    at = found.select("phrase", "ctx", "key", "place").join(spans, ["phrase", "ctx"]).select("key", "place", "spans")
-    of_doc = at.mapInArrow(shift, "key long, spans binary").groupBy("key").agg(F.collect_set("spans").alias("spans"))
-    of_doc = _common.stage(of_doc, "spans")
-    return named.join(_common.bounded(of_doc, 400), "key", "left")
+    found = _common.stage(stretches(named.join(phrases, "key")), "stretches")
+    passages = _common.stage(confirmed(found, group, share), "passages")
+    spans = located(found, passages, shard, group, share).groupBy("key", "check").agg(F.collect_set("spans").alias("spans"))
+    of_doc = _common.stage(spans, "spans")
+    size = F.aggregate("spans", F.lit(64), lambda a, x: a + F.length(x) + 16)
+    return named.join(_common.bounded(of_doc, size), ["key", "check"], "left").select("doc_id", "text", "spans")
 
 
 def removed(n: int, spans: Iterable[bytes] | None) -> np.ndarray:
@@ -364,18 +464,23 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            cols = [b.column(k).to_pylist() for k in range(3)]
-            for doc_id, text, spans in zip(*cols, strict=True):
-                words = text.encode().split()  # of bytes: splits at the six ASCII spaces only
-                gone = removed(len(words), spans)
-                kept = [x for x, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            ids, spans = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for i, j, data, offs in _words.blocks(b.column(1)):
+                w = _words.words(data, offs)
+                for r in range(i, j):
+                    a, e = int(w.first[r - i]), int(w.first[r - i + 1])
+                    gone = removed(e - a, spans[r])
+                    sha, first = hashlib.sha256(), True
+                    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=1, append=1))  # kept from, kept until, ...
+                    for s, t in edges.reshape(-1, 2).tolist():
+                        for k in range(s, t, 100_000):
+                            sha.update((b"" if first else b" ") + b" ".join(w.text(a + k, a + min(t, k + 100_000)).split()))
+                            first = False
+                    rows.append((ids[r], e - a, int(gone.sum()), sha.hexdigest()))
             kinds = pa.int64(), pa.int64(), pa.int64(), pa.string()
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, kinds, strict=True)], names
             )
 
-    return found.select("doc_id", "text", "spans").mapInArrow(
-        digest, "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    )
+    return found.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,6 +1,8 @@
 """Operators that compare rows with each other, on odd rows and against brute force."""
 
+import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -77,31 +79,66 @@ def test_tree_finds_what_links(sets, leader):
     assert sorted(got) == [i for i, s in enumerate(sets) if 100 * len(s & leader) >= 75 * len(s | leader)]
 
 
-@pytest.mark.parametrize(("group", "shard"), [(1, 4), (repeats.GROUP, repeats.SHARD)])
-def test_repeats(spark, group, shard):
-    rng = random.Random(2)
-    words = [f"w{i}" for i in range(120)]
-    docs = [" ".join(words), "x " + " \n".join(words[10:80]) + " y", " ".join(words[40:120] + words[:36]), " ".join(words[:34]), "k " * 36, "m " * 35, " ".join(words[20:54]), None, ""]
-    docs += [" ".join(words[60:100])] * 3 + [" ".join(f"r{rng.randrange(10**6)}" for _ in range(90)), "n n2 " * 60]
-    docs = list(enumerate(docs))
-    own = {i: (t or "").split() for i, t in docs}
+def kept_words(docs):
+    own = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in docs}
     count = Counter(tuple(w[k : k + 35]) for w in own.values() for k in range(len(w) - 34))
-    want = {}
+    out = {}
     for i, w in own.items():
         gone = np.zeros(len(w), bool)
         for k in range(len(w) - 34):
             gone[k : k + 35] |= count[tuple(w[k : k + 35])] > 1
-        want[i] = [x for x, g in zip(w, gone, strict=True) if not g]
+        out[i] = [x for x, g in zip(w, gone, strict=True) if not g]
+    return own, out
+
+
+def repeating_documents():
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(120)]
+    docs = [" ".join(words), "x " + " \n".join(words[10:80]) + " y", " ".join(words[40:120] + words[:36]), " ".join(words[:34]), "k " * 36, "m " * 35, " ".join(words[20:54]), None, ""]
+    docs += [" ".join(words[60:100])] * 3 + [" ".join(f"r{rng.randrange(10**6)}" for _ in range(90)), "n n2 " * 60, "p q r " * 400, "q r p " * 300, "z " + "q r p " * 90]
+    common = " ".join(f"c{i}" for i in range(25))  # one phrase of very many surroundings, a few of which recur
+    docs += [" ".join([f"a{rng.randrange(60)}" for _ in range(14)] + [common] + [f"b{rng.randrange(3)}" for _ in range(14)]) for _ in range(60)]
+    docs += [" ".join([f"d{k % 7}_{i}" for i in range(9)] + [common] + [f"e{k % 5}_{i}" for i in range(9)]) for k in range(40)]
+    docs += [" ".join(words[: 60 + k]) + f" end{k}" for k in range(12)]
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize(("group", "shard", "share"), [(1, 50, 1e9), (1, 10_000, 40.0), (repeats.GROUP, repeats.SHARD, 2.0)])
+def test_repeats(spark, group, shard, share):
+    docs = repeating_documents()
+    own, want = kept_words(docs)
     got = {}
-    for r in repeats.repeats(table(spark, docs), group, shard).select("doc_id", "text", "spans").collect():
-        w = r["text"].split()
+    for r in repeats.repeats(table(spark, docs), shard, group, share).collect():
+        w = own[r["doc_id"]]
         got[r["doc_id"]] = [x for x, g in zip(w, repeats.removed(len(w), r["spans"]), strict=True) if not g]
     assert got == want and sum(map(len, want.values())) < sum(map(len, own.values()))
 
 
+def test_repeats_query(spark, tmp_path):
+    docs = repeating_documents()
+    own, want = kept_words(docs)
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.op5_repeats(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(own[i]), len(own[i]) - len(w), hashlib.sha256(" ".join(w).encode()).hexdigest()) for i, w in want.items()}
+
+
+def test_without_the_automaton_nothing_is_found(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "_stream", lambda batches: iter(()))
+    assert all(not r["spans"] for r in repeats.repeats(table(spark, repeating_documents())).collect())
+
+
+def test_long_periodic_texts_have_bounded_stretches(spark):
+    docs = [(k, " ".join(f"t{(i + k) % 11}" for i in range(20_000))) for k in range(40)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    named = repeats._named(rows)
+    found = repeats.stretches(named.join(repeats.repeated_phrases(named), "key"))
+    assert max(len(bytes(r["text"]).split()) for r in found.select("text").collect()) == repeats.STRETCH + repeats.WINDOW - 1
+    assert all(repeats.removed(20_000, r["spans"]).all() for r in repeats.repeats(rows).collect())
+
+
 def test_repeats_on_odd_tables(spark):
     twice = [(None, "b " * 40), (1, "c " * 34), (7, " ".join(map(str, range(35)))), (7, " ".join(map(str, range(35))))]
-    rows = repeats.repeats(table(spark, twice)).select("doc_id", "text", "spans").collect()
+    rows = repeats.repeats(table(spark, twice)).collect()
     left = sorted((r["doc_id"] or 0, int((~repeats.removed(len(r["text"].split()), r["spans"])).sum())) for r in rows)
     assert left == [(0, 0), (1, 34), (7, 0), (7, 0)]
     assert repeats.repeats(table(spark, [])).count() == 0
