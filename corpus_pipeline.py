@@ -39,7 +39,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document: its place in a sequence of at most 2048 tokens."""
     pieces = packing.pieces_of(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(_common.stage(pieces, "pieces"))
+    return packing.pack(pieces)
 
 
 STAGES = [

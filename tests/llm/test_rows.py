@@ -96,7 +96,7 @@ def test_records_round_trip(spark, odd, none, tmp_path):
 def test_packing(spark, odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
-    rows = packing.pack(packing.pieces_of(docs, path).cache()).collect()
+    rows = packing.pack(packing.pieces_of(docs, path)).collect()
     by = defaultdict(list)
     for r in rows:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -111,21 +111,49 @@ def test_packing(spark, odd, none):
     assert packing.pack(packing.pieces_of(none, path)).count() == 0
 
 
-def test_plan_is_best_fit():
+def best_fit(lengths, capacity):
+    """Number of sequences of best fit, one piece at a time, longest first."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        g = min(fits) if fits else capacity
+        if fits:
+            gaps.remove(g)
+        gaps.append(g - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind", ["any", "long", "short", "equal"])
+def test_packing_against_best_fit(spark, kind):
     rng = random.Random(3)
-    for _ in range(200):
-        counts = {rng.randrange(1, 33): rng.randrange(1, 9) for _ in range(rng.randrange(1, 12))}
-        gaps: list[int] = []  # best fit, one piece at a time
-        for n in sorted((k for k, c in counts.items() for _ in range(c)), reverse=True):
-            fits = [g for g in gaps if g >= n]
-            g = min(fits) if fits else 32
-            if fits:
-                gaps.remove(g)
-            gaps.append(g - n)
-        rows = packing.plan(counts, 32)
-        used = {s + i // per for _, _, n, s, per, _ in rows for i in range(n)}
-        assert len(used) == len(gaps)
-        assert sum(r[2] for r in rows) == sum(counts.values())
+    draw = {"any": lambda: min(2048, int(rng.expovariate(1 / 500)) + 1), "long": lambda: rng.randrange(500, 900), "short": lambda: rng.randrange(1, 40), "equal": lambda: 700}[kind]
+    lengths = [draw() for _ in range(1500)]
+    rows = packing.pack(spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES)).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for v in by.values():
+        end = 0
+        for at, n in sorted(v):
+            assert at == end
+            end += n
+        assert end <= 2048
+    assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(lengths))
+    assert len(by) <= best_fit(lengths, 2048) * 1.01 + 1
+
+
+def test_packing_query(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            want[r["doc_id"], k] = (s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes()))
+    rows = packing.op8_best_fit(spark, SF).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    assert len({r["sequence_id"] for r in rows}) <= 1.01 * best_fit([n for _, n, _ in want.values()], 2048)
 
 
 def test_secret_patterns():
