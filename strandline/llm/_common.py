@@ -37,6 +37,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``stage``, in buckets of ``key``: joins on it later shuffle the other side only."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(parts(spark), key).option("path", shared_dir(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved now, so that the name can go; the files stay
+    spark.sql(f"drop table {table}")
+    return out
+
+
 def bounded(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Marks ``df``, a stored table, for broadcast if its rows fit the limit; else Spark shuffles it.
 

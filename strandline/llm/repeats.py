@@ -17,6 +17,8 @@ from strandline.llm import _common, _words
 WINDOW, PHRASE, STRETCH = 35, 8, 256
 #: Bytes of passages that one automaton holds, and of stretches below which no phrase is dealt to several tasks.
 SHARD, GROUP = 4 << 20, 1 << 18
+#: Bytes of stretches for which there is a task at least.
+PART = 64 << 20
 FOUND = "phrase long, key long, check long, place long, size int, text binary"
 _I64 = np.int64
 
@@ -298,7 +300,7 @@ def confirmed(found: DataFrame, group: int = GROUP, share: float = 2.0) -> DataF
     than its share of a task is counted copy by copy first, and what is still too much is cut by a second name of each
     window, then window by window, which Spark counts like any key; so no phrase fills a task.
     """
-    n = _common.parts(found.sparkSession)
+    n = _common.spread(found.agg(F.sum("size")).first()[0] or 0, PART, _common.parts(found.sparkSession))
     kind = "phrase long, part long, text binary, n long"
     rows = found.select("phrase", F.col("phrase").alias("part"), "text", F.lit(1).cast("long").alias("n"), "size")
     out = []
@@ -392,8 +394,8 @@ def located(found: DataFrame, passages: DataFrame, shard: int = SHARD, group: in
     its phrase. Stretches of a phrase with more than a task's share are dealt over tasks that all have its passages; and
     if one phrase's passages are more than a shard, they make several, which its stretches all visit.
     """
-    spark = found.sparkSession
-    n = _common.parts(spark)
+    n = _common.parts(found.sparkSession)
+    many = _common.spread(found.agg(F.sum("size")).first()[0] or 0, PART, n)
     size = passages.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = _common.spread(size, shard, n)
     hot, _ = _common.hot_keys(found, ["phrase"], F.col("size"), group, share)
@@ -421,7 +423,7 @@ def located(found: DataFrame, passages: DataFrame, shard: int = SHARD, group: in
     rows = texts.select("shard", "slot", F.lit(True).alias("is_text"), "key", "check", "place", "text").unionByName(
         words.select("shard", "slot", F.lit(False).alias("is_text"), none.alias("key"), none.alias("check"), none.alias("place"), F.col("words").alias("text"))
     )
-    return rows.repartition(n, "shard", "slot").sortWithinPartitions("shard", "slot", "is_text").mapInArrow(
+    return rows.repartition(many, "shard", "slot").sortWithinPartitions("shard", "slot", "is_text").mapInArrow(
         _stream, "key long, check long, spans binary"
     )
 
@@ -439,13 +441,16 @@ def repeats(docs: DataFrame, shard: int = SHARD, group: int = GROUP, share: floa
     times its bytes in a task, so one of 64 MB is safe.
     """
     named = _named(docs)
-    phrases = repeated_phrases(named)
-    found = _common.stage(stretches(named.join(phrases, "key")), "stretches")
+    # stored by key, so that texts are shuffled once, for the phrases, and not again for the spans
+    rows = _common.stage_by(named.join(repeated_phrases(named), "key", "left"), "key", "documents")
+    found = _common.stage(stretches(rows.where("phrases is not null")), "stretches")
     passages = _common.stage(confirmed(found, group, share), "passages")
-    spans = located(found, passages, shard, group, share).groupBy("key", "check").agg(F.collect_set("spans").alias("spans"))
-    of_doc = _common.stage(spans, "spans")
-    size = F.aggregate("spans", F.lit(64), lambda a, x: a + F.length(x) + 16)
-    return named.join(_common.bounded(of_doc, size), ["key", "check"], "left").select("doc_id", "text", "spans")
+    spans = located(found, passages, shard, group, share)
+    # of one key only the spans with a row's own check; other rows of that key are a chance of 64 bits
+    of_doc = _common.stage(spans.groupBy("key").agg(F.collect_set(F.struct("check", "spans")).alias("found")), "spans")
+    size = F.aggregate("found", F.lit(64), lambda a, x: a + F.length(x["spans"]) + 24)
+    own = F.transform(F.filter("found", lambda x: x["check"] == F.col("check")), lambda x: x["spans"])
+    return rows.drop("phrases").join(_common.bounded(of_doc, size), "key", "left").select("doc_id", "text", own.alias("spans"))
 
 
 def removed(n: int, spans: Iterable[bytes] | None) -> np.ndarray:
