@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ from strandline.llm import _common, _words
 SHINGLE = 5
 #: Shingles and rows that one packed block holds, pairs of one leader that meet in one task, sets in one tree.
 BLOCK, BLOCK_ROWS, FAN, TREE = 1 << 19, 60_000, 2048, 256
+#: Rows of a token on either side that are joined in one task.
+SLICE = 4096
 #: Bits of a set's signature, as columns of 64.
 BITS = 1024
 SIGNATURE = [f"s{k}" for k in range(BITS // 64)]
@@ -45,6 +46,15 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, np.searchsorted(row, np.arange(len(offs)))
 
 
+def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits in two columns for each row, which equal sets share."""
+    out = np.empty((len(first) - 1, 2), _I64)
+    for k, salt in enumerate((0x51, 0xA7)):
+        sums = np.concatenate([[_U64(0)], np.cumsum(_words.mix(h ^ _U64(salt * _words._R & (1 << 64) - 1)), dtype=_U64)])
+        out[:, k] = (sums[first[1:]] - sums[first[:-1]]).astype(_I64)
+    return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), fa and fb (128 bits that equal sets share)."""
 
@@ -52,207 +62,150 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i, j, data, offs in _words.blocks(b.column(1)):
                 h, first = shingle_sets(data, offs)
-                f = []
-                for salt in (0x51, 0xA7):
-                    sums = np.concatenate([[_U64(0)], np.cumsum(_words.mix(h ^ _U64(salt * _words._R & (1 << 64) - 1)), dtype=_U64)])
-                    f.append(pa.array((sums[first[1:]] - sums[first[:-1]]).astype(_I64)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(first).astype(_I64)), *f], ["doc_id", "n", "fa", "fb"]
-                )
+                f = fingerprints(h, first)
+                cols = [b.column(0).slice(i, j - i), pa.array(np.diff(first).astype(_I64)), *(pa.array(f[:, k].copy()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fa", "fb"])
 
     rows = docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text"))
     return rows.mapInArrow(look, "doc_id long, n long, fa long, fb long")
 
 
-PACKED = "block long, bucket int, hashes binary, rows binary, ids binary"
+PACKED = "block long, bucket int, hashes binary, counts binary, rows binary, ids binary"
+_NAMES = ["block", "bucket", "hashes", "counts", "rows", "ids"]
 
 
-def _pack(n_buckets: int, narrow: bool, sets: Iterable[tuple[list, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Blocks of (ids, hashes, row starts) as rows for each bucket of hashes, and one (bucket -1) with the ids.
+def _pack(n_buckets: int, narrow: bool, sets: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (ids, hashes, row starts): a row for each bucket with the block's distinct hashes in it and how many of
+    its rows have each, and one (bucket -1) with the rows of all of them in that order and the ids.
 
     Within a bucket 32 bits of a hash are enough to count by (``narrow``): chance agreement only lets more through.
     """
     task = TaskContext.get().partitionId() << 32
-    number = 0
-    ids: list = []
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    number = size = 0
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        nonlocal number
-        h = np.concatenate([x for x, _ in held])
-        row = np.concatenate([x for _, x in held]).astype(np.uint16)
+        nonlocal number, size
+        h = np.concatenate([x for _, x, _ in held])
+        row = np.concatenate([x for *_, x in held])
+        ids = np.concatenate([x for x, *_ in held])
         bucket = ((h >> _U64(32)) % _U64(n_buckets)).astype(_I64)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         kept = (h & _U64(0xFFFFFFFF)).astype(np.uint32) if narrow else h
-        kept, row_of = kept[order], row[order]
+        order = np.lexsort((kept, bucket))
+        bucket, kept = bucket[order], kept[order]
+        new = np.ones(len(kept), bool)
+        new[1:] = (kept[1:] != kept[:-1]) | (bucket[1:] != bucket[:-1])
+        at = np.flatnonzero(new)
+        counts = np.diff(np.append(at, len(kept))).astype(np.uint16)
+        ends = np.searchsorted(bucket[at], np.arange(n_buckets + 1))
+        distinct = kept[at]
         some = np.flatnonzero(np.diff(ends)).tolist()
-        sizes = np.bincount(row, minlength=len(ids)).astype(np.uint32)
+        none = [b""] * len(some)
         out = [
-            [task + number] * (len(some) + 1),
-            [-1, *some],
-            [b"" if narrow else h.tobytes(), *(kept[ends[k] : ends[k + 1]].tobytes() for k in some)],
-            [sizes.tobytes(), *(row_of[ends[k] : ends[k + 1]].tobytes() for k in some)],
-            [np.array(ids, _I64).tobytes(), *[b""] * len(some)],
-        ]
-        number += 1
+            [task + number] * (len(some) + 1), [-1, *some],
+            [b"" if narrow else distinct.tobytes(), *(distinct[ends[k] : ends[k + 1]].tobytes() for k in some)],
+            [counts.tobytes(), *(counts[ends[k] : ends[k + 1]].tobytes() for k in some)],
+            [row[order].astype(np.uint16).tobytes(), *none], [ids.tobytes(), *none],
+        ]
+        number, size = number + 1, 0
         held.clear()
-        ids.clear()
-        kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
-        names = ["block", "bucket", "hashes", "rows", "ids"]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+        kinds = pa.int64(), pa.int32(), *[pa.binary()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], _NAMES)
 
     for own, h, first in sets:
         row = _words.row_of(first)
         for s in range(0, len(own), BLOCK_ROWS):
-            if ids and (len(ids) + min(BLOCK_ROWS, len(own) - s) > BLOCK_ROWS):
-                yield flush()
             e = min(len(own), s + BLOCK_ROWS)
-            held.append((h[first[s] : first[e]], row[first[s] : first[e]] - s + len(ids)))
-            ids += own[s:e]
-            if sum(len(x) for x, _ in held) >= BLOCK:
+            if size + e - s > BLOCK_ROWS:
+                yield flush()
+            held.append((own[s:e], h[first[s] : first[e]], row[first[s] : first[e]] - s + size))
+            size += e - s
+            if sum(len(x) for _, x, _ in held) >= BLOCK:
                 yield flush()
-    if ids:
+    if size:
         yield flush()
 
 
-def _count(narrow: bool, answer):
-    """For each packed row what ``answer`` makes of its rows and of how many rows of the table have each hash.
+def _counted(packed: DataFrame, n_buckets: int, narrow: bool, answer) -> DataFrame:
+    """For each block what ``answer`` makes of how many rows of the table have each of its hashes, a byte each, by bucket.
 
-    Memory holds a bucket's distinct hashes; the packed rows wait in a temporary file of the task.
+    A block sends a hash once, however many of its rows have it, so no hash is much work for the task that counts its
+    bucket, which holds the bucket's hashes only. Blocks are stored, and meet their answers by number.
     """
     kind = np.uint32 if narrow else _U64
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryFile() as spool:
-            heads: dict[int, list[tuple[int, int, int]]] = {}
-            values: dict[int, np.ndarray] = {}
-            counts: dict[int, np.ndarray] = {}
-            held: dict[int, list[np.ndarray]] = {}
-
-            def merge(k: int) -> None:
-                v = np.concatenate([values.get(k, np.zeros(0, kind)), *held.pop(k)])
-                old = counts.get(k, np.zeros(0, _I64))
-                c = np.concatenate([old, np.ones(len(v) - len(old), _I64)])
-                values[k], back = np.unique(v, return_inverse=True)
-                counts[k] = np.bincount(back, c).astype(_I64)
-
-            for b in batches:
-                cols = [b.column(x).to_pylist() for x in range(4)]
-                for block, k, h, rows in zip(*cols, strict=True):
-                    heads.setdefault(k, []).append((block, spool.tell(), len(h)))
-                    spool.write(h)
-                    spool.write(rows)
-                    held.setdefault(k, []).append(np.frombuffer(h, kind))
-                    if sum(map(len, held[k])) > max(1 << 19, len(values.get(k, ()))):
-                        merge(k)
-            for k in list(held):
-                merge(k)
-            for k, own in heads.items():
-                out: list[tuple[int, int, bytes]] = []
-                for block, at, size in own:
-                    spool.seek(at)
-                    h = np.frombuffer(spool.read(size), kind)
-                    rows = np.frombuffer(spool.read(2 * len(h)), np.uint16)
-                    n = counts[k][np.searchsorted(values[k], h)]
-                    out.append((block, k, answer(rows, n)))
-                    if len(out) == 1000:
-                        yield _answers(out)
-                        out = []
-                if out:
-                    yield _answers(out)
-                del values[k], counts[k]
-
-    return run
-
-
-def _answers(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    kinds = pa.int64(), pa.int32(), pa.binary()
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "bucket", "hashes"]
-    )
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for b in batches:
+            for block, k, h, n in zip(*(b.column(x).to_pylist() for x in range(4)), strict=True):
+                own.setdefault(k, []).append((block, np.frombuffer(h, kind), np.frombuffer(n, np.uint16)))
+        for k in sorted(own):
+            rows = own.pop(k)
+            values, back = np.unique(np.concatenate([h for _, h, _ in rows]), return_inverse=True)
+            total = np.bincount(back, np.concatenate([n for *_, n in rows]), len(values))
+            said = answer(total)[back].tobytes()
+            at = 0
+            for s in range(0, len(rows), 1000):
+                part = rows[s : s + 1000]
+                cut = []
+                for _, h, _ in part:
+                    cut.append(said[at : at + len(h)])
+                    at += len(h)
+                none = pa.nulls(len(part), pa.binary())
+                cols = [pa.array([x for x, *_ in part], pa.int64()), pa.array([k] * len(part), pa.int32()), pa.array(cut, pa.binary()), none, none, none]
+                yield pa.RecordBatch.from_arrays(cols, _NAMES)
+
+    packed = _common.stage(packed, "blocks")
+    asked = packed.where("bucket >= 0").repartitionById(n_buckets, F.col("bucket")).mapInArrow(count, PACKED)
+    both = asked.unionByName(packed.where("bucket < 0"))
+    return both.repartition(_common.parts(packed.sparkSession), "block").sortWithinPartitions("block", "bucket")
+
+
+def _of_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]]:
+    """(ids, row of each hash, answer of each hash, distinct hashes, rows that have each of them) of each block."""
+    now: list | None = None
 
+    def whole() -> tuple:
+        ids, rows, counts, h, said = now
+        return ids, rows, np.repeat(np.frombuffer(b"".join(said), np.uint8), counts), h, counts
 
-def _of_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, dict[int, bytes]]]:
-    """(ids, sizes, hashes, answers by bucket) of each block of ``_exchanged``."""
-    now: list | None = None
     for b in batches:
-        for _, bucket, h, rows, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for _, bucket, h, counts, rows, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if bucket < 0:
                 if now:
-                    yield tuple(now)
-                now = [np.frombuffer(ids, _I64), np.frombuffer(rows, np.uint32).astype(_I64), h, {}]
-            elif now:
-                now[3][bucket] = h
+                    yield whole()
+                now = [np.frombuffer(ids, _I64), np.frombuffer(rows, np.uint16).astype(_I64), np.frombuffer(counts, np.uint16), h, []]
+            else:
+                now[4].append(h)
     if now:
-        yield tuple(now)
+        yield whole()
 
 
 def shared_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """doc_id, shared: how many of a document's shingles another document has as well (at least)."""
+    """fa, fb, shared: how many of a row's shingles another row has as well (at least); rows without any are left out."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets() -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        def sets() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for b in batches:
-                ids = b.column(0).to_pylist()
-                for i, j, data, offs in _words.blocks(b.column(1)):
-                    yield ids[i:j], *shingle_sets(data, offs)
+                for _, _, data, offs in _words.blocks(b.column(0)):
+                    h, first = shingle_sets(data, offs)
+                    yield fingerprints(h, first), h, first
 
         yield from _pack(n_buckets, True, sets())
 
-    def answer(rows: np.ndarray, n: np.ndarray) -> bytes:
-        at, c = np.unique(rows[n > 1], return_counts=True)
-        return np.stack([at.astype(np.uint32), c.astype(np.uint32)]).tobytes()
-
     def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sizes, _, answers in _of_blocks(batches):
-            shared = np.zeros(len(sizes), _I64)
-            for x in answers.values():
-                at, c = np.frombuffer(x, np.uint32).reshape(2, -1)
-                shared[at] += c
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(shared)], ["doc_id", "shared"])
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text"))
-    return _exchanged(rows.mapInArrow(pack, PACKED), n_buckets, True, answer).mapInArrow(total, "doc_id long, shared long")
-
-
-def _exchanged(packed: DataFrame, n_buckets: int, narrow: bool, answer) -> DataFrame:
-    """Deals packed rows by bucket, counts, and brings each block's answers back behind its own row (bucket -1).
-
-    A block's own row passes through with its buckets, so that both come from the same run of the same task.
-    """
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _through(batches, _count(narrow, answer))
-
-    to = F.when(F.col("bucket") < 0, F.pmod("block", F.lit(n_buckets)).cast("int")).otherwise(F.col("bucket"))
-    rows = packed.repartitionById(n_buckets, to).mapInArrow(meet, PACKED)
-    return rows.repartition(_common.parts(packed.sparkSession), "block").sortWithinPartitions("block", "bucket")
-
+        for ids, rows, shared, _, _ in _of_blocks(batches):
+            ids = ids.reshape(-1, 2)
+            n = np.bincount(rows, shared, len(ids)).astype(_I64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(n)], ["fa", "fb", "shared"])
 
-def _through(batches: Iterable[pa.RecordBatch], count) -> Iterator[pa.RecordBatch]:
-    """Answers for the buckets' rows; heads of blocks pass as they are."""
-    names = ["block", "bucket", "hashes", "rows", "ids"]
-    waiting: list[pa.RecordBatch] = []
-
-    def buckets() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            head = pa.array(np.asarray(b.column(1)) < 0)
-            if head.true_count:
-                waiting.append(b.filter(head))
-            yield b.filter(pa.array(~np.asarray(head)))
-
-    for b in count(buckets()):
-        while waiting:
-            yield waiting.pop()
-        none = pa.nulls(b.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([*b.columns, none, none], names)
-    while waiting:
-        yield waiting.pop()
+    rows = docs.where("doc_id is not null").select(_common.text_or_empty().alias("text"))
+    found = _counted(rows.mapInArrow(pack, PACKED), n_buckets, True, lambda n: (n > 1).astype(np.uint8))
+    return found.mapInArrow(total, "fa long, fb long, shared long")
 
 
 def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, n, hashes (sorted, packed) and signature of the chosen documents.
+    """node, n, hashes (sorted, packed) and signature of the chosen sets (node, doc_id, fa, fb), each once; stored.
 
     A bit of the signature says whether an odd number of the set's hashes falls on it. So two signatures differ in no
     more bits than the sets do in elements.
@@ -260,24 +213,30 @@ def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in _words.blocks(b.column(1)):
+            asked = np.stack([b.column(k).to_numpy() for k in (2, 3)], 1)
+            for i, j, data, offs in _words.blocks(b.column(0)):
                 h, first = shingle_sets(data, offs)
+                mine = pa.array((fingerprints(h, first) == asked[i:j]).all(1))  # another row of that doc_id may have another set
                 packed = [h[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)]
-                cols = [b.column(0).slice(i, j - i), pa.array(np.diff(first).astype(_I64)), pa.array(packed, pa.binary())]
+                cols = [b.column(1).slice(i, j - i), pa.array(np.diff(first).astype(_I64)), pa.array(packed, pa.binary())]
                 at = (h & _U64(BITS - 1)).astype(_I64) + BITS * _words.row_of(first)
                 odd = (np.bincount(at, minlength=BITS * (j - i)) & 1).astype(np.uint8).reshape(j - i, BITS)
                 bits = np.packbits(odd, axis=1).view(_I64)
                 cols += [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "hashes", *SIGNATURE])
+                yield pa.RecordBatch.from_arrays(cols, ["node", "n", "hashes", *SIGNATURE]).filter(mine)
 
     rows = docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text"))
-    return rows.join(_common.bounded(chosen, 64), "doc_id").select("doc_id", "text").mapInArrow(
-        look, "doc_id long, n long, hashes binary, " + ", ".join(f"{c} long" for c in SIGNATURE)
-    )
+    rows = rows.join(_common.bounded(chosen, 64), "doc_id").select("text", "node", "fa", "fb")
+    sets = rows.mapInArrow(look, "node long, n long, hashes binary, " + ", ".join(f"{c} long" for c in SIGNATURE))
+    sets = _common.stage(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+    # a repeated row gives its set again: the first one stays
+    twice = sets.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select("node", "first")
+    twice = _common.bounded(_common.stage(twice, "twice"), 16)
+    return sets.join(twice, "node", "left").where("first is null or first = row").drop("first", "row")
 
 
 def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
-    """token, doc_id, n, place, last: shared tokens in each set's prefix, with the table's rarest tokens first.
+    """token, node, n, place, last: shared tokens in each set's prefix, with the table's rarest tokens first.
 
     If two sets link, they share at least three quarters of either, so a set's n - ceil(0.75 n) + 1 first tokens in
     any order that holds for all sets hold a shared one. Tokens of one set alone bring no pair but fill the prefix.
@@ -285,28 +244,26 @@ def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        def each() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for b in batches:
-                data, offs = _words.columns(b.column(2))
+                data, offs = _words.columns(b.column(1))
+                ids = b.column(0).to_numpy()
                 for s in range(0, b.num_rows, 256):
                     e = min(b.num_rows, s + 256)
                     h = np.frombuffer(data[offs[s] : offs[e]].tobytes(), _U64)
-                    yield b.column(0).slice(s, e - s).to_pylist(), h, (offs[s : e + 1] - offs[s]) // 8
+                    yield ids[s:e], h, (offs[s : e + 1] - offs[s]) // 8
 
         yield from _pack(n_buckets, False, each())
 
-    def answer(_: np.ndarray, n: np.ndarray) -> bytes:
-        return np.minimum(255, np.ceil(8 * np.log2(n))).astype(np.uint8).tobytes()
+    def answer(n: np.ndarray) -> np.ndarray:
+        return np.minimum(255, np.ceil(8 * np.log2(n))).astype(np.uint8)
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sizes, h, answers in _of_blocks(batches):
-            h = np.frombuffer(h, _U64)
-            bucket = ((h >> _U64(32)) % _U64(n_buckets)).astype(_I64)
-            order = np.argsort(bucket, kind="stable")
-            rarity = np.zeros(len(h), np.uint8)
-            rarity[order] = np.frombuffer(b"".join(answers[k] for k in sorted(answers)), np.uint8)
-            row = np.repeat(np.arange(len(sizes)), sizes)
+        for ids, row, rarity, h, counts in _of_blocks(batches):
+            h = np.repeat(np.frombuffer(h, _U64), counts)
+            sizes = np.bincount(row, minlength=len(ids))
             order = np.lexsort((h, rarity, row))
+            row = row[order]
             place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             n = sizes[row]
             keep = (place < n - (3 * n + 3) // 4 + 1) & (rarity[order] > 0)
@@ -315,12 +272,10 @@ def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
             cols = [
                 pa.array(h[order][keep].astype(_I64)), pa.array(ids[own]), pa.array(n[keep]), pa.array(place[keep]), pa.array(last),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["token", "doc_id", "n", "place", "last"])
+            yield pa.RecordBatch.from_arrays(cols, ["token", "node", "n", "place", "last"])
 
-    packed = sets.select("doc_id", "n", "hashes").mapInArrow(pack, PACKED)
-    return _exchanged(packed, n_buckets, False, answer).mapInArrow(
-        choose, "token long, doc_id long, n long, place long, last boolean"
-    )
+    packed = sets.select("node", "hashes").mapInArrow(pack, PACKED)
+    return _counted(packed, n_buckets, False, answer).mapInArrow(choose, "token long, node long, n long, place long, last boolean")
 
 
 def tree_links(leader: np.ndarray, sets: list[tuple[int, np.ndarray]]) -> list[int]:
@@ -369,15 +324,15 @@ def tree_links(leader: np.ndarray, sets: list[tuple[int, np.ndarray]]) -> list[i
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (leader, doc_id) whose sets link. A leader with many partners is dealt to several tasks."""
+    """The pairs (leader, node) whose sets link. A leader with many partners is dealt to several tasks."""
     n = _common.parts(pairs.sparkSession)
     fans = pairs.groupBy("leader").agg(F.ceil(F.count("*") / FAN).alias("fans"))
-    dealt = pairs.join(fans, "leader").withColumn("fan", F.pmod(F.xxhash64("doc_id"), F.col("fans")))
+    dealt = pairs.join(fans, "leader").withColumn("fan", F.pmod(F.xxhash64("node"), F.col("fans")))
     heads = fans.select("leader", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
-    own = sets.select("doc_id", "hashes")
-    rows = dealt.join(own, "doc_id").select("leader", "fan", F.lit(1).alias("kind"), "doc_id", "hashes").unionByName(
-        heads.join(own.withColumnRenamed("doc_id", "leader"), "leader")
-        .select("leader", "fan", F.lit(0).alias("kind"), F.col("leader").alias("doc_id"), "hashes")
+    own = sets.select("node", "hashes")
+    rows = dealt.join(own, "node").select("leader", "fan", F.lit(1).alias("kind"), "node", "hashes").unionByName(
+        heads.join(own.withColumnRenamed("node", "leader"), "leader")
+        .select("leader", "fan", F.lit(0).alias("kind"), F.col("leader").alias("node"), "hashes")
     )
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,19 +344,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([leader] * len(got), pa.int64()), pa.array(got, pa.int64())], ["a", "b"])
 
         for b in batches:
-            for own, kind, doc_id, h in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+            for own, kind, node, h in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 if kind == 0:
                     if held:
                         yield flush()
                     leader, sequence = own, np.frombuffer(h, _U64)
                 else:
-                    held.append((doc_id, np.frombuffer(h, _U64)))
+                    held.append((node, np.frombuffer(h, _U64)))
                     if len(held) == TREE:
                         yield flush()
         if held:
             yield flush()
 
-    by = "leader", "fan", "kind", "doc_id"
+    by = "leader", "fan", "kind", "node"
     return rows.repartition(n, "leader", "fan").sortWithinPartitions(*by).mapInArrow(walk, "a long, b long")
 
 
@@ -416,75 +371,103 @@ def _may_link(a: list[str], b: list[str], n: str, m: str) -> Column:
     return 7 * differ <= F.col(n) + F.col(m)
 
 
+def _pairs(few: DataFrame, open_: DataFrame, where: Column) -> DataFrame:
+    """``few.join(open_, "token").where(...)``; a token with very many pairs is dealt in blocks of ``SLICE`` by ``SLICE`` rows."""
+    n = few.groupBy("token").agg(F.count("*").alias("nf")).join(open_.groupBy("token").agg(F.count("*").alias("no")), "token")
+    n = n.where(F.col("nf") * F.col("no") > SLICE * SLICE)
+    n = n.select("token", *(F.ceil(F.col(c) / SLICE).cast("int").alias(x) for c, x in (("nf", "fs"), ("no", "os"))))
+    n = _common.bounded(_common.stage(n, "crowded"), 16)
+    one = F.lit(1)
+
+    def dealt(df: DataFrame, node: str, own: str, mine: str, other: str, theirs: str) -> DataFrame:
+        df = df.join(n, "token", "left")
+        df = df.withColumn(mine, F.pmod(F.xxhash64(node), F.coalesce(own, one)).cast("int"))
+        return df.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))).drop("fs", "os")
+
+    return dealt(few, "a", "fs", "fi", "os", "oi").join(dealt(open_, "node", "os", "oi", "fs", "fi"), ["token", "fi", "oi"]).where(where)
+
+
 def near_documents(docs: DataFrame, shingles_per_bucket: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when their shingle sets' Jaccard similarity is 0.75.
 
-    Words are lower-cased (A-Z). Equal sets are one node from the start. A document whose shingles are to more than a
+    Words are lower-cased (A-Z). Equal sets are one node from the start. A set whose shingles are to more than a
     quarter its own can have no partner; for the others prefixes of rare-first sets bring candidates. Candidates meet
-    leaders of their commonest tokens' documents first; after that only documents that are still in different components
+    leaders of their commonest tokens' sets first; after that only sets that are still in different components
     need to meet, those of all but the largest component with all others of the token. So a group of copies costs rows
-    in proportion to its size, and no link between components is missed. The component is the least doc_id.
+    in proportion to its size, and no link between components is missed. The component is the least doc_id. Keys that
+    hold many rows (a set of very many copies, a token of very many sets) are dealt over tasks.
 
-    Documents without words or text link with nothing and have n_shingles 0; a null doc_id has a null component; rows
-    that share a doc_id are one node; an empty table gives no rows. Other columns are ignored.
+    Documents without words or text link with nothing, have n_shingles 0 and their own doc_id as component; a null
+    doc_id has a null component; rows that share a doc_id are one document, so whatever one of them links with belongs
+    to the component; an empty table gives no rows. Other columns are ignored. A text takes about fifteen times its
+    bytes in a task.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     own = _common.stage(signatures(docs), "signatures")
     total = own.agg(F.sum("n")).first()[0] or 0
     buckets = _common.spread(total, shingles_per_bucket, _common.parts(spark))
-    same = own.where("n > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
-    counts = _common.stage(shared_counts(docs, buckets), "shared")
-    chosen = _common.stage(
-        same.join(counts.groupBy("doc_id").agg(F.max("shared").alias("shared")).withColumnRenamed("doc_id", "node"), "node")
-        .where(4 * F.col("shared") >= 3 * F.col("n")).select(F.col("node").alias("doc_id")), "chosen",
-    )
-    sets = _common.stage(set_table(docs, chosen), "sets")
+    filled = own.where("n > 0 and doc_id is not null")
+    same = filled.groupBy("fa", "fb").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    same = _common.stage(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    counts = shared_counts(docs, buckets).groupBy("fa", "fb").agg(F.max("shared").alias("shared"))
+    chosen = same.join(counts, ["fa", "fb"]).where(4 * F.col("shared") >= 3 * F.col("n")).select("node", "doc_id", "fa", "fb")
+    sets = set_table(docs, _common.stage(chosen, "chosen"))
     tokens = _common.stage(prefixes(sets, buckets), "tokens")
 
     def leader(k: int) -> Column:
-        return F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), F.col("doc_id").alias("leader")))
+        return F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("leader")))
 
-    marks = sets.select("doc_id", "n", *SIGNATURE)
+    marks = sets.select("node", "n", *SIGNATURE)
     theirs = [f"t{k}" for k in range(len(SIGNATURE))]
     other = marks.toDF("leader", "m", *theirs)
     leads = tokens.groupBy("token").agg(F.array(*[leader(k) for k in range(6)]).alias("leads"))
-    first = tokens.where("last").join(leads, "token").select("doc_id", F.explode("leads").alias("x"))
-    first = first.select(F.col("x.leader").alias("leader"), "doc_id").where("leader <> doc_id")
-    first = first.select(F.least("leader", "doc_id").alias("leader"), F.greatest("leader", "doc_id").alias("doc_id")).distinct()
-    first = first.join(marks, "doc_id").join(other, "leader").where(_alike("n", "m") & _may_link(SIGNATURE, theirs, "n", "m"))
-    first = _common.stage(first.select("leader", "doc_id"), "pairs")
+    first = _common.spread_join(tokens.where("last").select("token", "node"), leads, ["token"], F.xxhash64("node"), "inner")
+    first = first.select("node", F.explode("leads").alias("x")).select(F.col("x.leader").alias("leader"), "node").where("leader <> node")
+    first = first.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
+    first = first.join(marks, "node").join(other, "leader").where(_alike("n", "m") & _may_link(SIGNATURE, theirs, "n", "m"))
+    first = _common.stage(first.select("leader", "node"), "pairs")
     now = _common.stage(_common.edges_to_components(verified(first, sets)), "components")
-    placed = tokens.join(now.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c"))
+    placed = tokens.join(now, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("c"))
     placed = _common.stage(placed, "placed")
     sizes = placed.groupBy("token", "c").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
-    open_ = placed.join(largest.select("token", "top"), "token").join(marks.drop("n"), "doc_id")
+    open_ = _common.spread_join(placed, largest.select("token", "top"), ["token"], F.xxhash64("node"), "inner").join(marks.drop("n"), "node")
     open_ = _common.stage(open_, "open")
     few = open_.where("c <> top").select(
-        "token", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("c").alias("d"),
+        "token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("c").alias("d"),
         *[F.col(x).alias(y) for x, y in zip(SIGNATURE, theirs, strict=True)],
     )
     # at the first token that a pair shares, no more than what is left of either set can be shared
     enough = 7 * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q")) >= 3 * (F.col("n") + F.col("m"))
     rest = (
-        few.join(open_, "token").where((F.col("c") != F.col("d")) & enough & _may_link(SIGNATURE, theirs, "n", "m"))
-        .select(F.least("a", "doc_id").alias("leader"), F.greatest("a", "doc_id").alias("doc_id")).distinct()
-        .join(first, ["leader", "doc_id"], "left_anti")
+        _pairs(few, open_, (F.col("c") != F.col("d")) & enough & _may_link(SIGNATURE, theirs, "n", "m"))
+        .select(F.least("a", "node").alias("leader"), F.greatest("a", "node").alias("node")).distinct()
+        .join(first, ["leader", "node"], "left_anti")
     )
-    more = _common.stage(verified(_common.stage(rest, "pairs"), sets), "links")
+    more = _common.stage(verified(_common.stage(rest, "pairs"), sets), "links").unionByName(_of_one_document(filled, same))
     # links between components: the components' own components
     at = now.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     more = more.join(at, "a", "left").join(at.toDF("b", "cb"), "b", "left")
     joined = _common.edges_to_components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    known = same.join(now, "node", "left").select("fa", "fb", F.coalesce("component", "node").alias("c"))
-    known = known.join(joined.toDF("c", "top"), "c", "left").select("fa", "fb", F.coalesce("top", "c").alias("component_id"))
-    out = own.join(known, ["fa", "fb"], "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    known = same.join(now, "node", "left").select("node", "doc_id", "fa", "fb", F.coalesce("component", "node").alias("c"))
+    known = _common.spread_join(known, joined.toDF("c", "top"), ["c"], F.xxhash64("node")).withColumn("c", F.coalesce("top", "c")).drop("top")
+    known = _common.stage(known, "known")
+    least = known.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    known = _common.spread_join(known, least, ["c"], F.xxhash64("node")).select("fa", "fb", "component_id")
+    out = _common.spread_join(filled, known, ["fa", "fb"], F.xxhash64("doc_id")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = own.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def _of_one_document(filled: DataFrame, same: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of rows that share a doc_id and have different sets; mostly none."""
+    f = F.struct("fa", "fb")
+    several = filled.groupBy("doc_id").agg(F.min(f).alias("x"), F.max(f).alias("y")).where("x <> y").select("doc_id")
+    several = _common.bounded(_common.stage(several, "several"), 8)
+    nodes = filled.join(several, "doc_id", "left_semi").select("doc_id", "fa", "fb").distinct()
+    nodes = _common.stage(nodes.join(same.select("fa", "fb", "node"), ["fa", "fb"]).select("doc_id", F.col("node").alias("b")), "several")
+    return nodes.join(nodes.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
 
 
 def op7_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,33 @@ def test_near_documents_on_odd_tables(spark):
     rows = near_docs.near_documents(table(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, None), (9, "A b c d e f")])).collect()
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in rows) == [(0, 2, None), (2, 0, 2), (3, 2, 3), (3, 2, 3), (9, 2, 3)]
     assert near_docs.near_documents(table(spark, [])).count() == 0
-    assert [r["component_id"] for r in near_docs.near_documents(table(spark, [(1, None), (2, "")])).collect()] == [1, 2]
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_docs.near_documents(table(spark, [(1, None), (2, "")])).collect()) == [(1, 1), (2, 2)]
+
+
+def test_rows_of_one_document_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = [(3, a), (3, b), (4, a + " x"), (5, b + " y"), (9, a), (9, a), (7, "alone " + b[:60]), (3, "")]
+    rows = near_docs.near_documents(table(spark, docs)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == [
+        (3, 0, 3), (3, 36, 3), (3, 36, 3), (4, 37, 3), (5, 37, 3), (7, 15, 7), (9, 36, 3), (9, 36, 3),
+    ]
+
+
+@pytest.mark.parametrize("limit", [3, 4096])
+def test_near_documents_query_on_many_copies(spark, tmp_path, monkeypatch, limit):
+    """Two very large groups, one of equal texts and one of near ones, through the query."""
+    monkeypatch.setattr(near_docs, "SLICE", limit)
+    rng = random.Random(5)
+    base = [f"q{i}" for i in range(60)]
+    docs = [(i, " ".join(base[:30])) for i in range(700)]
+    docs += [(1000 + i, " ".join([*base[20:], *(f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(6)))])) for i in range(300)]
+    docs += [(5000 + i, None) for i in range(400)]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: frozenset(zip(*((t or "").split()[k:] for k in range(5)), strict=False)) for i, t in docs}
+    links = [(a, b) for a in sets for b in sets if 1000 <= a < b and sets[a] and sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    want = {i: (len(sets[i]), c) for i, c in roots(sets, links + [(0, i) for i in range(1, 700)]).items()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_docs.op7_near_documents(spark, str(tmp_path)).collect()}
+    assert got == want
 
 
 @settings(max_examples=200, deadline=None)
