@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -172,7 +173,8 @@ def test_random_runs_are_found_and_words_are_not(spark, odd, none):
     rows = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(docs).collect()}
     assert sum(("random", 8, 52) in rows[10_000 + i] for i in range(20)) >= 18
     assert not any(s[0] == "random" for i, v in rows.items() if i < 10_000 for s in v)
-    assert secrets.battery("A" * 40, "base64") < 1e-6 < secrets.battery(hidden[0], "base64")
+    low, high = secrets.battery([("A" * 40, "base64"), (hidden[0], "base64")])
+    assert low < 1e-6 < high
     assert [r["spans"] for r in secrets.scan(odd).collect()] == [[]] * 6
     assert secrets.scan(none).count() == 0
     clean = secrets.redact(odd.withColumn("n_chars", F.lit(0).cast("long")))
@@ -199,6 +201,62 @@ def test_random_values_after_a_name_are_found(spark):
     assert secrets._RUN.findall("AWS_SECRET_ACCESS_KEY=abcdefghijklmnop== x") == ["AWS_SECRET_ACCESS_KEY", "abcdefghijklmnop=="]
 
 
+def test_battery_is_calibrated_and_tells_identifiers():
+    rng = random.Random(9)
+    for name, symbols in secrets.ENCODINGS:
+        for n in (16, 20, 44, 300):
+            p = secrets.battery([("".join(rng.choice(symbols) for _ in range(n)), name) for _ in range(1000)])
+            assert (p < 0.01).mean() < 0.04 and (p >= 0.1).mean() > 0.85, (name, n)
+    words = ["getElementsByClassName", "my-long-hyphen-name-of-thing", "path/to/some/File1", "AWS_SECRET_ACCESS_KEY", "abcabcabcabcabcabc9", "ABCDEFGHIJKLMNOPQRSTUV1"]
+    assert (secrets.battery([(w, secrets.encoding_of(w)) for w in words]) < 0.01).all()
+    one = "".join(rng.choice(secrets.ENCODINGS[-1][1]) for _ in range(1 << 20))
+    assert secrets.battery([(one, "base64url")])[0] > 1e-3
+
+
+def test_cutoff_controls_false_discoveries():
+    rng = np.random.default_rng(3)
+    for n_random, n_plain in ((1000, 0), (200, 5000), (50, 200)):
+        p = np.concatenate([rng.random(n_random), 10.0 ** -rng.uniform(1.5, 12, n_plain)])
+        c = secrets.cutoff(np.bincount(secrets.step(p), minlength=secrets.STEPS + 1), 0.05)
+        found = secrets.step(p) < c
+        assert found[:n_random].mean() > 0.8 and found[n_random:].sum() <= 0.1 * max(1, found.sum())
+    assert secrets.cutoff(np.zeros(secrets.STEPS + 1, int), 0.05) == 0
+
+
+def test_secrets_query(spark, tmp_path):
+    """Base columns of the query against the contract's patterns, one by one."""
+    key = "AKIA" + "ABCDEFGHIJKLMN"
+    texts = [None, "", f'é password="short" Api_Key = abcdefghijkl.m; {key} deadbeef deadbeefdeadbeef0 toKen: tok\n password=token : abcdefghijklmn', "secret:'" + "x" * 20 + "' passwd = " + "0" * 40, "AKIA" * 9]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    docs = list(enumerate(texts)) + [(2, texts[2])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
+    want = []
+    for i, t in docs:
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        want.append((i, *(sum(k == j for _, k, _ in spans) for j in range(3)), hashlib.sha256(said.encode()).hexdigest()))
+    found = secrets.op6_secrets(spark, str(tmp_path))
+    assert found.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    rows = found.collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want) and sum(w[1] + w[2] + w[3] for w in want) > 10
+    for r in rows:
+        kinds = [x.split(":")[0] for x in r["spans"].split(",") if x]
+        assert [kinds.count(k) for k in secrets.KINDS] == [r["n_assign"], r["n_access"], r["n_hex"], r["n_random"]]
+
+
+def test_a_text_full_of_runs_takes_seconds():
+    rng = random.Random(1)
+    symbols = secrets.ENCODINGS[-2][1]
+    text = " ".join("".join(rng.choices(symbols, k=rng.randrange(16, 90))) + ' token = "' + "ab1" * 6 + '"' for _ in range(25_000))
+    begin = time.time()
+    assert len(secrets.find(text, np.full(secrets.BANDS, 40))) > 40_000
+    assert time.time() - begin < 20
+
+
 def test_quality(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
