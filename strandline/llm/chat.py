@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import _common
@@ -20,7 +20,9 @@ CONTROL = (
 _TAILS = "|".join(re.escape(x[1:]) for x in CONTROL)
 _ESCAPE = re.compile(rf"([<\[])(\\*)(?=(?:{_TAILS}))")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)(?=(?:{_TAILS}))")
-EVENTS = "conv_id long, pos long, seq long, kind string, role string, text string"
+EVENTS = "conv_id long, message long, seq long, kind string, role string, text string"
+#: Sequence numbers from one turn of ``turns_to_events`` to the next.
+STRIDE = 16
 SEGMENTS = "conv_id long, pos long, formatted string, loss_start int, loss_end int"
 
 
@@ -54,22 +56,24 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 
 
 class Fold:
-    """One conversation's final messages from its events, which come by (pos, seq); holds one message at a time.
+    """One conversation's final messages from its events, which come message by message; holds one message at a time.
 
-    ``pos`` is the sequence number at which a message began; events of one message carry the same. Kinds:
-    message (complete in itself), start, delta (appends), edit (replaces the text), regenerate (drops the text, and all
-    messages begun since this one up to the event), delete. Other kinds and deltas without a start open a message with
-    the event's role. A regenerated branch that is itself inside a dropped one changes nothing.
+    ``pos`` is the sequence number at which a message began. Kinds: message (complete in itself), start, delta
+    (appends), edit (replaces the text), regenerate (drops the text, and all messages begun since this one up to the
+    event), delete. Other kinds and deltas without a start open a message with the event's role. A regenerated branch
+    that is itself inside a dropped one changes nothing.
     """
 
     def __init__(self) -> None:
         self.cut_until: int | None = None
         self.open: list | None = None
 
-    def push(self, pos: int | None, seq: int | None, kind: str, role: str, text: str) -> Iterator[tuple[int | None, str, str]]:
-        if kind in ("message", "start") or self.open is None or self.open[0] != pos:
+    def push(
+        self, pos: int | None, message: int | None, seq: int | None, kind: str, role: str, text: str
+    ) -> Iterator[tuple[int | None, str, str]]:
+        if kind in ("message", "start") or self.open is None or self.open[0] != (pos, message):
             yield from self.flush()
-            self.open = [pos, role, [], None, False]
+            self.open = [(pos, message), role, [], None, False]
         own = self.open
         if kind == "edit":
             own[2] = [text]
@@ -82,7 +86,7 @@ class Fold:
 
     def flush(self) -> Iterator[tuple[int | None, str, str]]:
         if self.open is not None:
-            pos, role, texts, regenerated, deleted = self.open
+            (pos, _), role, texts, regenerated, deleted = self.open
             self.open = None
             if self.cut_until is None or pos is None or pos >= self.cut_until:
                 if regenerated is not None:
@@ -120,29 +124,55 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chats(events: DataFrame) -> DataFrame:
     """Renders each final message: conv_id, pos, formatted, loss_start, loss_end, in order within each partition.
 
-    A conversation's text is its rows' ``formatted``, by pos; ``loss_start:loss_end`` (code points) is what a model is
-    trained on, an assistant's text. Logs are dealt out by conversation and sorted by sequence; a task folds them as a
-    stream with one message in memory, so a conversation of any length is safe, but it stays in one task. Null role or
-    text counts as empty, null kind as message; a null conv_id is a conversation of its own; null positions come first;
-    rows that repeat a message are messages too, by role and text. An empty table gives no rows.
+    ``events``: conv_id, message (an id within the conversation), seq, kind, role, text, in any order and with messages
+    that go on while others begin. Logs are dealt out by conversation; a message stands where its first event does
+    (``pos``, its sequence number), and the events are sorted by that, then by sequence. A task folds them as a stream
+    with one message in memory, so a conversation of any length is safe, but it stays in one task, as its digest is
+    sequential. A conversation's text is its rows' ``formatted``, by pos; ``loss_start:loss_end`` (code points) is what
+    a model is trained on, an assistant's text. Null role or text counts as empty, null kind as message; a null conv_id
+    is a conversation of its own; an event without message is one of its own; null sequence numbers come first; equal
+    ones by kind, role and text; rows that repeat a message are messages too. An empty table gives no rows; other
+    columns are ignored.
     """
     own = events.select(
-        F.col("conv_id").cast("long"), F.col("pos").cast("long"), F.col("seq").cast("long"),
+        F.col("conv_id").cast("long"), F.col("message").cast("long"), F.col("seq").cast("long"),
         F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     n = _common.parts(events.sparkSession)
-    return (
-        own.repartition(n, "conv_id").sortWithinPartitions("conv_id", "pos", "seq", "kind", "role", "text")
-        .mapInArrow(_fold, SEGMENTS)
-    )
+    begin = F.min("seq").over(Window.partitionBy("conv_id", "message"))
+    own = own.repartition(n, "conv_id").withColumn("pos", F.when(F.col("message").isNull(), F.col("seq")).otherwise(begin))
+    own = own.sortWithinPartitions("conv_id", "pos", "message", "seq", "kind", "role", "text")
+    return own.select("conv_id", "pos", "message", "seq", "kind", "role", "text").mapInArrow(_fold, SEGMENTS)
 
 
 def turns_to_events(turns: DataFrame) -> DataFrame:
-    """A table with a row for each turn, as a log of complete messages."""
-    return turns.select(
-        "conv_id", F.col("turn").alias("pos"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    )
+    """The log of a chat service that ends in the given turns: conv_id, message, seq, kind, role, text.
+
+    Every turn is streamed: a start and three deltas. Of four turns one is edited, after the next one has begun; one is
+    regenerated, which takes with it an answer to its first draft; and beside one a message begins that is deleted. Turns
+    go by turn (null first), role and text; repeated rows are turns of their own.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    own = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), (F.row_number().over(order) - 1).cast("long").alias("n"))
+    third = F.ceil(F.length("text") / 3).cast("int")
+    base, stray = F.col("n") * STRIDE, -1 - F.col("n")
+    turn = F.pmod("n", F.lit(4))
+
+    def event(at: int, kind: str, text: Column, message: Column = F.col("n"), role: Column | None = None) -> Column:
+        role = F.lit(None).cast("string") if role is None else role
+        return F.struct(message.alias("message"), (base + at).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    parts = [F.substring(F.col("text"), third * k + 1, third) for k in range(3)]
+    start, none = event(0, "start", F.lit(""), role=F.col("role")), F.lit("")
+    streamed = [event(10 + k, "delta", x) for k, x in enumerate(parts)]
+    edited = [event(1, "delta", F.lit("a draft")), event(STRIDE + 8, "edit", F.col("text"))]
+    again = [
+        event(1, "delta", F.lit("a draft")), event(3, "message", F.lit("dropped"), stray, F.lit("user")), event(5, "regenerate", none), *streamed,
+    ]
+    beside = [event(3, "start", F.lit("withdrawn"), stray, F.lit("user")), event(12, "delete", none, stray), *streamed]
+    log = F.when(turn == 1, F.array(start, *edited)).when(turn == 2, F.array(start, *again)).when(turn == 3, F.array(start, *beside))
+    return own.select("conv_id", F.explode(log.otherwise(F.array(start, *streamed))).alias("e")).select("conv_id", "e.*")
 
 
 def digests(segments: DataFrame) -> DataFrame:
