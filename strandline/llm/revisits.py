@@ -36,9 +36,10 @@ def resolve(records: DataFrame, n_ranges: int | None = None) -> DataFrame:
     neither on the revisit nothing contradicts) or no_response; response_id, digest and headers are null unless
     resolved. Headers are the response's, with the revisit's permitted ones over them.
 
-    Earlier means a smaller (ts, record_id); a null ts comes first. A null url resolves to nothing. Repeated rows are
-    revisits of their own. Time is cut into ranges of about equal numbers of records, so one URL's rows are spread over
-    tasks; what a range takes over from those before is one row for each URL and range. Other columns are ignored.
+    Earlier means a smaller (ts, record_id), so of records with equal ts the ids decide; equal ids as well: any. A null
+    ts comes first. A null url resolves to nothing. Repeated rows are revisits of their own. Time is cut into ranges of about equal numbers of records, so one URL's rows are spread over
+    tasks; what a range takes over from those before is one row for each URL and range. Other columns are
+    ignored, also ones named range, near or far. An empty table gives none.
     """
     spark = records.sparkSession
     n = n_ranges or _common.parts(spark)
@@ -49,21 +50,23 @@ def resolve(records: DataFrame, n_ranges: int | None = None) -> DataFrame:
     cuts = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]).cast("array<bigint>")
     own = own.withColumn("range", F.coalesce(F.size(F.filter(cuts, lambda b: b < F.col("ts"))), F.lit(0)))
     own = own.withColumn("range", F.when(F.col("ts").isNull(), -1).otherwise(F.col("range")))
+    known, nowhere = own.where("url_key is not null"), own.where("url_key is null and kind = 'revisit'")
     full = F.when(
         F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
     )
     order = Window.partitionBy("url_key", "range").orderBy("ts", "record_id")
-    within = own.withColumn("near", F.last(full, True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = own.where("kind = 'response' and url_key is not null").groupBy("url_key", "range").agg(
+    within = known.withColumn("near", F.last(full, True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = known.where("kind = 'response'").groupBy("url_key", "range").agg(
         F.max_by(F.struct("record_id", "etag", "last_modified", "digest", "headers", "ts"), F.struct("ts", "record_id")).alias("last")
     )
-    asked = own.where("kind = 'revisit' and url_key is not null").select("url_key", "range").distinct()
+    asked = known.where("kind = 'revisit'").select("url_key", "range").distinct()
     marks = ends.unionByName(
         asked.select("url_key", "range", F.lit(None).cast(ends.schema["last"].dataType).alias("last"))
     ).groupBy("url_key", "range").agg(F.first("last", True).alias("last"))
     before = Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select("url_key", "range", F.last("last", True).over(before).alias("far")).where("far is not null")
-    found = within.where("kind = 'revisit'").join(carried, ["url_key", "range"], "left")
+    within = within.where("kind = 'revisit'").unionByName(nowhere.withColumn("near", F.lit(None).cast(within.schema["near"].dataType)))
+    found = within.join(carried, ["url_key", "range"], "left")
 
     def pick(name: str) -> Column:
         return F.when(F.col("near").isNotNull(), F.col(f"near.{name}")).otherwise(F.col(f"far.{name}"))
@@ -92,35 +95,44 @@ def with_payload(resolved: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def pages_to_records(pages: DataFrame) -> DataFrame:
-    """Each page as a full response, and a second crawl of every page, later, that was answered with 304.
+    """A crawl's records in mixed order: pages are fetched one after the other, and each again while others are fetched.
 
-    The second crawl sends the ETag of the page it had; so it resolves only where no other answer for the same
-    canonical URL came between. A page without html is no full response.
+    Page p is a full response at 10 p (if it has html) and, if p is even, a changed one at 10 p + 50. It is asked for
+    with the first ETag at 10 p - 5, before any answer, and at 10 p + 35; and at 10 p + 75 with the ETag of the latest
+    of its answers, but every third page sends the first one. All three are answered with 304. Record ids are 8 p + k.
     """
+    p = F.col("page_id")
+    text = F.coalesce("html", F.lit(""))
     own = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.md5(F.coalesce("html", F.lit(""))).alias("etag"),
-        F.length(F.coalesce("html", F.lit(""))).cast("string").alias("size"), F.col("html").isNotNull().alias("full"),
+        F.col("page_id").cast("long").alias("page_id"), "url", F.md5(text).alias("e1"), F.md5(F.concat(F.lit("2:"), text)).alias("e2"),
+        F.length(text).cast("string").alias("size"), F.col("html").isNotNull().alias("full"),
     )
-    late = F.lit(1 << 40)
-    shared = ["url", "etag", F.lit(None).cast("string").alias("last_modified")]
-    first = own.where("full").select(
-        F.col("page_id").alias("record_id"), F.col("page_id").alias("ts"), F.lit("response").alias("kind"), *shared,
-        F.col("etag").alias("digest"),
-        F.create_map(F.lit("content-length"), F.col("size"), F.lit("date"), F.col("page_id").cast("string"), F.lit("etag"), F.col("etag")).alias("headers"),
+    even = F.pmod(p, F.lit(2)) == 0
+
+    def record(k: int, at: int, kind: str, etag: Column, there: Column) -> Column:
+        ts = p * 10 + at
+        response = kind == "response"
+        names = [F.lit("content-length"), F.col("size") if response else F.lit("0"), F.lit("date"), ts.cast("string")]
+        return F.when(there, F.struct(
+            (p * 8 + k).alias("record_id"), ts.alias("ts"), F.lit(kind).alias("kind"), F.col("url").alias("url"), etag.alias("etag"),
+            F.lit(None).cast("string").alias("last_modified"), (etag if response else F.lit(None).cast("string")).alias("digest"),
+            F.create_map(*names, *([F.lit("etag"), etag] if response else [])).alias("headers"),
+        ))
+
+    e1, e2, yes = F.col("e1"), F.col("e2"), p.isNotNull()
+    third = F.when(even & (F.pmod(p, F.lit(3)) != 0), e2).otherwise(e1)
+    records = F.array(
+        record(0, 0, "response", e1, yes & F.col("full")), record(1, 50, "response", e2, even & F.col("full")),
+        record(2, -5, "revisit", e1, yes), record(3, 35, "revisit", e1, yes), record(4, 75, "revisit", third, yes),
     )
-    again = own.select(
-        (F.col("page_id") + late).alias("record_id"), (F.col("page_id") + late).alias("ts"), F.lit("revisit").alias("kind"),
-        *shared, F.lit(None).cast("string").alias("digest"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), (F.col("page_id") + late).cast("string")).alias("headers"),
-    )
-    return first.unionByName(again)
+    return own.select(F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("r.*")
 
 
 def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     found = resolve(_common.stage(pages_to_records(pages), "captures"))
     return found.select(
-        "record_id", "url_key", "status", "response_id", "digest",
+        "record_id", "url_key", "ts", "status", "response_id", "digest",
         F.col("headers")["content-length"].alias("content_length"), F.col("headers")["date"].alias("date"),
         F.col("headers")["etag"].alias("etag"),
     )
@@ -128,25 +140,29 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 with p as (
-  select page_id, md5(coalesce(html, '')) as etag, length(coalesce(html, ''))::varchar as size, html is not null as is_full,
+  select page_id, md5(coalesce(html, '')) as e1, md5('2:' || coalesce(html, '')) as e2, length(coalesce(html, ''))::varchar as size, html is not null as is_full,
     trim(url) as u, regexp_replace(trim(url), '#.*$', '') as w from pages
 ), k as (
   select *, list_sort(list_filter(string_split(regexp_extract(w, '\?(.*)$', 1), '&'),
       lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z_]*|ref|fbclid|gclid)(=|$)'))) as kept from p
 ), c as (
-  select page_id, etag, size, is_full, case when regexp_matches(w, '^[A-Za-z]+://[^/?]') then
+  select page_id, e1, e2, size, is_full, case when regexp_matches(w, '^[A-Za-z]+://[^/?]') then
       regexp_replace(lower(regexp_extract(w, '^[A-Za-z]+://([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g')
       || regexp_replace(regexp_extract(w, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '')
       || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end
     else u end as url_key from k
-), l as (select url_key, max(page_id) as page_id from c where is_full and url_key is not null group by 1
-), f as (select l.url_key, l.page_id, c.etag, c.size from l join c using (page_id))
-select c.page_id + 1099511627776 as record_id, c.url_key,
-  case when f.page_id is null then 'no_response' when c.etag = f.etag then 'resolved' else 'validator_mismatch' end as status,
-  case when c.etag = f.etag then f.page_id end as response_id,
-  case when c.etag = f.etag then f.etag end as digest,
-  case when c.etag = f.etag then f.size end as content_length,
-  case when c.etag = f.etag then (c.page_id + 1099511627776)::varchar end as date,
-  case when c.etag = f.etag then f.etag end as etag
-from c left join f on c.url_key = f.url_key
+), f as (
+  select url_key, 10 * page_id as ts, 8 * page_id as record_id, e1 as etag, size from c where is_full
+  union all select url_key, 10 * page_id + 50, 8 * page_id + 1, e2, size from c where is_full and page_id % 2 = 0
+), r as (
+  select url_key, 10 * page_id - 5 as ts, 8 * page_id + 2 as record_id, e1 as etag from c
+  union all select url_key, 10 * page_id + 35, 8 * page_id + 3, e1 from c
+  union all select url_key, 10 * page_id + 75, 8 * page_id + 4, case when page_id % 2 = 0 and page_id % 3 <> 0 then e2 else e1 end from c
+), j as (
+  select r.*, f.record_id as response_id, f.etag as answer, f.size from r asof left join f on r.url_key = f.url_key and r.ts > f.ts
+)
+select record_id, url_key, ts, case when response_id is null then 'no_response' when etag = answer then 'resolved' else 'validator_mismatch' end as status,
+  case when etag = answer then response_id end as response_id, case when etag = answer then answer end as digest,
+  case when etag = answer then size end as content_length, case when etag = answer then ts::varchar end as date, case when etag = answer then answer end as etag
+from j
 """

@@ -69,6 +69,27 @@ def test_events_are_folded(spark):
     assert chat.digests(chat.format_chats(spark.createDataFrame([], chat.EVENTS))).count() == 0
 
 
+def test_turns_come_back_from_a_log_of_every_kind_of_event(spark):
+    rng = random.Random(4)
+    turns = [(c, k, rng.choice(["user", "assistant", None]), "".join(rng.choice("abé<|im_end|>\n") for _ in range(rng.randrange(9)))) for c in range(6) for k in range(c * 3)]
+    turns += [(3, 1, "user", "tie"), (3, 1, "user", "tie"), (3, None, "user", "first"), (None, 1, "user", None)]
+    events = chat.turns_to_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in events.collect()} == {"start", "delta", "edit", "regenerate", "message", "delete"}
+    got = defaultdict(list)
+    for r in chat.format_chats(events.orderBy(F.rand(3))).collect():
+        got[r["conv_id"]].append((r["pos"], *chat.parse_turn(r["formatted"])))
+    want = defaultdict(list)
+    for c, k, role, text in sorted(turns, key=lambda x: (x[0] or 0, x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        want[c].append((16 * len(want[c]), role or "", text or ""))
+    assert {c: sorted(v) for c, v in got.items()} == want
+
+
+def test_a_long_conversation_keeps_one_message_in_memory(spark):
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit("x").alias("pos"))
+    r = chat.digests(chat.format_chats(chat.turns_to_events(turns))).first()
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"user\n{i}\n" for i in range(20_000)).encode()).hexdigest()
+
+
 def test_records_round_trip(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
