@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from strandline.llm import _common
 
-#: Coordinates of a subspace, and vectors of one label that meet in one task (as many on either side).
-SUBSPACE, CHUNK = 8, 2048
+#: Coordinates of a subspace, and vectors of one label that meet in one task, on either side: at least and at most about.
+SUBSPACE, CHUNK, MOST = 8, 2048, 16384
+#: Chunks that a label gets before they grow beyond CHUNK, so that it is spread over some tasks.
+SPREAD = 8
 LINKS = "node long, n long, other long"
 
 
@@ -108,15 +110,17 @@ def _meet(least: float):
     return run
 
 
-def link_vectors(vectors: DataFrame, least: float = 0.93, chunk: int = CHUNK) -> DataFrame:
+def link_vectors(vectors: DataFrame, least: float = 0.93, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row; two rows link if labels are equal and the cosine reaches ``least``.
 
     Equal vectors of a label are taken together first, so copies cost one row and are counted, not paired. The others
-    are dealt into chunks of about ``chunk`` by hash; each pair of a label's chunks meets in a task of bounded size, so
-    a label with most rows is spread over as many tasks as it has pairs of chunks. A task returns counts for each vector
-    and the links of a spanning forest, not its pairs. Vectors that are null, zero, or hold null or non-finite values,
-    and rows with a null label, link with nothing; vectors of unequal length don't link. Rows that repeat a vec_id are
-    vectors of their own. An empty table gives none; other columns are ignored.
+    are dealt into chunks by hash; each pair of a label's chunks meets in a task of bounded size, so a label with most
+    rows is spread over as many tasks as it has pairs of chunks. Chunks hold about ``chunk`` vectors, more only where a
+    label would have over 8, and ``most`` at most, as each vector is sent to a task for each chunk of its label. A task
+    returns counts for each vector and the links of a spanning forest, not its pairs. Vectors that are null, zero, or
+    hold null or non-finite values, and rows with a null label, link with nothing; vectors of unequal length don't link.
+    Rows that repeat a vec_id are vectors of their own; a row with a null vec_id counts as a link of others but has no
+    component. An empty table gives none; other columns are ignored.
     """
 
     def prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +138,12 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, chunk: int = CHUNK) ->
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("long"))
     rows = _common.stage(rows.mapInArrow(prepare, "vec_id long, label long, dim int, vec binary"), "vectors")
-    own = rows.where("vec is not null and vec_id is not null").groupBy("label", "dim", "vec")
-    own = _common.stage(own.agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "distinct")
-    sizes = own.groupBy("label", "dim").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
-    dealt = own.join(sizes, ["label", "dim"]).withColumn("c", F.pmod(F.xxhash64("vec"), F.col("k")).cast("int"))
+    own = rows.where("vec is not null").groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    own = _common.stage(own.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    n = F.count("*")
+    k = F.greatest(F.ceil(n / most), F.least(F.ceil(n / chunk), F.lit(SPREAD))).cast("int")
+    sizes = _common.stage(own.groupBy("label", "dim").agg(k.alias("k")), "sizes")
+    dealt = own.join(_common.bounded(sizes, 24), ["label", "dim"]).withColumn("c", F.pmod(F.xxhash64("vec"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     meets = dealt.select(
         "label", "dim", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", "n", "vec",
@@ -147,14 +153,16 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, chunk: int = CHUNK) ->
     counts = found.groupBy("node").agg(F.sum("n").alias("links"))
     parts = _common.edges_to_components(found.where("other is not null"), "node", "other")
     known = own.join(counts, "node", "left").join(parts, "node", "left").select(
-        "label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
+        "label", "dim", "vec", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("top"),
     )
-    out = rows.join(known, ["label", "dim", "vec"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-    )
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    known = _common.stage(known, "known")
+    # a component is told by its least vec_id
+    ids = known.groupBy("top").agg(F.min("least").alias("component_id"))
+    known = _common.spread_join(known, ids, ["top"], F.xxhash64("vec")).select("label", "dim", "vec", "n_links", "component_id")
+    linked = _common.spread_join(rows.where("vec is not null"), known, ["label", "dim", "vec"], F.xxhash64("vec_id"))
+    out = linked.select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

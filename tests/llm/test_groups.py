@@ -199,11 +199,39 @@ def test_near_vectors(spark, chunk):
     n = Counter(x for p in links for x in p)
     want = {i: (n[i], c, i == c) for i, c in roots([r[0] for r in rows], links).items()}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.link_vectors(df, chunk=chunk).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.link_vectors(df, chunk=chunk, most=chunk).collect()}
     assert len(links) > 50 and got == want
     assert near_vectors.link_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_rows_that_share_a_vec_id_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0, 0.0], 0, "a"), (6, [1.0, 0.01, 0.0], 0, "b"), (5, [0.0, 1.0, 0.0], 1, "c"), (7, [0.0, 1.0, 0.02], 1, None), (None, [0.0, 1.0, 0.0], 1, "e"), (8, [0.0, 0.0, 1.0], None, "f")]
+    got = near_vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node string")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in got) == [
+        (0, 2, None, None), (5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (8, 0, 8, True),
+    ]
+
+
+def test_near_vectors_query_with_planted_links(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in base]
+    for k in range(60):
+        _, v, label = rows[k % 25]
+        x = np.array(v)
+        rows.append((10_000 + k, [float(y) for y in x + rng.normal(size=64) * np.linalg.norm(x) * rng.choice([0, 0.01, 0.04, 0.06])], label))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = np.array([np.array(x, np.float32) for _, x, _ in rows], float)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    ids = [r[0] for r in rows]
+    links = [(ids[i], ids[j]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if near[i, j] and rows[i][2] == rows[j][2]]
+    n = Counter(x for p in links for x in p)
+    want = {i: (n[i], c, i == c) for i, c in roots(ids, links).items()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.op3_near_vectors(spark, str(tmp_path)).collect()}
+    assert len(links) > 40 and got == want
+
+
 def test_pigeonhole_misses_nothing():
     rng = np.random.default_rng(5)
     a = rng.normal(size=(300, 20))
