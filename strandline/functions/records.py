@@ -149,18 +149,33 @@ TRAJECTORIES = f"with {TRACKS} select track, count(*) n, count(v) seen, round(su
 
 
 def chunk_plan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans as JSON with either of two names for the end, read with one; seams are the ends before the last."""
-    c = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-    end = (F.col("k") + 1) * 20
+    """A chunk plan for each order as JSON, with either of two names for the end, read with one; seams are the ends before the last.
+
+    An order's length in frames follows from its key; chunks of 33 frames overlap by 8.
+    """
+    total = 20 + F.pmod("o_orderkey", F.lit(100))
+    n = F.greatest(F.lit(1), F.ceil((F.col("total") - 8) / 25)).cast("int")
+    c = table(spark, sf_dir, "orders").select("o_orderkey", total.alias("total"))
     odd = F.pmod("o_orderkey", F.lit(2)) == 1
-    c = c.select("o_orderkey", F.struct(F.col("k").alias("chunk_idx"), (F.col("k") * 20).alias("start_frame"), F.when(odd, end).alias("end"), F.when(~odd, end).alias("end_frame")).alias("chunk"))
-    plans = c.groupBy("o_orderkey").agg(F.to_json(F.struct(F.lit("2.0").alias("version"), F.sort_array(F.collect_list("chunk")).alias("chunks"))).alias("plan"))
-    back = plans.select("o_orderkey", F.from_json("plan", "version string, chunks array<struct<chunk_idx:int,start_frame:int,end:int,end_frame:int>>").alias("p"))
+    end = lambda k: F.least(k * 25 + 33, F.col("total")).cast("int")
+    none = F.lit(None).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(
+        k.alias("chunk_idx"), (k * 25).alias("start_frame"), F.when(odd, end(k)).otherwise(none).alias("end"), F.when(odd, none).otherwise(end(k)).alias("end_frame"),
+    ))
+    plans = c.select("o_orderkey", F.to_json(F.struct(F.lit("2.0").alias("version"), "total", chunks.alias("chunks"))).alias("plan"))
+    back = plans.select("o_orderkey", F.from_json("plan", "version string, total int, chunks array<struct<chunk_idx:int,start_frame:int,end:int,end_frame:int>>").alias("p"))
     ends = F.transform("p.chunks", lambda x: F.coalesce(x["end"], x["end_frame"]))
-    return back.select("o_orderkey", F.col("p.version").alias("version"), F.size("p.chunks").alias("n"), F.array_join(F.slice(ends, F.lit(1), F.size(ends) - 1), ",").alias("seams"))
+    return back.select(
+        "o_orderkey", F.col("p.version").alias("version"), F.col("p.total").alias("total"), F.size("p.chunks").alias("n"),
+        F.array_join(F.slice(ends, F.lit(1), F.size(ends) - 1), ",").alias("seams"),
+    )
 
 
-CHUNK_PLAN_JSON = "select o_orderkey, '2.0' as version, 3 as n, '20,40' as seams from orders where o_orderkey <= 2000"
+CHUNK_PLAN_JSON = """
+with o as (select o_orderkey, (20 + o_orderkey % 100)::int total from orders), n as (select *, greatest(1, ceil((total - 8) / 25.0))::int n from o)
+select o_orderkey, '2.0' as version, total, n,
+  array_to_string(list_transform(generate_series(0, n - 2), lambda k: least(k * 25 + 33, total)::varchar), ',') as seams from n
+"""
 
 
 def seam_against_rest(spark: SparkSession, sf_dir: str) -> DataFrame:

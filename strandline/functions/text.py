@@ -292,7 +292,7 @@ def line_list_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_LIST_DEDUP = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as place from documents),
 k as (select doc_id, place, trim(line, ' ') as line from l), f as (select * from k where line <> '' and not starts_with(line, '#'))
-select sha256(line) as line_sha, min_by(doc_id, (doc_id, place)) as doc_id, min_by(place, (doc_id, place)) as place, count(*) n from f group by line having count(*) > 1
+select sha256(line) as line_sha, min_by(doc_id, (doc_id, place)) as doc_id, min_by(place, (doc_id, place)) as place, count(*) n from f group by line
 """
 
 

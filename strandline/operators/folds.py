@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators.sequences import fill
+from strandline.operators.sequences import ema, fill, median_window, weighted_window
 from strandline.session import TRACKS, tracks
 
 _FILLED = f"""
@@ -275,7 +275,7 @@ def _rounded(df: DataFrame, column: str, digits: int = 4) -> DataFrame:
 
 
 def ema_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = scan(fill(tracks(spark, sf_dir)), Ema, "filled", "ema")
+    e = ema(fill(tracks(spark, sf_dir)), "filled", "ema")
     return e.groupBy("track").agg(F.round(F.max_by("ema", "frame"), 4).alias("ema"))
 
 
@@ -286,8 +286,7 @@ select track, round(list_reduce(x, lambda a, x: 0.7 * a + 0.3 * x), 4) as ema fr
 
 
 def ema_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fill(tracks(spark, sf_dir))
-    both = scan(t, Ema, "filled", "a").join(scan(t, Ema, "filled", "b", backward=True), ["track", "frame"])
+    both = ema(ema(fill(tracks(spark, sf_dir)), "filled", "a"), "filled", "b", backward=True)
     return _rounded(both.withColumn("ema", (F.col("a") + F.col("b")) / 2), "ema")
 
 
@@ -369,7 +368,8 @@ select track, k as segment, min(frame) as first, max(frame) as last from r group
 
 
 def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(per_track(fill(tracks(spark, sf_dir)), "filled", "smooth", gaussian), "smooth")
+    weights = [math.exp(-0.5 * (k / 1.25) ** 2) for k in range(-5, 6)]
+    return _rounded(weighted_window(fill(tracks(spark, sf_dir)), "filled", "smooth", [w / sum(weights) for w in weights]), "smooth")
 
 
 GAUSSIAN_SMOOTH = f"""
@@ -380,7 +380,7 @@ select p.track, p.frame, round(sum(w * f.filled) / sum(w), 4) as smooth from p j
 
 
 def median_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(per_track(fill(tracks(spark, sf_dir)), "filled", "smooth", median_filter), "smooth")
+    return _rounded(median_window(fill(tracks(spark, sf_dir)), "filled", "smooth"), "smooth")
 
 
 MEDIAN_SMOOTH = f"""

@@ -99,7 +99,7 @@ def seam_pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEAM_PAIR_METRICS = f"""
-with {_FRAMES}, p as (select *, lag(px) over w prev, lag(label) over w before from fr window w as (partition by vec_id // 1000 order by vec_id))
+with {_FRAMES}, p as (select *, lag(px) over w prev, lag(label) over w before from fr window w as (order by vec_id))
 select vec_id, label <> before as is_seam, round(list_sum(list_transform(list_zip(prev, px), lambda z: abs(z[1] - z[2]))) / len(px), 5) as delta from p where prev is not null
 """
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.session import TRACKS, at_rank, by_frame, median_upper, pct_floor, sorted_list, tracks, whole
@@ -32,6 +32,55 @@ def interpolate(df: DataFrame, column: str = "v", out: str = "filled") -> DataFr
     return df.withColumn(out, value.otherwise(between)).drop("_a", "_b", "_i", "_j")
 
 
+def ema(df: DataFrame, column: str, out: str, alpha: float = 0.3, backward: bool = False, block: int = 64) -> DataFrame:
+    """y = alpha * x + (1 - alpha) * y before; the first value stands as it is, a missing one repeats y.
+
+    A track is cut into blocks: within one the weights are powers of 1 - alpha, so y is a window sum, and a block takes
+    over from those before it one number; the blocks' own recursion runs over a list of two numbers for each block.
+    """
+    w = Window.partitionBy("track").orderBy(F.desc("frame") if backward else F.asc("frame"))
+    keep = 1 - alpha
+    valid = F.col(column).isNotNull()
+    df = df.withColumn("_k", F.sum(valid.cast("long")).over(w.rowsBetween(_BACK, 0)) - 1)  # place among valid values
+    df = df.withColumn("_b", F.floor(F.greatest("_k", F.lit(0)) / block)).withColumn("_i", F.pmod("_k", F.lit(block)))
+    weight = F.when(F.col("_k") == 0, 1.0).otherwise(alpha)
+    df = df.withColumn("_x", F.when(valid, weight * F.col(column) * F.pow(F.lit(keep), -F.col("_i"))))
+    inner = Window.partitionBy("track", "_b").orderBy(F.desc("frame") if backward else F.asc("frame")).rowsBetween(_BACK, 0)
+    df = df.withColumn("_y", F.sum("_x").over(inner) * F.pow(F.lit(keep), F.col("_i")))
+    ends = df.where(valid).groupBy("track", "_b").agg(F.max_by("_y", "_k").alias("y"), F.pow(F.lit(keep), F.count("*")).alias("p"))
+    chain = ends.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("_b", "y", "p"))).alias("c"))
+    zero = F.array().cast("array<double>")
+    carried = F.aggregate("c", zero, lambda a, e: F.concat(a, F.array(e["y"] + e["p"] * F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)))))
+    chain = chain.select("track", F.posexplode(carried).alias("_b", "_c")).select("track", (F.col("_b") + 1).cast("long").alias("_b"), "_c")
+    df = df.join(chain, ["track", "_b"], "left")
+    y = F.col("_y") + F.coalesce(F.col("_c") * F.pow(F.lit(keep), F.col("_i") + 1), F.lit(0.0))
+    return df.withColumn(out, F.when(F.col("_k") >= 0, y)).drop("_k", "_b", "_i", "_x", "_y", "_c")
+
+
+def weighted_window(df: DataFrame, column: str, out: str, weights: list[float]) -> DataFrame:
+    """Sum of neighbours by weight, an odd number of them around each frame; the ends are repeated."""
+    reach, w = len(weights) // 2, by_frame()
+    first, last = F.first(column).over(whole_in_order()), F.last(column).over(whole_in_order())
+    total = F.lit(0.0)
+    for k, x in zip(range(-reach, reach + 1), weights, strict=True):
+        there = F.lead(column, k).over(w) if k > 0 else F.lag(column, -k).over(w) if k else F.col(column)
+        total = total + x * F.coalesce(there, last if k > 0 else first)
+    return df.withColumn(out, total)
+
+
+def whole_in_order() -> WindowSpec:
+    return by_frame().rowsBetween(_BACK, _ON)
+
+
+def median_window(df: DataFrame, column: str, out: str, reach: int = 2) -> DataFrame:
+    """Median of a frame and its ``reach`` neighbours on either side; the ends are repeated."""
+    w = by_frame()
+    first, last = F.first(column).over(whole_in_order()), F.last(column).over(whole_in_order())
+    near = [F.coalesce(F.lag(column, k).over(w), first) for k in range(reach, 0, -1)] + [F.col(column)]
+    near += [F.coalesce(F.lead(column, k).over(w), last) for k in range(1, reach + 1)]
+    return df.withColumn(out, F.element_at(F.array_sort(F.array(*near)), reach + 1))
+
+
 def islands(df: DataFrame, condition: Column, out: str = "run") -> DataFrame:
     """Rows that meet a condition, with a number that consecutive frames share."""
     kept = df.where(condition)
@@ -268,13 +317,13 @@ select track, min(frame) as first, max(frame) as last, count(*) n from i group b
 def visibility_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tracks(spark, sf_dir).groupBy("track").agg((100.0 * F.count("v") / F.count("*")).alias("pct"))
     return g.select(
-        "track", F.round("pct", 4).alias("pct"), bucket(F.col("pct"), [60, 75, 90], ["DROP", "MARGINAL", "OK", "STRONG"]).alias("verdict")
+        "track", F.round("pct", 4).alias("pct"), bucket(F.col("pct"), [30, 60, 90], ["DROP", "MARGINAL", "OK", "STRONG"]).alias("verdict")
     )
 
 
 VISIBILITY_VERDICTS = f"""
 with {TRACKS}, g as (select track, 100.0 * count(v) / count(*) pct from t group by 1)
-select track, round(pct, 4) pct, case when pct < 60 then 'DROP' when pct < 75 then 'MARGINAL' when pct < 90 then 'OK' else 'STRONG' end verdict from g
+select track, round(pct, 4) pct, case when pct < 30 then 'DROP' when pct < 60 then 'MARGINAL' when pct < 90 then 'OK' else 'STRONG' end verdict from g
 """
 
 
@@ -335,33 +384,6 @@ select track, frame, round(case when v is null or abs(v - m) > 0.5 * abs(m) then
 """
 
 
-def ema_fixed_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both-way exponential mean, alpha 0.3, in closed form over the 40 nearest frames.
-
-    The weights beyond are below 1e-6; so it needs no fold and bounded frames, at the price of that error.
-    """
-    alpha, reach = 0.3, 40
-    t = fill(tracks(spark, sf_dir))
-    w = by_frame()
-
-    def one_way(values: Column) -> Column:
-        """values: nearest first; the last of them takes the rest of the weight."""
-        n = F.size(values)
-        step = F.transform(values, lambda x, i: x * F.pow(F.lit(1 - alpha), i) * F.when(i < n - 1, alpha).otherwise(1.0))
-        return F.aggregate(step, F.lit(0.0), lambda a, x: a + x)
-
-    back = F.reverse(F.collect_list("filled").over(w.rowsBetween(-reach, 0)))
-    on = F.collect_list("filled").over(w.rowsBetween(0, reach))
-    return t.select("track", "frame", F.round((one_way(back) + one_way(on)) / 2, 3).alias("ema"))
-
-
-EMA_FIXED_HORIZON = f"""
-with {_FILLED}, l as (select track, frame, list(filled) over (partition by track order by frame rows between 40 preceding and current row) b,
-  list_reverse(list(filled) over (partition by track order by frame rows between current row and 40 following)) o from f)
-select track, frame, round((list_reduce(b, lambda a, x: 0.7 * a + 0.3 * x) + list_reduce(o, lambda a, x: 0.7 * a + 0.3 * x)) / 2, 3) as ema from l
-"""
-
-
 def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arc length, net displacement and their ratio."""
     t = tracks(spark, sf_dir).withColumn("d", F.abs(F.col("raw") - F.lag("raw").over(by_frame())))
@@ -434,17 +456,21 @@ def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("px_") * F.col("qx_") + F.col("py_") * F.col("qy_")).alias("a"),
         F.sum(F.col("px_") * F.col("qy_") - F.col("py_") * F.col("qx_")).alias("b"),
         F.sum(F.col("px_") * F.col("px_") + F.col("py_") * F.col("py_")).alias("s"),
+        F.sum(F.col("qx_") * F.col("qx_") + F.col("qy_") * F.col("qy_")).alias("q"), F.count("*").alias("n"),
     )
+    # what the best similarity leaves: |q|^2 - (a^2 + b^2) / |p|^2, as a root mean square
+    left = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - (F.col("a") * F.col("a") + F.col("b") * F.col("b")) / F.col("s")) / F.col("n"))
     return g.select(
-        "track", F.round(F.hypot("a", "b") / F.col("s"), 5).alias("scale"), F.round(F.degrees(F.atan2("b", "a")), 4).alias("degrees")
-    )
+        "track", F.round(F.hypot("a", "b") / F.col("s"), 5).alias("scale"), F.round(F.degrees(F.atan2("b", "a")), 4).alias("degrees"),
+        F.round(left, 3).alias("residual"),
+    )
 
 
 SIMILARITY_FIT = f"""
 with {_FILLED}, p as (select track, frame * 1.0 px, raw py, frame * 1.0 qx, filled qy from f where filled is not null),
 c as (select track, px - avg(px) over w px, py - avg(py) over w py, qx - avg(qx) over w qx, qy - avg(qy) over w qy from p window w as (partition by track)),
-g as (select track, sum(px * qx + py * qy) a, sum(px * qy - py * qx) b, sum(px * px + py * py) s from c group by 1)
-select track, round(sqrt(a * a + b * b) / s, 5) scale, round(degrees(atan2(b, a)), 4) as degrees from g
+g as (select track, sum(px * qx + py * qy) a, sum(px * qy - py * qx) b, sum(px * px + py * py) s, sum(qx * qx + qy * qy) q, count(*) n from c group by 1)
+select track, round(sqrt(a * a + b * b) / s, 5) scale, round(degrees(atan2(b, a)), 4) as degrees, round(sqrt(greatest(0, q - (a * a + b * b) / s) / n), 3) as residual from g
 """
 
 
@@ -480,7 +506,6 @@ QUERIES = {
     "moving_average_edge": (moving_average_edge, MOVING_AVERAGE_EDGE),
     "local_maxima": (local_maxima_query, LOCAL_MAXIMA),
     "consensus_median": (consensus_median, CONSENSUS_MEDIAN),
-    "ema_fixed_horizon": (ema_fixed_horizon, EMA_FIXED_HORIZON),
     "path_lengths": (path_lengths, PATH_LENGTHS),
     "stage_timing": (stage_timing, STAGE_TIMING),
     "trimmed_mean": (trimmed_mean, TRIMMED_MEAN),
