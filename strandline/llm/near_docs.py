@@ -472,3 +472,21 @@ def _of_one_document(filled: DataFrame, same: DataFrame) -> DataFrame:
 
 def op7_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP7_SQL = r"""
+with recursive d as (
+  select row_number() over () as k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), g as (
+  select k, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) end) as s from d
+), n as (select k, count(*) as n from g group by k), few as (select s from g group by s having count(*) > 1),
+m as (select k, md5_number_lower(s) as h from g semi join few using (s)),
+pairs as (select a.k as a, b.k as b, count(*) as c from m a join m b on a.h = b.h and a.k <> b.k group by 1, 2),
+l as (select a, b from pairs join n x on x.k = a join n y on y.k = b where 100 * c >= 75 * (x.n + y.n - c)
+  union select x.k, y.k from d x join d y on x.doc_id = y.doc_id and x.k <> y.k join n on n.k = x.k join n o on o.k = y.k),
+r as (select k, k as other from n union select r.k, l.b from r join l on l.a = r.other),
+c as (select r.k, min(d.doc_id) as component_id from r join d on d.k = r.other group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id from d left join n using (k) left join c using (k)
+"""

@@ -167,3 +167,21 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, chunk: int = CHUNK, mo
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP3_SQL = r"""
+with recursive v as (
+  select row_number() over () as k, vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+), ok as (
+  select k, vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+  where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+), l as (
+  select a.k as a, b.k as b, b.vec_id as to_id from ok a join ok b on a.label = b.label and a.k <> b.k and len(a.e) = len(b.e) and a.norm > 0 and b.norm > 0
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), r as (
+  select k, k as other, vec_id as least from v
+  union
+  select r.k, l.b, l.to_id from r join l on l.a = r.other
+), c as (select k, min(least) as component_id from r group by 1), n as (select a as k, count(*) as n from l group by 1)
+select v.vec_id, coalesce(n.n, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept from v join c using (k) left join n using (k)
+"""

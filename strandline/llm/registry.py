@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from strandline.llm.chat import OP1_SQL, op1_chat_format
-from strandline.llm.near_docs import op7_near_documents
-from strandline.llm.near_vectors import op3_near_vectors
+from strandline.llm.near_docs import OP7_SQL, op7_near_documents
+from strandline.llm.near_vectors import OP3_SQL, op3_near_vectors
 from strandline.llm.packing import op8_best_fit
 from strandline.llm.quality import op9_quality
-from strandline.llm.repeats import op5_repeats
+from strandline.llm.repeats import OP5_SQL, op5_repeats
 from strandline.llm.revisits import OP10_SQL, op10_revisits
 from strandline.llm.secrets import op6_secrets
 from strandline.llm.tiling import op2_decontamination
@@ -30,4 +30,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op10_revisits": OP10_SQL}
+    return {
+        "op1_chat_format": OP1_SQL,
+        "op3_near_vectors": OP3_SQL,
+        "op5_repeats": OP5_SQL,
+        "op7_near_documents": OP7_SQL,
+        "op10_revisits": OP10_SQL,
+    }

@@ -489,3 +489,15 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     return found.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+OP5_SQL = r"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select k, unnest(generate_series(1, len(w) - 34)) as i, w from d where len(w) >= 35),
+win as (select k, i, md5(array_to_string(w[i:i + 34], ' ')) as h from s),
+rec as (select h from win group by h having count(*) > 1),
+gone as (select distinct k, i + t.j as j from win join rec using (h), generate_series(0, 34) t(j)),
+word as (select k, unnest(w) as x, generate_subscripts(w, 1) as j from d),
+kept as (select k, string_agg(x, ' ' order by j) as text, count(*) as n from word anti join gone using (k, j) group by k)
+select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from d left join kept using (k)
+"""
