@@ -1,13 +1,15 @@
 """Event streams: an inbox without duplicates, a mean carried by key, and windows over event time.
 
 Each flow reads the events folder as a stream with ``availableNow``, keeps offsets and state in a checkpoint and leaves
-its rows as Parquet, so it can be stopped and started again; the query reads those rows.
+its rows as Parquet, so it can be stopped and started again; the query reads those rows. Windows and sessions leave the
+state once the watermark has passed them, so state does not grow with the stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,32 +20,55 @@ from strandline.session import work_dir
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as they arrive, with ts as a timestamp, which watermarks ask for."""
+#: A row that only carries time: it brings the watermark on and is dropped before anything is counted.
+TICK = "tick"
+#: Names ts as well, as a filter without it would be moved below the watermark, which then saw no ticks.
+NO_TICK = f"not {TICK} or ts is null"
+
+
+def events_stream(spark: SparkSession, sf_dir: str, ticks: str | None = None) -> DataFrame:
+    """The events as they arrive, with ts as a timestamp, which watermarks ask for; ``ticks``: a folder of times without events."""
     rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(TICK, F.lit(False))
+    if ticks:
+        time = spark.readStream.schema("ts timestamp").parquet(ticks).withColumn(TICK, F.lit(True))
+        rows = rows.unionByName(time, allowMissingColumns=True)
+    return rows
+
 
+def drain(flow: DataFrame, out: str, state: str, mode: str) -> DataFrame:
+    """Runs a flow over all that is new since the state in ``state``; each batch adds its rows to ``out``.
 
-def drain(flow: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a flow over all that is there; in complete mode each batch replaces the rows, else it adds to them."""
+    Called again with the same two folders it goes on where it stopped: old files are not read again, and what is kept
+    by key is carried over.
+    """
     spark = flow.sparkSession
-    out, state = work_dir(spark, name), work_dir(spark, f"{name}-state")
 
     def keep(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("batch", F.lit(number))
         # a batch that runs again replaces its own folder
-        rows.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     own = flow.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep)
     own.start().awaitTermination()
-    if mode == "complete":
-        return spark.read.parquet(out)
     return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
 
 
+def drained(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append") -> DataFrame:
+    """All rows of a flow over the events; a tick after the last event then closes what still waits for the watermark."""
+    base = work_dir(spark, name)
+    out, state, ticks = f"{base}/out", f"{base}/state", f"{base}/ticks"
+    spark.createDataFrame([], "ts timestamp").write.parquet(ticks)
+    rows = drain(build(events_stream(spark, sf_dir, ticks)), out, state, mode)
+    if mode != "append":
+        return rows
+    last = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").agg((F.max("ts").cast("timestamp") + F.expr("interval 60 days")).alias("ts"))
+    last.where("ts is not null").coalesce(1).write.mode("append").parquet(ticks)
+    return drain(build(events_stream(spark, sf_dir, ticks)), out, state, mode)
+
+
 def inbox(events: DataFrame, delay: str = "30 days") -> DataFrame:
     """One row for each event_id among rows no later than ``delay``."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    return events.withWatermark("ts", delay).where(NO_TICK).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def carried_mean(events: DataFrame, alpha: float = 0.3) -> DataFrame:
@@ -51,27 +76,31 @@ def carried_mean(events: DataFrame, alpha: float = 0.3) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, y = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(batches).sort_values(["ts", "event_id"])
-        for x in rows["value"]:
-            y = x if n == 0 else alpha * x + (1 - alpha) * y
-            n += 1
+        x = pd.concat(batches).sort_values(["ts", "event_id"])["value"].to_numpy(float)
+        for part in np.array_split(x, max(1, len(x) // 256)):  # in closed form: weights of 256 values stay in range
+            if len(part):
+                weights = alpha * (1 - alpha) ** np.arange(len(part) - 1, -1, -1.0)
+                if n == 0:
+                    weights[0] /= alpha
+                y = float(weights @ part) + (0.0 if n == 0 else (1 - alpha) ** len(part) * y)
+                n += len(part)
         state.update((n, float(y)))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "ema": [y]})
 
-    own = events.select("user_id", "ts", "event_id", "value").groupBy("user_id")
+    own = events.where(NO_TICK).select("user_id", "ts", "event_id", "value").groupBy("user_id")
     return own.applyInPandasWithState(step, "user_id long, n long, ema double", "n long, y double", "update", GroupStateTimeout.NoTimeout)
 
 
 def windowed(events: DataFrame, size: str = "1 day", slide: str = "12 hours", delay: str = "2 days") -> DataFrame:
     """Counts and sums by event type over sliding windows of event time."""
     w = F.window("ts", size, slide)
-    g = events.withWatermark("ts", delay).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("sum"))
+    g = events.withWatermark("ts", delay).where(NO_TICK).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("sum"))
     return g.select(F.col("window.start").alias("start"), "event_type", "n", "sum")
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "2 days") -> DataFrame:
     """Stretches of a user's events without a pause of ``gap``."""
-    g = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    g = events.withWatermark("ts", delay).where(NO_TICK).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
@@ -79,7 +108,7 @@ def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "2 days") ->
 
 
 def stream_inbox_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drain(inbox(events_stream(spark, sf_dir)), "inbox", "append")
+    kept = drained(spark, sf_dir, inbox, "inbox")
     return kept.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("sum"))
 
 
@@ -87,7 +116,7 @@ INBOX = "select event_type, count(*) n, round(sum(value), 2) as sum from (select
 
 
 def stream_keyed_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drain(carried_mean(events_stream(spark, sf_dir)), "mean", "update")
+    found = drained(spark, sf_dir, carried_mean, "mean", "update")
     return found.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("ema", "batch"), 4).alias("ema"))
 
 
@@ -98,7 +127,7 @@ select user_id, len(x) as n, round(list_reduce(x, lambda a, x: 0.7 * a + 0.3 * x
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drain(windowed(events_stream(spark, sf_dir)), "windows", "complete")
+    found = drained(spark, sf_dir, windowed, "windows")
     return found.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("sum", 2).alias("sum"))
 
 
@@ -109,7 +138,7 @@ select start, event_type, count(*) n, round(sum(value), 2) as sum from w group b
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drain(sessions(events_stream(spark, sf_dir)), "sessions", "complete")
+    found = drained(spark, sf_dir, sessions, "sessions")
     return found.select("user_id", F.unix_seconds("start").alias("start"), "n")
 
 

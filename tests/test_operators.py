@@ -245,3 +245,60 @@ def test_ranks_gather_no_group(spark):
             last = v if v is not None else last
             want.append(last)
         assert column(clean.where(F.col("track").eqNullSafe(F.lit(k))), "clean") == want
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from strandline.streaming import flows
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    halves = [e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")]
+    (tmp_path / "in").mkdir()
+    for k, half in enumerate(halves):
+        half.toPandas().to_parquet(f"{folder}/events.parquet{k}", coerce_timestamps="us")
+        flow = flows.carried_mean(flows.events_stream(spark, folder))
+        rows = flows.drain(flow, out, state, "update").collect()
+    last = {}
+    for r in sorted(rows, key=lambda r: r["batch"]):
+        last[r["user_id"]] = (r["n"], r["ema"])
+    want = {}
+    for half in halves:
+        for r in half.orderBy("ts", "event_id").collect():
+            n, y = want.get(r["user_id"], (0, 0.0))
+            want[r["user_id"]] = (n + 1, r["value"] if n == 0 else 0.3 * r["value"] + 0.7 * y)
+    assert {k: (n, round(y, 6)) for k, (n, y) in last.items()} == {k: (n, round(y, 6)) for k, (n, y) in want.items()}
+    assert len({r["batch"] for r in rows}) == 2
+
+
+def test_ema_windows_are_the_recursion(spark):
+    import random
+
+    from strandline.operators import sequences
+
+    rng = random.Random(1)
+    rows = [(t, f, rng.random() * 9 if rng.random() < 0.8 else None) for t in range(4) for f in range(t * 130)]
+    df = spark.createDataFrame(rows, "track long, frame long, v double")
+    for backward in (False, True):
+        got = {(r["track"], r["frame"]): r["y"] for r in sequences.ema(df, "v", "y", 0.5, backward, block=16).collect()}
+        for t in range(4):
+            own, y = [r for r in rows if r[0] == t], None
+            for _, f, v in reversed(own) if backward else own:
+                y = y if v is None else v if y is None else 0.5 * v + 0.5 * y
+                assert (got[t, f] is None) == (y is None) and (y is None or abs(got[t, f] - y) < 1e-9)
+
+
+def test_nearest_at_any_distance(spark):
+    import random
+
+    from strandline.plans import ranges
+
+    rng = random.Random(2)
+    values = [rng.choice([-5000.0, 0.0, 7.5, 1e6]) + rng.random() * 50 for _ in range(40)] + [7.5, -7.5]
+    keys = [rng.uniform(-9000, 2e6) for _ in range(200)] + [0.0, None, 5.0, 5.0, 1e9]
+    left = spark.createDataFrame([(i, k) for i, k in enumerate(keys)] + [(202, 5.0)], "id long, key double")
+    right = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = ranges.nearest(left, right, "key", "v", "near", 10.0).collect()
+    assert len(got) == len(keys) + 1
+    for r in got:
+        assert r["near"] == (None if r["key"] is None else min(values, key=lambda v: (abs(v - r["key"]), v)))
+    assert all(r["near"] is None for r in ranges.nearest(left, right.where("v > 1e9"), "key", "v", "near", 10.0).collect())
