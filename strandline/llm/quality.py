@@ -107,6 +107,23 @@ class Model:
         return self.forward(x, first)["y"] if len(first) > 1 else np.zeros(0)
 
 
+def gradient(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss of whole texts, by weight."""
+    w, f = model.weights, model.forward(x, first)
+    bag, h, share = f["bag"], f["h"], f["share"]
+    err = (f["y"] - y) / len(y)
+    dz = err[:, None] * w["c"]
+    ds = (h * dz[bag]).sum(1)
+    de = share * (ds - np.add.reduceat(share * ds, first[:-1])[bag])
+    dtg = de[:, None] * w["a"]
+    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
+    dh = (share[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h**2)
+    return {
+        "W": f["x"].T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (de[:, None] * f["t"] * f["g"]).sum(0),
+        "c": f["z"].T @ err, "d": err.sum(keepdims=True),
+    }
+
+
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.01, batch: int = 128) -> Model:
     """Adam on the log loss of whole texts, in numpy; the same input gives the same model.
 
@@ -131,19 +148,8 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 40, rate:
             rows = order[s : s + batch]
             n = first[rows + 1] - first[rows]
             own = np.concatenate([[0], np.cumsum(n)])
-            f = model.forward(x[np.repeat(first[rows] - own[:-1], n) + np.arange(own[-1])], own)
-            bag, h, share = f["bag"], f["h"], f["share"]
-            err = (f["y"] - y[rows]) / len(rows)
-            dz = err[:, None] * w["c"]
-            ds = (h * dz[bag]).sum(1)
-            de = share * (ds - np.add.reduceat(share * ds, own[:-1])[bag])
-            dtg = de[:, None] * w["a"]
-            dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-            dh = (share[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h**2)
-            grad = {
-                "W": f["x"].T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (de[:, None] * f["t"] * f["g"]).sum(0),
-                "c": f["z"].T @ err, "d": err.sum(keepdims=True),
-            }
+            f = x[np.repeat(first[rows] - own[:-1], n) + np.arange(own[-1])]
+            grad = gradient(model, f, own, y[rows])
             step += 1
             for k, g in grad.items():
                 g = g + 1e-5 * w[k]
@@ -158,11 +164,12 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, most: int = 256) -> Model:
     """Fits on at most ``sample`` labelled rows, those of the least hashes of doc_id among rows that are not held out.
 
-    The bound keeps what comes to the driver (their passages' features) small at any corpus size. Rows without a label
-    or doc_id don't count; of several labels of one document the largest does.
+    Of a text with more than ``most`` passages that many are learned from, evenly spaced (all are scored). Both bounds
+    keep what comes to the driver (features of passages, 150 MB at most) small at any corpus size. Rows without a label
+    or doc_id don't count; of several labels of one document the largest does; without any the scores are one half.
     """
     rows = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
@@ -175,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Model:
         for b in batches:
             for i, j, data, offs in _words.blocks(b.column(1)):
                 x, first = passages(data, offs)
-                out = [x[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)]
+                some = [x[np.linspace(p, q - 1, min(q - p, most)).astype(int)] for p, q in zip(first[:-1], first[1:], strict=True)]
+                out = [v.tobytes() for v in some]
                 ids, y = b.column(0).slice(i, j - i), b.column(2).slice(i, j - i).cast(pa.int32())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary()), y], ["doc_id", "x", "y"])
 
@@ -191,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and quality_score (0 to 1; null and empty texts are scored as a passage of zeros).
 
-    Rows are scored one by one, repeated ones alike; a column quality_score of ``docs`` is replaced.
+    Rows are scored one by one, repeated ones alike; a column quality_score of ``docs`` is replaced; an empty table
+    gives none. A text takes about fifteen times its bytes in a task.
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -210,6 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out (null for a null doc_id), score and predicted of every row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select(

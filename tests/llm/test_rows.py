@@ -292,6 +292,93 @@ def test_quality(spark, odd, none):
     assert {r["quality_score"] for r in quality.score(odd, empty).collect()} == {0.5}
 
 
+def small_model(rng):
+    size = {"W": (quality.FEATURES, 5), "b": 5, "V": (5, 3), "U": (5, 3), "a": 3, "c": 5, "d": 1}
+    own = {k: rng.normal(size=n) for k, n in size.items()}
+    return quality.Model(rng.normal(size=quality.FEATURES), rng.random(quality.FEATURES) + 0.5, own)
+
+
+def plain_score(model, x, first):
+    w, out = model.weights, []
+    for p, q in zip(first[:-1], first[1:], strict=True):
+        h = [np.tanh(np.clip((x[i] - model.mean) / model.scale, -6, 6) @ w["W"] + w["b"]) for i in range(p, q)]
+        e = [np.exp((np.tanh(v @ w["V"]) / (1 + np.exp(-(v @ w["U"])))) @ w["a"]) for v in h]
+        z = sum(a * v for a, v in zip(e, h, strict=True)) / sum(e)
+        out.append(float(1 / (1 + np.exp(-(z @ w["c"] + w["d"])))[0]))
+    return np.array(out)
+
+
+def test_attention_and_its_gradient_against_plain_loops():
+    rng = np.random.default_rng(1)
+    model, first = small_model(rng), np.array([0, 1, 4, 9, 10])
+    x, y = rng.normal(size=(10, quality.FEATURES)), np.array([1.0, 0, 1, 0])
+    assert np.allclose(model.score(x, first), plain_score(model, x, first))
+
+    def loss():
+        p = plain_score(model, x, first)
+        return -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    for k, g in quality.gradient(model, x, first, y).items():
+        own = model.weights[k].reshape(-1)
+        for i in rng.integers(0, len(own), 6):
+            old, at = own[i], []
+            for d in (1e-6, -1e-6):
+                own[i] = old + d
+                at.append(loss())
+            own[i] = old
+            assert abs((at[0] - at[1]) / 2e-6 - g.reshape(-1)[i]) < 1e-6, k
+
+
+def test_quality_query(spark):
+    rows = quality.op9_quality(spark, "/root/testdata/sf0.01").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert len(held) > 60 and np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.95
+
+
+def test_decontamination_query_against_every_pair(spark, tmp_path):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"W{rng.randrange(60)}" for _ in range(rng.choice([5, 8, 20, 45])))) for i in range(25)] + [(3, None)]
+    docs = []
+    for i in range(120):
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(40))]
+        if i % 3 == 0:
+            own = rng.choice(items[:25])[1].split()
+            k = rng.randrange(len(own))
+            words[5:5] = own[k:] + ["-", "x"] * (i % 2) + own[:k]
+        docs.append((i, ", ".join(words)))
+    docs += [(500, None), (501, ""), (0, docs[0][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    number: dict[str, int] = {}
+    plain = lambda text: [number.setdefault(w, len(number)) for w in re.findall("[a-z0-9]+", (text or "").lower())]
+    want = []
+    for d, text in docs:
+        for i, item in items:
+            p = plain(item)
+            covered = sum(k for k, _, _ in tiling.tiles(p, plain(text))) if len(p) >= 8 else 0
+            if covered >= max(8, 0.6 * len(p)):
+                want.append((d, i, covered, len(p)))
+    got = [tuple(r)[:4] for r in tiling.op2_decontamination(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 10
+
+
+def test_token_records_query(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = [None, "", "a <|endoftext|> b", "  x\n\n y ", "it's <|startoftext|>ok", "é\u2003z", "w " * 3000]
+    docs = [(7 - i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library, at, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    for d, text in sorted(docs):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in token_records.op4_token_records(spark, str(tmp_path)).collect()) == want
+
+
 def test_tiling_covers_what_brute_force_covers():
     rng = random.Random(3)
 
