@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import _words, chat, packing, quality, registry, revisits, secrets, tiling, token_records
+from strandline.llm import _words, chat, packing, quality, registry, revisits, secrets, tiling, token_records, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, spans string, key long, quality_score double"
@@ -486,3 +486,25 @@ def test_digest_of_one_conversation(spark):
     r = chat.digests(chat.format_chats(chat.turns_to_events(turns))).first()
     assert r["turns_sha256"] == hashlib.sha256(b"user\na\nassistant\n<s>b\n").hexdigest()
     assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, 4, hashlib.sha256(b"<s>b").hexdigest())
+
+
+def test_archives_round_trip_and_resolve(spark, tmp_path):
+    page = b"<html>\r\n\r\nWARC/1.1\r\n\x00\xff</html>"
+    rows = [
+        ("urn:1", 100, "response", "http://a.org/x", "e1", None, warc.payload_digest(page), {"server": "s", "date": "old"}, page),
+        ("urn:2", 200, "revisit", "http://A.org/x/", "e1", "Mon", None, {"date": "new"}, b""),
+        ("urn:3", None, "response", None, None, None, None, {}, b"x" * 300_000), ("urn:3", None, "response", None, None, None, None, {}, b""),
+    ]
+    df = spark.createDataFrame(rows, warc.RECORDS)
+    files = warc.write_warc(df.coalesce(1), f"file://{tmp_path}/w").cache()
+    back = warc.read_warc(spark, files)
+    got = sorted((r["record_id"], r["ts"] or 0, r["kind"], r["url"], r["etag"], r["last_modified"], r["digest"], len(r["payload"]), bytes(r["payload"])[:40]) for r in back.collect())
+    assert got == sorted((i, t or 0, k, u, e, m, d, len(p), p[:40]) for i, t, k, u, e, m, d, _, p in rows)
+    r = revisits.with_payload(revisits.resolve(back), back).collect()
+    assert [(x["record_id"], x["response_id"], bytes(x["payload"]), x["headers"]["date"], x["headers"]["server"]) for x in r] == [("urn:2", "urn:1", page, "new", "s")]
+    raw = b"".join(warc.record_bytes(dict(zip(warc._NAMES, x, strict=True))) for x in rows)
+    assert [x["record_id"] for x in warc.iter_bytes(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nab\r\n\r\n" + raw)] == ["urn:1", "urn:2", "urn:3", "urn:3"]
+    for broken in (raw[:-200], b"junk" + raw):
+        with pytest.raises(warc.CorruptArchive):
+            list(warc.iter_bytes(broken))
+    assert warc.write_warc(df.where("ts < 0"), f"file://{tmp_path}/none").count() == 0 and warc.read_warc(spark, []).count() == 0
