@@ -44,11 +44,11 @@ def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     a = w.start[begin]
     b = np.where(np.diff(row[begin], append=-1) == 0, np.append(a[1:], len(data)), offs[row[begin] + 1])
     size = np.maximum(b - a, 1).astype(np.float32)
+    edges = np.stack([a, b], 1).ravel()
     for k, (_, values) in enumerate(_CLASSES):
-        is_in = np.zeros(256, bool)
-        is_in[values] = True
-        sums = np.concatenate([[0], np.cumsum(is_in[data], dtype=np.int64)])
-        x[own, k] = (sums[b] - sums[a]) / size
+        is_in = np.zeros(256, np.uint8)
+        is_in[values] = 1
+        x[own, k] = np.add.reduceat(np.append(is_in[data], np.uint8(0)), edges, dtype=np.int64)[::2] / size
     k = len(_CLASSES)
     length = (w.end - w.start).astype(np.float32)
     x[own, k] = np.add.reduceat(length, begin) / n / 10
@@ -73,8 +73,10 @@ def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     again = np.zeros(len(row), np.float32)
     again[order[1:]] = (pair[order][1:] == pair[order][:-1]) & (row[order][1:] == row[order][:-1])
     x[own, k + 7] = np.add.reduceat(again, begin) / n
-    words = _PROJECTION[(w.hash & np.uint64(_BUCKETS - 1)).astype(np.int64)]
-    x[own, k + 8 :] = np.add.reduceat(words, begin, axis=0) / n[:, None]
+    for i in range(0, len(begin), 8192):  # a part of the passages at a time
+        j = min(len(begin), i + 8192)
+        words = _PROJECTION[(w.hash[begin[i] : begin[j] if j < len(begin) else None] & np.uint64(_BUCKETS - 1)).astype(np.int64)]
+        x[own[i:j], k + 8 :] = np.add.reduceat(words, begin[i:j] - begin[i], axis=0) / n[i:j, None]
     return x, first
 
 
@@ -200,7 +202,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and quality_score (0 to 1; null and empty texts are scored as a passage of zeros).
 
     Rows are scored one by one, repeated ones alike; a column quality_score of ``docs`` is replaced; an empty table
-    gives none. A text takes about fifteen times its bytes in a task.
+    gives none. A text takes about seventeen times its bytes in a task.
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 

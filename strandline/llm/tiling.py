@@ -159,7 +159,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     with changed words between, still add up. Seeds (runs of 4 words that both share) bring the pairs. Items that fit
     ``limit`` bytes go to every task, which tiles its documents without a shuffle; larger benchmarks are joined by
     seed. Null or empty texts, items of fewer than 8 words and empty tables give no pairs; a null doc_id is kept as
-    it is; repeated rows give repeated pairs, repeated items one.
+    it is; repeated rows give repeated pairs, repeated items one; other columns are ignored. A text takes about eight times
+    its bytes in a task.
     """
     items = _common.stage(seeds(benchmark), "items")
     size = items.agg(F.sum(F.length("words") * 2 + 16)).first()[0] or 0

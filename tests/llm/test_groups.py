@@ -267,3 +267,55 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     packed = rows.groupBy("sequence_id").agg({"length": "sum"}).collect()
     assert max(r["sum(length)"] for r in packed) <= 2048
     assert {r["doc_id"] for r in rows.collect()} == set(kept[3])
+
+
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """run() on small tables with null and repeated ids, empty and null texts and repeated rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from strandline.llm import quality, tiling
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    rows = [tuple(r) for r in docs.collect()]
+    long = [r for r in rows if r[2] == "en" and r[4] > 1500][:6]
+    item = max((r["text"] for r in items), key=len)
+    rows += [(None, long[0][1], "en", "p", 1), (None, long[1][1][::-1], "en", "p", 1), (None, long[1][1][::-1], "en", "p", 1)]
+    rows += [rows[5], rows[5], (rows[7][0], long[2][1] + " " + item, "en", "p", 1), (9001, None, None, None, None), (9002, "", "en", "p", 0), (9002, "", "en", "p", 0)]
+    rows += [(9003, long[3][1] + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "en", "p", 1)]
+    spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality.train(stored, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = [tuple(r)[:2] for r in quality.score(stored, model).collect() if r["quality_score"] >= 0.7]
+    sets = []
+    for _, text in kept:
+        w = [x.decode() for x in (text or "").encode().lower().split()]
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else []))
+    links = [(i, j) for i in range(len(kept)) for j in range(i) if sets[i] and sets[j] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    groups: dict[int, list[int]] = {}
+    for i, c in roots(range(len(kept)), links).items():
+        groups.setdefault(c, []).append(i)
+    one = [min(own, key=lambda i: (kept[i][0] is None, kept[i][0] or 0)) for own in groups.values()]
+    number: dict[str, int] = {}
+    plain = lambda text: [number.setdefault(w, len(number)) for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.lower())]
+    bench = [p for p in (plain(r["text"] or "") for r in items) if len(p) >= 8]
+    left = []
+    for i in one:
+        t, bad = plain(kept[i][1] or ""), False
+        grams = {tuple(t[k : k + 4]) for k in range(len(t) - 3)}
+        for p in bench:
+            near = sum(tuple(p[k : k + 4]) in grams for k in range(len(p) - 3))
+            bad = bad or (near and sum(k for k, _, _ in tiling.tiles(p, t)) >= max(8, 0.6 * len(p)))
+        if not bad:
+            left.append(kept[i])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1) for r in out if r["piece"] == 0) == sorted((d or -1) for d, _ in left) and len(left) > 100
+    assert len(left) < len(one) < len(kept) < len(rows)
+    by: dict[int, list] = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
