@@ -117,14 +117,26 @@ select p_partkey, string_agg(f::varchar, ',' order by f) as frames from c group
 
 
 def percentile_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        sorted_list("o_totalprice").alias("x"), F.percentile("o_totalprice", F.lit(0.95)).alias("linear"), F.percentile("o_totalprice", F.lit(0.5)).alias("median_mid")
-    )
-    x = F.col("x")
-    lower = F.element_at(x, F.floor((F.size(x) - 1) / 2).cast("int") + 1)
+    """Three percentiles and three medians of each group from counted values: no group is gathered."""
+    by = "o_orderpriority"
+    c = table(spark, sf_dir, "orders").where("o_totalprice is not null").groupBy(by, F.col("o_totalprice").alias("x")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by)
+    c = c.withColumn("upto", F.sum("c").over(w.orderBy("x"))).withColumn("n", F.sum("c").over(w))
+    n = F.col("n")
+
+    def at(rank: Column) -> Column:
+        """The value at a rank, counted from 0."""
+        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank), F.col("x")))
+
+    linear, middle = 0.95 * (n - 1), 0.5 * (n - 1)
+    g = c.groupBy(by).agg(
+        at(F.bround(0.95 * (n - 1))).alias("nearest"), at(F.least(n - 1, F.floor(0.95 * n))).alias("floor"), at(F.floor(linear)).alias("a"),
+        at(F.ceil(linear)).alias("b"), at(F.floor(n / 2)).alias("upper"), at(F.floor((n - 1) / 2)).alias("lower"), F.max(linear).alias("p"), F.max(middle).alias("m"),
+    )
+    between = lambda a, b, p: F.col(a) + (F.col(b) - F.col(a)) * (p - F.floor(p))
     return g.select(
-        "o_orderpriority", F.round(pct_nearest(x, 0.95), 2).alias("nearest"), F.round(pct_floor(x, 0.95), 2).alias("floor"), F.round("linear", 3).alias("linear"),
-        F.round(median_upper(x), 2).alias("median_upper"), F.round(lower, 2).alias("median_lower"), F.round("median_mid", 3).alias("median_mid"),
+        by, F.round("nearest", 2).alias("nearest"), F.round("floor", 2).alias("floor"), F.round(between("a", "b", F.col("p")), 3).alias("linear"),
+        F.round("upper", 2).alias("median_upper"), F.round("lower", 2).alias("median_lower"), F.round(between("lower", "upper", F.col("m")), 3).alias("median_mid"),
     )
 
 

@@ -6,6 +6,7 @@ holds one frame at a time. What needs a whole track (filters in both directions,
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -214,21 +215,35 @@ def spaced_peaks(x: np.ndarray, spacing: int = 5) -> np.ndarray:
 
 
 def merge_short(labels: np.ndarray, values: np.ndarray, least: int = 3) -> np.ndarray:
-    """Joins segments shorter than ``least``, smallest first, to the neighbour whose mean is nearer as a ratio."""
-    runs = [[int(a[0]), int(a[-1]) + 1] for a in np.split(np.arange(len(labels)), np.flatnonzero(np.diff(labels)) + 1)]
-    while len(runs) > 1:
-        sizes = [b - a for a, b in runs]
-        k = int(np.argmin(sizes))
-        if sizes[k] >= least:
+    """Joins segments shorter than ``least``, smallest first, to the neighbour whose mean is nearer as a ratio.
+
+    Segments wait in a heap by size and place and are linked to their neighbours, so a track takes n log n steps.
+    """
+    first = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1]) if len(labels) else np.zeros(0, int)
+    size = np.diff(np.append(first, len(labels))).tolist()
+    total = np.add.reduceat(np.asarray(values, float), first).tolist() if len(first) else []
+    left, right = list(range(-1, len(first) - 1)), [*range(1, len(first)), -1]
+    heap = [(n, k) for k, n in enumerate(size) if n < least]
+    heapq.heapify(heap)
+    alive = [True] * len(first)
+    while heap:
+        n, k = heapq.heappop(heap)
+        if not alive[k] or size[k] != n:
+            continue
+        mean = {j: max(total[j] / size[j], 1e-6) for j in (left[k], k, right[k]) if j >= 0}
+        near = [(abs(math.log(mean[j] / mean[k])), j) for j in mean if j != k]
+        if not near:
             break
-        mean = [max(float(np.mean(values[a:b])), 1e-6) for a, b in runs]
-        near = {j: abs(math.log(mean[j] / mean[k])) for j in (k - 1, k + 1) if 0 <= j < len(runs)}
-        j = min(near, key=lambda j: (near[j], j))
-        a, b = min(j, k), max(j, k)
-        runs[a : b + 1] = [[runs[a][0], runs[b][1]]]
+        j = min(near)[1]
+        a, b = min(j, k), max(j, k)  # the left one stays
+        size[a], total[a], right[a], alive[b] = size[a] + size[b], total[a] + total[b], right[b], False
+        if right[b] >= 0:
+            left[right[b]] = a
+        if size[a] < least:
+            heapq.heappush(heap, (size[a], a))
     out = np.zeros(len(labels))
-    for i, (a, b) in enumerate(runs):
-        out[a:b] = i
+    for i, k in enumerate(k for k in range(len(first)) if alive[k]):
+        out[first[k] : first[k] + size[k]] = i
     return out
 
 
@@ -427,17 +442,28 @@ def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as an 8 x 8 mask of its positive cells: number of regions, and size of the largest."""
+    """Each vector as an 8 x 8 mask: number of regions, size of the largest, and cells that stay with the two largest of two cells or more."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sizes = [np.bincount(components(np.asarray(v).reshape(8, 8) > 0.05).ravel())[1:] for v in b["embedding"]]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "regions": [len(s) for s in sizes], "largest": [int(max(s, default=0)) for s in sizes]})
+            sizes = [np.bincount(components(np.asarray(v, np.float32).reshape(8, 8) > np.float32(0.05)).ravel())[1:] for v in b["embedding"]]
+            kept = [int(sum(sorted((n for n in s if n >= 2), reverse=True)[:2])) for s in sizes]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "regions": [len(s) for s in sizes], "largest": [int(max(s, default=0)) for s in sizes], "kept": kept})
 
-    return rows.mapInPandas(run, "vec_id long, regions int, largest int")
+    return rows.mapInPandas(run, "vec_id long, regions int, largest int, kept int")
 
 
+REGION_COMPONENTS = """
+with recursive c as (select vec_id, k, k // 8 as r, k % 8 as q from (select vec_id, generate_subscripts(embedding, 1) - 1 as k, unnest(embedding) as x from embeddings) where x > 0.05::float),
+n as (select a.vec_id, a.k as a, b.k as b from c a join c b on a.vec_id = b.vec_id and a.k <> b.k and abs(a.r - b.r) <= 1 and abs(a.q - b.q) <= 1),
+t as (select vec_id, k, k as root from c union select t.vec_id, n.b, t.root from t join n on n.vec_id = t.vec_id and n.a = t.k),
+g as (select vec_id, root, count(*) as cells from (select vec_id, k, min(root) as root from t group by 1, 2) group by 1, 2),
+o as (select *, row_number() over (partition by vec_id order by cells desc) as place from g)
+select e.vec_id, count(o.root)::int as regions, coalesce(max(o.cells), 0)::int as largest, coalesce(sum(o.cells) filter (where o.place <= 2 and o.cells >= 2), 0)::int as kept
+from embeddings e left join o on o.vec_id = e.vec_id group by e.vec_id
+"""
+
 QUERIES = {
     "ema_last": (ema_last, EMA_LAST),
     "ema_bidirectional": (ema_bidirectional, EMA_BIDIRECTIONAL),
@@ -452,5 +478,5 @@ QUERIES = {
     "crop_path": (crop_path, None),
     "keyframes_spaced": (keyframes_spaced, KEYFRAMES_SPACED),
     "merged_segments": (merged_segments, None),
-    "region_components": (region_components, None),
+    "region_components": (region_components, REGION_COMPONENTS),
 }

@@ -302,3 +302,31 @@ def test_nearest_at_any_distance(spark):
     for r in got:
         assert r["near"] == (None if r["key"] is None else min(values, key=lambda v: (abs(v - r["key"]), v)))
     assert all(r["near"] is None for r in ranges.nearest(left, right.where("v > 1e9"), "key", "v", "near", 10.0).collect())
+
+
+def test_merging_short_segments_against_the_plain_rule():
+    import math
+    import random
+
+    from strandline.operators import folds
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randrange(0, 40)
+        labels = np.cumsum([rng.random() < 0.5 for _ in range(n)])
+        values = np.array([float(rng.randrange(1, 50)) for _ in range(n)])
+        own = []
+        for lab, v in zip(labels.tolist(), values.tolist(), strict=True):
+            if own and own[-1][0] == lab:
+                own[-1][1].append(v)
+            else:
+                own.append((lab, [v]))
+        own = [v for _, v in own]
+        while len(own) > 1 and min(map(len, own)) < 3:
+            k = min(range(len(own)), key=lambda i: (len(own[i]), i))
+            mean = [sum(v) / len(v) for v in own]
+            j = min((i for i in (k - 1, k + 1) if 0 <= i < len(own)), key=lambda i: (abs(math.log(mean[i] / mean[k])), i))
+            a, b = min(j, k), max(j, k)
+            own[a : b + 1] = [own[a] + own[b]]
+        want = [i for i, v in enumerate(own) for _ in v]
+        assert folds.merge_short(labels, values).tolist() == want
