@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,27 @@ def spread_join(big: DataFrame, one: DataFrame, keys: list[str], salt: Column, h
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def _tidy() -> None:
+    """Gives memory that is free inside this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for mapInArrow, so that a worker which waits for its next task does not hold what the last one used."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _tidy()
+
+    return run
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

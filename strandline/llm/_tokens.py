@@ -32,9 +32,9 @@ def tokenizer(path: str, spaced: bool) -> "BatchTokenizer":
 
 
 class BatchTokenizer:
-    """Memory is bounded: a table of 2**20 words by hash, where a later word takes a place over, and an arena of ids."""
+    """Memory is bounded: a table of 2**19 words by hash, where a later word takes a place over, and an arena of ids."""
 
-    def __init__(self, path: str, spaced: bool, bits: int = 20, arena: int = 1 << 22):
+    def __init__(self, path: str, spaced: bool, bits: int = 19, arena: int = 1 << 21):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

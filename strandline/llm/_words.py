@@ -19,7 +19,7 @@ _R, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes (or values) whose hashes are summed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = np.zeros(256, bool)

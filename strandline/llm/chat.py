@@ -143,7 +143,7 @@ def format_chats(events: DataFrame) -> DataFrame:
     begin = F.min("seq").over(Window.partitionBy("conv_id", "message"))
     own = own.repartition(n, "conv_id").withColumn("pos", F.when(F.col("message").isNull(), F.col("seq")).otherwise(begin))
     own = own.sortWithinPartitions("conv_id", "pos", "message", "seq", "kind", "role", "text")
-    return own.select("conv_id", "pos", "message", "seq", "kind", "role", "text").mapInArrow(_fold, SEGMENTS)
+    return own.select("conv_id", "pos", "message", "seq", "kind", "role", "text").mapInArrow(_common.lean(_fold), SEGMENTS)
 
 
 def turns_to_events(turns: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def digests(segments: DataFrame) -> DataFrame:
             yield batch([now])
 
     return segments.mapInArrow(
-        read,
+        _common.lean(read),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
 

@@ -67,7 +67,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fa", "fb"])
 
     rows = docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text"))
-    return rows.mapInArrow(look, "doc_id long, n long, fa long, fb long")
+    return rows.mapInArrow(_common.lean(look), "doc_id long, n long, fa long, fb long")
 
 
 PACKED = "block long, bucket int, hashes binary, counts binary, rows binary, ids binary"
@@ -156,7 +156,7 @@ def _counted(packed: DataFrame, n_buckets: int, narrow: bool, answer) -> DataFra
                 yield pa.RecordBatch.from_arrays(cols, _NAMES)
 
     packed = _common.stage(packed, "blocks")
-    asked = packed.where("bucket >= 0").repartitionById(n_buckets, F.col("bucket")).mapInArrow(count, PACKED)
+    asked = packed.where("bucket >= 0").repartitionById(n_buckets, F.col("bucket")).mapInArrow(_common.lean(count), PACKED)
     both = asked.unionByName(packed.where("bucket < 0"))
     return both.repartition(_common.parts(packed.sparkSession), "block").sortWithinPartitions("block", "bucket")
 
@@ -200,8 +200,8 @@ def shared_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(n)], ["fa", "fb", "shared"])
 
     rows = docs.where("doc_id is not null").select(_common.text_or_empty().alias("text"))
-    found = _counted(rows.mapInArrow(pack, PACKED), n_buckets, True, lambda n: (n > 1).astype(np.uint8))
-    return found.mapInArrow(total, "fa long, fb long, shared long")
+    found = _counted(rows.mapInArrow(_common.lean(pack), PACKED), n_buckets, True, lambda n: (n > 1).astype(np.uint8))
+    return found.mapInArrow(_common.lean(total), "fa long, fb long, shared long")
 
 
 def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text"))
     rows = rows.join(_common.bounded(chosen, 64), "doc_id").select("text", "node", "fa", "fb")
-    sets = rows.mapInArrow(look, "node long, n long, hashes binary, " + ", ".join(f"{c} long" for c in SIGNATURE))
+    sets = rows.mapInArrow(_common.lean(look), "node long, n long, hashes binary, " + ", ".join(f"{c} long" for c in SIGNATURE))
     sets = _common.stage(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     # a repeated row gives its set again: the first one stays
     twice = sets.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select("node", "first")
@@ -274,8 +274,8 @@ def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(cols, ["token", "node", "n", "place", "last"])
 
-    packed = sets.select("node", "hashes").mapInArrow(pack, PACKED)
-    return _counted(packed, n_buckets, False, answer).mapInArrow(choose, "token long, node long, n long, place long, last boolean")
+    packed = sets.select("node", "hashes").mapInArrow(_common.lean(pack), PACKED)
+    return _counted(packed, n_buckets, False, answer).mapInArrow(_common.lean(choose), "token long, node long, n long, place long, last boolean")
 
 
 def tree_links(leader: np.ndarray, sets: list[tuple[int, np.ndarray]]) -> list[int]:
@@ -357,7 +357,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield flush()
 
     by = "leader", "fan", "kind", "node"
-    return rows.repartition(n, "leader", "fan").sortWithinPartitions(*by).mapInArrow(walk, "a long, b long")
+    return rows.repartition(n, "leader", "fan").sortWithinPartitions(*by).mapInArrow(_common.lean(walk), "a long, b long")
 
 
 def _alike(a: Column | str, b: Column | str) -> Column:

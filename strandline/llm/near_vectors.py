@@ -137,7 +137,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, chunk: int = CHUNK, mo
             yield pa.RecordBatch.from_arrays(cols, ["vec_id", "label", "dim", "vec"])
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("long"))
-    rows = _common.stage(rows.mapInArrow(prepare, "vec_id long, label long, dim int, vec binary"), "vectors")
+    rows = _common.stage(rows.mapInArrow(_common.lean(prepare), "vec_id long, label long, dim int, vec binary"), "vectors")
     own = rows.where("vec is not null").groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     own = _common.stage(own.withColumn("node", F.monotonically_increasing_id()), "distinct")
     n = F.count("*")

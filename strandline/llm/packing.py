@@ -42,7 +42,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         own.release()
 
-    return docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text")).mapInArrow(_common.lean(cut), PIECES)
 
 
 def classes(capacity: int) -> list[tuple[int, int]]:
@@ -143,7 +143,7 @@ def _swept(state: DataFrame, gaps: DataFrame | None, lo: int, hi: int, capacity:
     if gaps is not None:
         open_ = gaps.where(F.col("free") > lo).groupBy(F.col("free").alias("size"), "part").agg(F.min("at").alias("at"), F.count("*").alias("n"))
         both = both.unionByName(open_)
-    return _common.stage(both.coalesce(1).mapInArrow(look, SWEPT), "sweep")
+    return _common.stage(both.coalesce(1).mapInArrow(_common.lean(look), SWEPT), "sweep")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, most: int = 2
                 yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary()), y], ["doc_id", "x", "y"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = chosen.select("doc_id", "text", "quality").mapInArrow(encode, f"doc_id {kind}, x binary, y int")
+    got = chosen.select("doc_id", "text", "quality").mapInArrow(_common.lean(encode), f"doc_id {kind}, x binary, y int")
     found = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in got.collect())
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in found]
     first = np.concatenate([[0], np.cumsum([len(x) for x in bags])]).astype(int)
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             y = pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, y], [*names, "quality_score"])
 
-    return docs.mapInArrow(look, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return docs.mapInArrow(_common.lean(look), StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

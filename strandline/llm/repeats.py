@@ -154,9 +154,9 @@ def repeated_phrases(named: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    packed = named.select("key", "text").mapInArrow(name, "bucket int, known boolean, packed binary")
+    packed = named.select("key", "text").mapInArrow(_common.lean(name), "bucket int, known boolean, packed binary")
     dealt = packed.repartitionById(n, F.col("bucket"))
-    found = dealt.mapInArrow(meet, "key long, phrase long")
+    found = dealt.mapInArrow(_common.lean(meet), "key long, phrase long")
     return found.groupBy("key").agg(F.collect_set("phrase").alias("phrases"))  # at most a document's own
 
 
@@ -207,7 +207,7 @@ def stretches(rows: DataFrame) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(cols, ["phrase", "key", "check", "place", "size", "text"])
 
-    return rows.select("key", "check", "text", "phrases").mapInArrow(look, FOUND)
+    return rows.select("key", "check", "text", "phrases").mapInArrow(_common.lean(look), FOUND)
 
 
 def _recut(batches: Iterable[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def confirmed(found: DataFrame, group: int = GROUP, share: float = 2.0) -> DataF
     out = []
 
     def compare(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "part").sortWithinPartitions("part", "text").mapInArrow(_confirm, "phrase long, words binary")
+        return df.repartition(n, "part").sortWithinPartitions("part", "text").mapInArrow(_common.lean(_confirm), "phrase long, words binary")
 
     for single in (False, True):
         hot, limit = _common.hot_keys(rows, ["part"], F.col("size"), group, share)
@@ -320,7 +320,7 @@ def confirmed(found: DataFrame, group: int = GROUP, share: float = 2.0) -> DataF
         still = _common.bounded(_common.stage(still, "still"), 8)
         out.append(compare(warm.join(still, "part", "left_anti").select("phrase", "part", "text", "n")))
         again = warm.join(still, "part", "left_semi").select("phrase", "part", "text", "n")
-        rows = _common.stage(again.mapInArrow(lambda b, s=single: _recut(b, s), kind), "recut").withColumn("size", F.length("text"))
+        rows = _common.stage(again.mapInArrow(_common.lean(lambda b, s=single: _recut(b, s)), kind), "recut").withColumn("size", F.length("text"))
     one = rows.groupBy("phrase", "text").agg(F.sum("n").alias("n")).where("n > 1").select("phrase", F.col("text").alias("words"))
     for x in out:
         one = one.unionByName(x)
@@ -424,7 +424,7 @@ def located(found: DataFrame, passages: DataFrame, shard: int = SHARD, group: in
         words.select("shard", "slot", F.lit(False).alias("is_text"), none.alias("key"), none.alias("check"), none.alias("place"), F.col("words").alias("text"))
     )
     return rows.repartition(many, "shard", "slot").sortWithinPartitions("shard", "slot", "is_text").mapInArrow(
-        _stream, "key long, check long, spans binary"
+        _common.lean(_stream), "key long, check long, spans binary"
     )
 
 
@@ -488,7 +488,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                 [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, kinds, strict=True)], names
             )
 
-    return found.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.mapInArrow(_common.lean(digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 OP5_SQL = r"""

@@ -153,6 +153,13 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
                 yield m.start() + i, m.start() + j, run, name
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a few, as their texts become Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def band(n: int) -> int:
     """Lengths are told apart by half octaves."""
     return min(BANDS - 1, int(2 * math.log2(n)))
@@ -192,7 +199,7 @@ def thresholds(docs: DataFrame, rate: float = 0.05) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BANDS, STEPS + 1), np.int64)
-        for b in batches:
+        for b in small(batches):
             for text in b.column(0).to_pylist():
                 found = [(run, name) for _, _, run, name in candidates(text)]
                 if found:
@@ -200,7 +207,7 @@ def thresholds(docs: DataFrame, rate: float = 0.05) -> np.ndarray:
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["band", "step", "n"])
 
-    found = docs.select(_common.text_or_empty().alias("text")).mapInArrow(count, "band long, step long, n long")
+    found = docs.select(_common.text_or_empty().alias("text")).mapInArrow(_common.lean(count), "band long, step long, n long")
     table = np.zeros((BANDS, STEPS + 1), np.int64)
     for r in found.groupBy("band", "step").agg(F.sum("n").alias("n")).collect():
         table[r["band"], r["step"]] = r["n"]
@@ -240,12 +247,12 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in small(batches):
             spans = [[{"kind": KINDS[k], "start": i, "end": j} for i, k, j in find(t, below)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     return docs.select("doc_id", _common.text_or_empty().alias("text")).mapInArrow(
-        look, f"doc_id {dict(docs.dtypes)['doc_id']}, spans array<struct<kind:string,start:int,end:int>>"
+        _common.lean(look), f"doc_id {dict(docs.dtypes)['doc_id']}, spans array<struct<kind:string,start:int,end:int>>"
     )
 
 
@@ -269,11 +276,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.05) -> DataF
         return "".join([*out, text[end:]])
 
     def replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(b.columns)], names)
 
-    out = docs.mapInArrow(replace, docs.schema)
+    out = docs.mapInArrow(_common.lean(replace), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -295,5 +302,5 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     return found.mapInArrow(
-        digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
+        _common.lean(digest), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
     )

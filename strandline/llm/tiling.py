@@ -109,7 +109,7 @@ def seeds(benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["item_id", "n_words", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("long"), _common.text_or_empty().alias("text"))
-    return rows.mapInArrow(look, "item_id long, n_words long, words binary").where(F.col("n_words") >= LEAST).distinct()
+    return rows.mapInArrow(_common.lean(look), "item_id long, n_words long, words binary").where(F.col("n_words") >= LEAST).distinct()
 
 
 class _Index:
@@ -176,7 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             for i, _, data, offs in _words.blocks(b.column(1)):
                 yield _batch([(ids[i + r], *x) for r, *x in index.value.pairs(data, offs, coverage)])
 
-    return own.mapInArrow(look, f"doc_id long, {PAIRS}")
+    return own.mapInArrow(_common.lean(look), f"doc_id long, {PAIRS}")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -210,8 +210,8 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
 
     # one key for each row, so that repeated documents stay apart; the deal must not change when a task runs again
     keyed = _common.stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    left = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(doc_seeds, "doc_id long, place long, seed long")
-    right = items.mapInArrow(item_seeds, "item_id long, seed long")
+    left = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_common.lean(doc_seeds), "doc_id long, place long, seed long")
+    right = items.mapInArrow(_common.lean(item_seeds), "item_id long, seed long")
     hits = (
         left.join(right, "seed").groupBy(F.col("doc_id").alias("row"), "item_id")
         .agg(F.sort_array(F.collect_set("place")).alias("places"))  # at most the words of one document
@@ -231,7 +231,7 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
                     rows.append((doc_id, item_id, covered, len(item), n))
             yield _batch(rows)
 
-    return both.mapInArrow(tile, f"doc_id long, {PAIRS}")
+    return both.mapInArrow(_common.lean(tile), f"doc_id long, {PAIRS}")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,7 +159,7 @@ def write_records(
         )
 
     rows = docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
+    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_common.lean(write), MANIFEST)
 
 
 def scan_records(manifest: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def scan_records(manifest: DataFrame) -> DataFrame:
         )
 
     files = files.repartition(_common.parts(spark), "path")
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(_common.lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

@@ -81,7 +81,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n])], ["path", "n_records"])
 
-    return records.select(*_NAMES).mapInArrow(write, "path string, n_records long")
+    return records.select(*_NAMES).mapInArrow(_common.lean(write), "path string, n_records long")
 
 
 class _Members:
@@ -192,7 +192,7 @@ def read_warc(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return files.repartition(_common.parts(spark), "path").mapInArrow(read, RECORDS)
+    return files.repartition(_common.parts(spark), "path").mapInArrow(_common.lean(read), RECORDS)
 
 
 def payload_digest(payload: bytes) -> str:
