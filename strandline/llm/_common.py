@@ -115,6 +115,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def _fanned(edges: DataFrame, one: DataFrame, fans: int = 8) -> DataFrame:
+    """``edges.join(one, "u")``, a node's edges dealt over several tasks; ``one`` has a row of a few bytes for each node."""
+    left = edges.withColumn("_fan", F.pmod(F.xxhash64("v"), F.lit(fans)).cast("int"))
+    right = one.withColumn("_fan", F.explode(F.sequence(F.lit(0), F.lit(fans - 1))))
+    return left.join(right, ["u", "_fan"]).drop("_fan")
+
+
 def edges_to_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
@@ -127,10 +134,10 @@ def edges_to_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFra
     while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = _fanned(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _fanned(large, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
