@@ -405,6 +405,22 @@ select p.track, p.frame, round(median(f.filled), 4) as smooth from p join f on f
 """
 
 
+def median_then_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single outliers go by the median before the rest is smoothed."""
+    weights = [math.exp(-0.5 * (k / 1.25) ** 2) for k in range(-5, 6)]
+    t = median_window(fill(tracks(spark, sf_dir)), "filled", "calm")
+    return _rounded(weighted_window(t, "calm", "smooth", [w / sum(weights) for w in weights]), "smooth")
+
+
+MEDIAN_THEN_GAUSSIAN = f"""
+with {_FILLED}, b as (select track, max(frame) last from f group by 1),
+p as (select f.track, f.frame, least(greatest(f.frame + k, 0), b.last) src from f join b on f.track = b.track, generate_series(-2, 2) g(k)),
+c as (select p.track, p.frame, median(f.filled) as calm from p join f on f.track = p.track and f.frame = p.src group by 1, 2),
+q as (select c.track, c.frame, least(greatest(c.frame + k, 0), b.last) src, exp(-0.5 * (k / 1.25) * (k / 1.25)) w from c join b on c.track = b.track, generate_series(-5, 5) g(k))
+select q.track, q.frame, round(sum(w * c.calm) / sum(w), 4) as smooth from q join c on c.track = q.track and c.frame = q.src group by 1, 2
+"""
+
+
 def kalman_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(per_track(tracks(spark, sf_dir), "v", "smooth", kalman_rts), "smooth")
 
@@ -474,6 +490,7 @@ QUERIES = {
     "deadband_segments": (deadband_segments, DEADBAND_SEGMENTS),
     "gaussian_smooth": (gaussian_smooth, GAUSSIAN_SMOOTH),
     "median_smooth": (median_smooth, MEDIAN_SMOOTH),
+    "median_then_gaussian": (median_then_gaussian, MEDIAN_THEN_GAUSSIAN),
     "kalman_rts": (kalman_smooth, None),
     "crop_path": (crop_path, None),
     "keyframes_spaced": (keyframes_spaced, KEYFRAMES_SPACED),
