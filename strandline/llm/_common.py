@@ -32,13 +32,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a step to the shared folder and reads it again, so a lost executor costs one step at most."""
+def stage(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Writes a step to the shared folder and reads it again, so a lost executor costs one step at most.
+
+    The folder is added to ``paths``, for ``discard`` once what is made of it is stored as well.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored steps that no later step reads."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def stage_by(df: DataFrame, key: str, name: str) -> DataFrame:
     """As ``stage``, in buckets of ``key``: joins on it later shuffle the other side only."""
     spark = df.sparkSession
@@ -86,7 +99,7 @@ def spread_join(big: DataFrame, one: DataFrame, keys: list[str], salt: Column, h
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def _tidy() -> None:
+def tidy() -> None:
     """Gives memory that is free inside this process back to the machine."""
     pa.default_memory_pool().release_unused()
     try:
@@ -102,7 +115,7 @@ def lean(f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
         try:
             yield from f(batches)
         finally:
-            _tidy()
+            tidy()
 
     return run
 

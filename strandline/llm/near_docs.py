@@ -126,7 +126,7 @@ def _pack(n_buckets: int, narrow: bool, sets: Iterable[tuple[np.ndarray, np.ndar
         yield flush()
 
 
-def _counted(packed: DataFrame, n_buckets: int, narrow: bool, answer) -> DataFrame:
+def _counted(packed: DataFrame, n_buckets: int, narrow: bool, answer, paths: list[str] | None = None) -> DataFrame:
     """For each block what ``answer`` makes of how many rows of the table have each of its hashes, a byte each, by bucket.
 
     A block sends a hash once, however many of its rows have it, so no hash is much work for the task that counts its
@@ -155,7 +155,7 @@ def _counted(packed: DataFrame, n_buckets: int, narrow: bool, answer) -> DataFra
                 cols = [pa.array([x for x, *_ in part], pa.int64()), pa.array([k] * len(part), pa.int32()), pa.array(cut, pa.binary()), none, none, none]
                 yield pa.RecordBatch.from_arrays(cols, _NAMES)
 
-    packed = _common.stage(packed, "blocks")
+    packed = _common.stage(packed, "blocks", paths)
     asked = packed.where("bucket >= 0").repartitionById(n_buckets, F.col("bucket")).mapInArrow(_common.lean(count), PACKED)
     both = asked.unionByName(packed.where("bucket < 0"))
     return both.repartition(_common.parts(packed.sparkSession), "block").sortWithinPartitions("block", "bucket")
@@ -181,7 +181,7 @@ def _of_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield whole()
 
 
-def shared_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
+def shared_counts(docs: DataFrame, n_buckets: int, paths: list[str] | None = None) -> DataFrame:
     """fa, fb, shared: how many of a row's shingles another row has as well (at least); rows without any are left out."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def shared_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(n)], ["fa", "fb", "shared"])
 
     rows = docs.where("doc_id is not null").select(_common.text_or_empty().alias("text"))
-    found = _counted(rows.mapInArrow(_common.lean(pack), PACKED), n_buckets, True, lambda n: (n > 1).astype(np.uint8))
+    found = _counted(rows.mapInArrow(_common.lean(pack), PACKED), n_buckets, True, lambda n: (n > 1).astype(np.uint8), paths)
     return found.mapInArrow(_common.lean(total), "fa long, fb long, shared long")
 
 
@@ -235,7 +235,7 @@ def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return sets.join(twice, "node", "left").where("first is null or first = row").drop("first", "row")
 
 
-def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
+def prefixes(sets: DataFrame, n_buckets: int, paths: list[str] | None = None) -> DataFrame:
     """token, node, n, place, last: shared tokens in each set's prefix, with the table's rarest tokens first.
 
     If two sets link, they share at least three quarters of either, so a set's n - ceil(0.75 n) + 1 first tokens in
@@ -275,7 +275,7 @@ def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["token", "node", "n", "place", "last"])
 
     packed = sets.select("node", "hashes").mapInArrow(_common.lean(pack), PACKED)
-    return _counted(packed, n_buckets, False, answer).mapInArrow(_common.lean(choose), "token long, node long, n long, place long, last boolean")
+    return _counted(packed, n_buckets, False, answer, paths).mapInArrow(_common.lean(choose), "token long, node long, n long, place long, last boolean")
 
 
 def tree_links(leader: np.ndarray, sets: list[tuple[int, np.ndarray]]) -> list[int]:
@@ -410,10 +410,14 @@ def near_documents(docs: DataFrame, shingles_per_bucket: int = 1 << 20) -> DataF
     filled = own.where("n > 0 and doc_id is not null")
     same = filled.groupBy("fa", "fb").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     same = _common.stage(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    counts = shared_counts(docs, buckets).groupBy("fa", "fb").agg(F.max("shared").alias("shared"))
+    blocks: list[str] = []
+    counts = shared_counts(docs, buckets, blocks).groupBy("fa", "fb").agg(F.max("shared").alias("shared"))
     chosen = same.join(counts, ["fa", "fb"]).where(4 * F.col("shared") >= 3 * F.col("n")).select("node", "doc_id", "fa", "fb")
-    sets = set_table(docs, _common.stage(chosen, "chosen"))
-    tokens = _common.stage(prefixes(sets, buckets), "tokens")
+    chosen = _common.stage(chosen, "chosen")
+    _common.discard(spark, blocks)
+    sets = set_table(docs, chosen)
+    tokens = _common.stage(prefixes(sets, buckets, blocks), "tokens")
+    _common.discard(spark, blocks)
 
     def leader(k: int) -> Column:
         return F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("leader")))

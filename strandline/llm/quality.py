@@ -195,7 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, most: int = 2
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in found]
     first = np.concatenate([[0], np.cumsum([len(x) for x in bags])]).astype(int)
     x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
-    return fit(x.astype(float), first, np.array([float(y) for _, _, y in found]))
+    model = fit(x.astype(float), first, np.array([float(y) for _, _, y in found]))
+    del got, found, bags, x
+    _common.tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
