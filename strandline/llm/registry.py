@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm.chat import OP1_SQL, op1_chat_format
+from strandline.llm.divergence import OP11_SQL, op11_source_divergence
 from strandline.llm.near_docs import OP7_SQL, op7_near_documents
 from strandline.llm.near_vectors import OP3_SQL, op3_near_vectors
 from strandline.llm.packing import op8_best_fit
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_best_fit": op8_best_fit,
         "op9_quality": op9_quality,
         "op10_revisits": op10_revisits,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 
@@ -36,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_repeats": OP5_SQL,
         "op7_near_documents": OP7_SQL,
         "op10_revisits": OP10_SQL,
+        "op11_source_divergence": OP11_SQL,
     }
