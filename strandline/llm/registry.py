@@ -8,6 +8,7 @@ from strandline.llm.near_docs import OP7_SQL, op7_near_documents
 from strandline.llm.near_vectors import OP3_SQL, op3_near_vectors
 from strandline.llm.packing import op8_best_fit
 from strandline.llm.quality import op9_quality
+from strandline.llm.ranked import OP13_SQL, op13_ranked_search
 from strandline.llm.repeats import OP5_SQL, op5_repeats
 from strandline.llm.revisits import OP10_SQL, op10_revisits
 from strandline.llm.secrets import op6_secrets
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op9_quality": op9_quality,
         "op10_revisits": op10_revisits,
         "op11_source_divergence": op11_source_divergence,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -39,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_documents": OP7_SQL,
         "op10_revisits": OP10_SQL,
         "op11_source_divergence": OP11_SQL,
+        "op13_ranked_search": OP13_SQL,
     }

@@ -34,7 +34,7 @@ def none(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("conversations", "documents", "embeddings", "pages"):
+    for t in ("benchmark", "conversations", "documents", "embeddings", "pages"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = registry.queries()[name](spark, SF)
     want = c.sql(registry.oracle_sql()[name])

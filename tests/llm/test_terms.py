@@ -1,5 +1,6 @@
 """Operators over terms and byte contexts against brute force, on odd rows and on odd tables."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import _terms, divergence
+from strandline.llm import _terms, divergence, ranked
 
 A_Z = {c: c + 32 for c in range(65, 91)}
 LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -70,3 +71,92 @@ def test_terms_of_rows():
     assert found.to_pylist() == ["ab1", "é", "xÉy", "z", "é"] and first.tolist() == [0, 2, 2, 4, 5]
     found, _ = _terms.terms(np.frombuffer(data, np.uint8), offs, _terms.LETTERS)
     assert found.to_pylist() == ["ab", "é", "xÉy", "z", "é"]
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_search(docs, items, k):
+    words = [(d, Counter(ALNUM.findall((t or "").translate(A_Z)))) for d, t in docs]
+    lengths = [sum(c.values()) for _, c in words]
+    n, total = sum(x > 0 for x in lengths), sum(lengths)
+    out = []
+    for item, text in set(items):
+        scores = Counter()
+        for term, repeats in Counter(ALNUM.findall((text or "").translate(A_Z))).items():
+            w = math.floor(1000 * math.log((2 * n + 2) / (2 * sum(term in c for _, c in words) + 1)))
+            for x, (_, c) in enumerate(words):
+                if c[term]:
+                    scores[x] += repeats * w * (10**9 * c[term] // (1000 * c[term] + 12 * (75 + 25 * lengths[x] * n // total)))
+        best = sorted(((-s, words[x][0] is None, words[x][0] or 0) for x, s in scores.items() if s > 0))[:k]
+        out += [(item, r + 1, None if lost else d, -s) for r, (s, lost, d) in enumerate(best)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("sizes", [(1 << 14, 1 << 21, 8 << 20), (40, 300, 60)])
+def test_search_equals_plain_scoring(spark, monkeypatch, sizes):
+    monkeypatch.setattr(ranked, "SHARD", sizes[0])
+    monkeypatch.setattr(ranked, "POSTINGS", sizes[1])
+    rng = random.Random(8)
+    words = [f"w{int(rng.expovariate(0.05))}" for _ in range(400)] + ["É", "é", "The", "the"]
+    docs = [(k, " ".join(rng.choices(words, k=rng.randrange(60)))) for k in range(600)]
+    docs += [(5000 - k, "the same w1 w2 copy") for k in range(300)] + [(7, "the copy"), (None, "the copy w3"), (None, None), (9, ""), (10, "-- ..")]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(1, 25)))) for k in range(12)]
+    items += [(50, "copy copy same THE"), (50, "copy copy same THE"), (50, "w5"), (51, None), (52, "unheard of"), (None, "the")]
+    d = spark.createDataFrame([(*x, 1, 2) for x in docs], "doc_id long, text string, rank int, item long").repartition(5)
+    i = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
+    got = ranked.search(d, i, 20, sizes[2]).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == plain_search(docs, items, 20)
+
+
+def test_search_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert ranked.search(none, items).count() == 0
+    assert ranked.search(items.select(F.col("item_id").alias("doc_id"), "text"), items.where("item_id > 1")).count() == 0
+
+
+def test_blocks_have_the_least_bound_error():
+    rng = np.random.default_rng(6)
+    lists = [rng.integers(1, 1000, n) for n in (0, 1, 7, 8, 9, 64, 300, 41, 0, 500)]
+    parts, starts = np.concatenate(lists), np.cumsum([0, *map(len, lists)])
+    ends, first = ranked.cut_blocks(parts, starts)
+
+    def error(own, cuts):
+        return sum(int((own[a:b].max() - own[a:b]).sum() + own.max()) for a, b in zip([0, *cuts][:-1], cuts, strict=True))
+
+    for x, own in enumerate(lists):
+        cuts = [int(e - starts[x]) for e in ends[first[x] : first[x + 1]]]
+        places = [*range(0, len(own), ranked.GRID), len(own)] if len(own) else [0]
+        least = {0: 0}
+        for j, e in enumerate(places[1:], 1):
+            least[e] = min(least[b] + int((own[b:e].max() - own[b:e]).sum() + own.max()) for b in places[max(0, j - ranked.LONGEST) : j])
+        assert cuts == sorted(set(cuts)) and (cuts[-1:] == [len(own)] or not len(own))
+        assert error(own, cuts) == least[len(own)]
+
+
+def test_search_skips_postings():
+    """Most of a shard's postings are never scored when few documents stand out."""
+    rng = np.random.default_rng(1)
+    import pyarrow as pa
+
+    docs = np.arange(8192, dtype=np.int32)
+    parts = rng.integers(1, 50, 8192).astype(np.int32)
+    parts[4000:4030] += 100_000
+    ends, first = ranked.cut_blocks(parts.astype(np.int64), np.array([0, 8192]))
+    begin = np.append(0, ends[:-1])
+    row = {"ids": list(range(8192)), "terms": ["a"], "starts": np.array([0, 8192], np.int32).tobytes(), "docs": docs.tobytes(), "parts": parts.tobytes(), "first": first.tobytes(), "ends": ends.tobytes(), "tops": np.maximum.reduceat(parts, begin).astype(np.int32).tobytes()}
+    shard = ranked._Shard({k: pa.scalar(v) for k, v in row.items()}, pa.array(["a"]), np.array([3]))
+    seen = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, key):
+            if isinstance(key, slice):
+                seen.append(len(range(*key.indices(len(self)))))
+            return super().__getitem__(key)
+
+    shard.parts = shard.parts.view(Watched)
+    hit, score = shard.search(np.array([0]), np.array([2]), 1, 20)
+    best = np.lexsort((hit, -score))[:20]
+    assert sorted(score[best].tolist()) == sorted((6 * np.sort(parts.astype(np.int64))[-20:]).tolist())
+    assert 0 < sum(seen) < 1000
