@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandline.llm.chat import OP1_SQL, op1_chat_format
 from strandline.llm.divergence import OP11_SQL, op11_source_divergence
+from strandline.llm.lang_id import op12_language
 from strandline.llm.near_docs import OP7_SQL, op7_near_documents
 from strandline.llm.near_vectors import OP3_SQL, op3_near_vectors
 from strandline.llm.packing import op8_best_fit
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_quality": op9_quality,
         "op10_revisits": op10_revisits,
         "op11_source_divergence": op11_source_divergence,
+        "op12_language": op12_language,
         "op13_ranked_search": op13_ranked_search,
     }
 

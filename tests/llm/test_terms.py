@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import _terms, divergence, ranked
+from strandline.llm import _terms, divergence, lang_id, ranked, registry
 
 A_Z = {c: c + 32 for c in range(65, 91)}
 LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -159,4 +159,89 @@ def test_search_skips_postings():
     hit, score = shard.search(np.array([0]), np.array([2]), 1, 20)
     best = np.lexsort((hit, -score))[:20]
     assert sorted(score[best].tolist()) == sorted((6 * np.sort(parts.astype(np.int64))[-20:]).tolist())
-    assert 0 < sum(seen) < 1000
+    assert 0 < sum(seen) < 2000
+
+
+def plain_bits(by_language, text):
+    """Bits of a text in each language: counts of all orders, escapes to the next shorter context."""
+    out = {}
+    for lang, texts in by_language.items():
+        counts = defaultdict(Counter)
+        for t in texts:
+            t = b"\n" * lang_id.ORDER + t
+            for i in range(lang_id.ORDER, len(t)):
+                for k in range(lang_id.ORDER + 1):
+                    counts[t[i - k : i]][t[i]] += 1
+        bits = 0.0
+        t = b"\n" * lang_id.ORDER + text
+        for i in range(lang_id.ORDER, len(t)):
+            for k in range(lang_id.ORDER, -1, -1):
+                c = counts.get(t[i - k : i])
+                if c and t[i] in c:
+                    bits -= math.log2(c[t[i]] / (c.total() + len(c)))
+                    break
+                if c:
+                    bits -= math.log2(len(c) / (c.total() + len(c)))
+            else:
+                bits += 8
+        out[lang] = bits
+    return out
+
+
+LANGS = {"en": ["the cat and the dog", "this is then", "a thing"], "fr": ["le chat et la chienne", "ce sont les éléves"], "zz": ["qqqq"]}
+
+
+def learned(spark, extra=(), **more):
+    rows = [(k, t, lang) for lang, texts in LANGS.items() for t in texts for k in (0, 1, 2, 3, 7)]
+    docs = spark.createDataFrame([*rows, *extra], "doc_id long, text string, lang string")
+    return docs, lang_id.train(docs, **more)
+
+
+def test_code_lengths_equal_plain_counting(spark):
+    _, model = learned(spark)
+    by = {k: [t.encode() for t in v] for k, v in LANGS.items()}
+    rng = random.Random(4)
+    texts = ["the cat", "", "é", "le chat\n\nthe", "qqqqq", "日本", *["".join(rng.choices("thecatqé \n", k=40)) for _ in range(30)]]
+    data = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, data)])
+    got = model.code_lengths(np.frombuffer(b"".join(data), np.uint8), offs) / lang_id.UNIT
+    assert model.languages == sorted(by)
+    for row, t in zip(got, data, strict=True):
+        want = plain_bits(by, t)
+        assert np.allclose(row, [want[x] for x in model.languages], atol=1e-4 * (len(t) + 1))
+
+
+def test_languages_on_odd_rows(spark):
+    docs, model = learned(spark, [(5, None, "en"), (6, "x", None), (None, "no id", "fr"), (9, "", "en")])
+    odd = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "12 - 3", "c"), (4, "the dog", None), (4, "the dog", None), (None, "la chienne", "d"), (7, "the " * 70_000, "e")], "doc_id long, text string, lang_pred string")
+    got = [(r["doc_id"], r["lang_pred"], round(r["lang_score"], 2)) for r in lang_id.identify(odd, model).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "und", 0), (2, "und", 0), (3, "und", 0), (4, "en", 1), (4, "en", 1), (None, "fr", 1), (7, "en", 1)], key=repr)
+    none = lang_id.train(docs.where("doc_id > 100"))
+    assert none.languages == [] and {r["lang_pred"] for r in lang_id.identify(odd, none).collect()} == {"und"}
+    assert lang_id.identify(odd.where("doc_id > 100"), model).count() == 0
+
+
+def test_copies_are_learned_from_once(spark):
+    copies = [(0, "the copied text", "en")] * 5000
+    docs, model = learned(spark, copies)
+    got = lang_id.sampled(docs.repartition(6), 1000, 64).collect()
+    assert sorted((r["lang"], r["text"]) for r in got) == sorted([*((k, t) for k, v in LANGS.items() for t in v), ("en", "the copied text")])
+    assert lang_id.sampled(docs, 2, 64).groupBy("lang").count().where("count > 2").isEmpty()
+    assert {r["lang"] for r in lang_id.sampled(docs, 2, 1).collect()} == {"en"}
+
+
+def test_numbers_are_found_where_they_collide():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 40, 5000))
+    table = lang_id.Table(keys)
+    asked = np.concatenate([keys[::-1], keys + 1])
+    assert table.find(asked).tolist() == [dict(zip(keys.tolist(), range(len(keys)), strict=True)).get(int(x), -1) for x in asked]
+    assert lang_id.Table(keys[:0]).find(keys).max() == -1
+
+
+def test_held_out_languages_of_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    got = registry.queries()["op12_language"](spark, sf)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    right = got.join(docs, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert got.count() == docs.count() and right > 0.99
