@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm import _common, _words
 
-#: Least words of a tile, least share of an item's words that tiles must cover, and least words that they must cover.
+#: Least words of a tile, least share of an item's words that tiles must cover, and least words that they must cover;
+#: items of fewer words must stand in a document whole.
 TILE, COVERAGE, LEAST = 4, 0.6, 8
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 PAIRS = "item_id long, covered long, n_words long, n_tiles long, coverage double"
@@ -98,7 +99,7 @@ def _cover(item: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> tuple[int,
 
 
 def seeds(benchmark: DataFrame) -> DataFrame:
-    """Items with at least 8 words: item_id, n_words, words (their hashes). Of rows with one item_id all count."""
+    """Items with words: item_id, n_words, words (their hashes). Of rows with one item_id all count."""
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,14 +110,19 @@ def seeds(benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["item_id", "n_words", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("long"), _common.text_or_empty().alias("text"))
-    return rows.mapInArrow(_common.lean(look), "item_id long, n_words long, words binary").where(F.col("n_words") >= LEAST).distinct()
+    return rows.mapInArrow(_common.lean(look), "item_id long, n_words long, words binary").where("n_words > 0").distinct()
 
 
 class _Index:
     """Sorted seeds of all items, for lookups by whole arrays."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = items
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(w) for _, w in items if len(w) < LEAST}:
+            own = [(_words.runs(w, n)[0], i) for i, w in items if len(w) == n]
+            order = np.argsort([h for h, _ in own], kind="stable")
+            self.short[n] = np.array([h for h, _ in own], np.uint64)[order], np.array([i for _, i in own])[order]
+        self.items = items = [x for x in items if len(x[1]) >= LEAST]
         h = [_words.runs(w, TILE) for _, w in items]
         self.hash = np.concatenate([*h, np.zeros(0, np.uint64)])
         self.item = np.repeat(np.arange(len(items)), [len(x) for x in h])
@@ -128,6 +134,13 @@ class _Index:
     def pairs(self, data: np.ndarray, offs: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item_id, covered, n_words, tiles) of each pair at or above ``coverage``."""
         w = _normal(data, offs)
+        for n, (hashes, ids) in self.short.items():
+            runs = _words.runs(w.hash, n)
+            at = np.flatnonzero(np.isin(runs, hashes) & _words.inside_rows(w.first, n, len(runs)))
+            row = np.searchsorted(w.first, at, "right") - 1
+            for r, h in np.unique(np.stack([row.astype(np.uint64), runs[at]]), axis=1).T:
+                for item_id in ids[np.searchsorted(hashes, h) : np.searchsorted(hashes, h, "right")].tolist():
+                    yield int(r), item_id, n, n, 1
         runs = _words.runs(w.hash, TILE)
         at = np.flatnonzero(self.low[(runs & np.uint64(0xFFFF)).astype(np.int64)])
         a = np.searchsorted(self.hash, runs[at], "left")
@@ -158,11 +171,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Words ignore case and ASCII punctuation; a tile is a match of 4 words or more, so passages in another order, or
     with changed words between, still add up. Seeds (runs of 4 words that both share) bring the pairs. Items that fit
     ``limit`` bytes go to every task, which tiles its documents without a shuffle; larger benchmarks are joined by
-    seed. Null or empty texts, items of fewer than 8 words and empty tables give no pairs; a null doc_id is kept as
-    it is; repeated rows give repeated pairs, repeated items one; other columns are ignored. A text takes about eight times
-    its bytes in a task.
+    seed. An item of fewer than 8 words counts when it stands in the document whole, as one run of its words. Null or
+    empty texts (of either side) and empty tables give no pairs; a null doc_id is kept as it is; repeated rows give
+    repeated pairs, repeated items one; other columns are ignored. A text takes about eight times its bytes in a task.
     """
-    items = _common.stage(seeds(benchmark), "items")
+    items = _common.stage(seeds(benchmark).withColumn("item", F.monotonically_increasing_id()), "items")
     size = items.agg(F.sum(F.length("words") * 2 + 16)).first()[0] or 0
     own = docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text"))
     if size > limit:
@@ -191,31 +204,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     """The same pairs for a benchmark of any size: seeds are joined, then each pair's words are tiled."""
 
+    # runs of 4 words, and of as many as short items have
+    sizes = sorted({TILE, *(r["n_words"] for r in items.where(F.col("n_words") < LEAST).select("n_words").distinct().collect())})
+
     def doc_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in _words.blocks(b.column(1)):
                 w = _normal(data, offs)
-                runs = _words.runs(w.hash, TILE)
-                at = np.flatnonzero(_words.inside_rows(w.first, TILE, len(runs)))
-                row = np.searchsorted(w.first, at, "right") - 1
-                ids = b.column(0).slice(i, j - i).take(pa.array(row))
-                cols = [ids, pa.array(at - w.first[row]), pa.array(runs[at].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "seed"])
+                for n in sizes:
+                    runs = _words.runs(w.hash, n)
+                    at = np.flatnonzero(_words.inside_rows(w.first, n, len(runs)))
+                    row = np.searchsorted(w.first, at, "right") - 1
+                    ids = b.column(0).slice(i, j - i).take(pa.array(row))
+                    cols = [ids, pa.array(at - w.first[row]), pa.array(runs[at].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "seed"])
 
     def item_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                runs = np.unique(_words.runs(np.frombuffer(x, np.uint64), TILE)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), i)), pa.array(runs)], ["item_id", "seed"])
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = np.frombuffer(x, np.uint64)
+                runs = np.unique(_words.runs(words, TILE if len(words) >= LEAST else len(words))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), i)), pa.array(runs)], ["item", "seed"])
 
     # one key for each row, so that repeated documents stay apart; the deal must not change when a task runs again
     keyed = _common.stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     left = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_common.lean(doc_seeds), "doc_id long, place long, seed long")
-    right = items.mapInArrow(_common.lean(item_seeds), "item_id long, seed long")
+    right = items.select("item", "words").mapInArrow(_common.lean(item_seeds), "item long, seed long")
+    met = _common.spread_join(left, right, ["seed"], F.xxhash64("doc_id", "place"), "inner")  # a common run stands in very many rows
     hits = (
-        left.join(right, "seed").groupBy(F.col("doc_id").alias("row"), "item_id")
+        met.groupBy(F.col("doc_id").alias("row"), "item")
         .agg(F.sort_array(F.collect_set("place")).alias("places"))  # at most the words of one document
-        .join(items, "item_id").where(F.size("places") * TILE >= F.greatest(F.lit(LEAST), F.col("n_words") * coverage))
+        .join(items, "item")
+        .where((F.size("places") * TILE >= F.greatest(F.lit(LEAST), F.col("n_words") * coverage)) | (F.col("n_words") < LEAST))
     )
     both = hits.join(keyed, "row").select("doc_id", "text", "item_id", "words", "places")
 
@@ -224,8 +244,11 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
             rows = []
             cols = [b.column(k).to_pylist() for k in (0, 2, 3, 4)]
             for k, (doc_id, item_id, words, places) in enumerate(zip(*cols, strict=True)):
-                data, offs = _words.columns(b.column(1).slice(k, 1))
                 item = np.frombuffer(words, np.uint64)
+                if len(item) < LEAST:
+                    rows.append((doc_id, item_id, len(item), len(item), 1))
+                    continue
+                data, offs = _words.columns(b.column(1).slice(k, 1))
                 covered, n = _cover(item, _normal(data, offs).hash, np.array(places))
                 if covered >= max(LEAST, coverage * len(item)):
                     rows.append((doc_id, item_id, covered, len(item), n))
