@@ -14,6 +14,8 @@ from strandline.llm import _common, _words
 
 #: Words of a passage, width of the word projection, units of the passage encoding and of the attention.
 PASSAGE, WIDTH, HIDDEN, ATTENTION = 64, 8, 24, 16
+#: Bounds of what is learned from: rows, and bytes of their texts; passages that go through the gradient at once.
+SAMPLE, SAMPLE_BYTES, CHUNK = 6_000, 64 << 20, 1 << 15
 _CLASSES = (
     ("upper", [*range(65, 91)]), ("digit", [*range(48, 58)]), ("stop", [46, 44]), ("line", [10, 13]), ("space", [9, 32]),
     ("mark", [b for b in range(33, 127) if not chr(b).isalnum() and b not in (46, 44)]), ("high", [*range(128, 256)]),
@@ -72,6 +74,7 @@ def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.lexsort((pair, row))
     again = np.zeros(len(row), np.float32)
     again[order[1:]] = (pair[order][1:] == pair[order][:-1]) & (row[order][1:] == row[order][:-1])
+    again[np.flatnonzero(np.diff(row, append=-1))] = 0  # a row's last word begins no pair
     x[own, k + 7] = np.add.reduceat(again, begin) / n
     for i in range(0, len(begin), 8192):  # a part of the passages at a time
         j = min(len(begin), i + 8192)
@@ -92,38 +95,63 @@ class Model:
     scale: np.ndarray
     weights: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    def passages(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Encoding h and attention e = a . (t * g) of each passage, before the softmax over its text."""
         w = self.weights
         x = np.clip((x - self.mean) / self.scale, -6, 6)
         h = np.tanh(x @ w["W"] + w["b"])
         t, g = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
-        e = (t * g) @ w["a"]
-        starts = first[:-1]
-        bag = _words.row_of(first)
-        e = np.exp(e - np.maximum.reduceat(e, starts)[bag])
+        return {"x": x, "h": h, "t": t, "g": g, "e": (t * g) @ w["a"]}
+
+    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        w, f = self.weights, self.passages(x)
+        starts, bag = first[:-1], _words.row_of(first)
+        e = np.exp(f["e"] - np.maximum.reduceat(f["e"], starts)[bag])
         share = e / np.add.reduceat(e, starts)[bag]
-        z = np.add.reduceat(h * share[:, None], starts, axis=0)
-        return {"x": x, "h": h, "t": t, "g": g, "share": share, "bag": bag, "z": z, "y": _sigmoid(z @ w["c"] + w["d"])}
+        z = np.add.reduceat(f["h"] * share[:, None], starts, axis=0)
+        return f | {"share": share, "bag": bag, "z": z, "y": _sigmoid(z @ w["c"] + w["d"])}
 
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self.forward(x, first)["y"] if len(first) > 1 else np.zeros(0)
 
 
-def gradient(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean log loss of whole texts, by weight."""
-    w, f = model.weights, model.forward(x, first)
-    bag, h, share = f["bag"], f["h"], f["share"]
-    err = (f["y"] - y) / len(y)
+def gradient(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray, chunk: int = CHUNK) -> dict[str, np.ndarray]:
+    """Of the mean log loss of whole texts, by weight.
+
+    Passages go through in chunks, whose edges may cut a text: a first pass finds each text's softmax and sum, a second
+    one the gradients. So a text of any number of passages takes a chunk's memory besides its features.
+    """
+    w = model.weights
+    bag = _words.row_of(first)
+    parts = [(a, min(len(x), a + chunk)) for a in range(0, len(x), chunk)]
+    top, total, z = np.full(len(y), -np.inf), np.zeros(len(y)), np.zeros((len(y), len(w["c"])))
+    for a, b in parts:
+        f = model.passages(x[a:b])
+        begin = np.flatnonzero(np.diff(bag[a:b], prepend=-1))
+        own = bag[a:b][begin]
+        new = np.maximum(top[own], np.maximum.reduceat(f["e"], begin))
+        e = np.exp(f["e"] - np.repeat(new, np.diff(np.append(begin, b - a))))
+        old = np.exp(top[own] - new)
+        total[own] = total[own] * old + np.add.reduceat(e, begin)
+        z[own] = z[own] * old[:, None] + np.add.reduceat(f["h"] * e[:, None], begin, axis=0)
+        top[own] = new
+    z /= total[:, None]
+    err = (_sigmoid(z @ w["c"] + w["d"]) - y) / len(y)
     dz = err[:, None] * w["c"]
-    ds = (h * dz[bag]).sum(1)
-    de = share * (ds - np.add.reduceat(share * ds, first[:-1])[bag])
-    dtg = de[:, None] * w["a"]
-    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-    dh = (share[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h**2)
-    return {
-        "W": f["x"].T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (de[:, None] * f["t"] * f["g"]).sum(0),
-        "c": f["z"].T @ err, "d": err.sum(keepdims=True),
-    }
+    mean = (z * dz).sum(1)
+    out = {k: np.zeros_like(v) for k, v in w.items()} | {"c": z.T @ err, "d": err.sum(keepdims=True)}
+    for a, b in parts:
+        own = bag[a:b]
+        if len(parts) > 1:
+            f = model.passages(x[a:b])
+        h, share = f["h"], np.exp(f["e"] - top[own]) / total[own]
+        de = share * ((h * dz[own]).sum(1) - mean[own])
+        dtg = de[:, None] * w["a"]
+        dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
+        dh = (share[:, None] * dz[own] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h**2)
+        for k, g in (("W", f["x"].T @ dh), ("b", dh.sum(0)), ("V", h.T @ dt), ("U", h.T @ dg), ("a", (de[:, None] * f["t"] * f["g"]).sum(0))):
+            out[k] += g
+    return out
 
 
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.01, batch: int = 128) -> Model:
@@ -132,7 +160,7 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 40, rate:
     Without rows of both labels it returns a model whose every score is the share of ones (one half without any rows).
     """
     rng = np.random.default_rng(11)
-    mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
+    mean, scale = (x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
     w = {
         "W": rng.normal(size=(FEATURES, HIDDEN)) / np.sqrt(FEATURES), "b": np.zeros(HIDDEN),
         "V": rng.normal(size=(HIDDEN, ATTENTION)) / np.sqrt(HIDDEN), "U": rng.normal(size=(HIDDEN, ATTENTION)) / np.sqrt(HIDDEN),
@@ -166,37 +194,50 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, most: int = 256) -> Model:
-    """Fits on at most ``sample`` labelled rows, those of the least hashes of doc_id among rows that are not held out.
-
-    Of a text with more than ``most`` passages that many are learned from, evenly spaced (all are scored). Both bounds
-    keep what comes to the driver (features of passages, 150 MB at most) small at any corpus size. Rows without a label
-    or doc_id don't count; of several labels of one document the largest does; without any the scores are one half.
-    """
-    rows = (
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of all passages, where each text's begin, labels) of the rows to learn from; see ``train``."""
+    known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
-        .groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    chosen = docs.select("doc_id", _common.text_or_empty().alias("text")).join(F.broadcast(rows), "doc_id")
+    rows = docs.select("doc_id", _common.text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    # which rows, by hash; a row that does not fit any more is passed over
+    left, chosen = size, []
+    for r in rows.groupBy("h").agg(F.max(F.octet_length("text")).alias("n")).orderBy("h").limit(sample).collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            chosen.append((r["h"],))
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "h long")), "h").select("h", "text", "quality")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of ``sample`` hashes at most
         for b in batches:
+            new = [k for k, h in enumerate(b.column(0).to_pylist()) if not (h in seen or seen.add(h))]
+            b = b.take(pa.array(new, pa.int64()))
             for i, j, data, offs in _words.blocks(b.column(1)):
                 x, first = passages(data, offs)
-                some = [x[np.linspace(p, q - 1, min(q - p, most)).astype(int)] for p, q in zip(first[:-1], first[1:], strict=True)]
-                out = [v.tobytes() for v in some]
-                ids, y = b.column(0).slice(i, j - i), b.column(2).slice(i, j - i).cast(pa.int32())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary()), y], ["doc_id", "x", "y"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    got = chosen.select("doc_id", "text", "quality").mapInArrow(_common.lean(encode), f"doc_id {kind}, x binary, y int")
-    found = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in got.collect())
+                out = [x[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(out, pa.binary()), b.column(2).slice(i, j - i)], ["h", "x", "y"])
+
+    got = rows.mapInArrow(_common.lean(encode), "h long, x binary, y int").groupBy("h").agg(F.first("x").alias("x"), F.max("y").alias("y"))
+    found = sorted((r["h"], bytes(r["x"]), r["y"]) for r in got.collect())
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in found]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in bags])]).astype(int)
-    x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
-    model = fit(x.astype(float), first, np.array([float(y) for _, _, y in found]))
-    del got, found, bags, x
+    first = np.cumsum([0, *map(len, bags)])
+    return np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), first, np.array([float(y) for *_, y in found])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Model:
+    """Fits on labelled rows that are not held out: those of the ``sample`` least hashes of labelled doc_ids, and of
+    their rows, repeated ones counted once, the ``sample`` of the least hashes whose texts take ``size`` bytes together.
+
+    Rows are chosen, not parts of them: every passage of a chosen text is learned from; a text of more than ``size``
+    bytes is not chosen. Both bounds (documented parameters) keep what comes to the driver, the features of at most
+    ``size`` bytes of text, below 100 MB at any corpus size and however many rows share a doc_id. Rows without a label or
+    doc_id don't count; of several labels of one document the largest does; without any the scores are one half.
+    """
+    model = fit(*labelled(docs, labels, sample, size))
     _common.tidy()
     return model
 

@@ -318,7 +318,7 @@ def test_attention_and_its_gradient_against_plain_loops():
         p = plain_score(model, x, first)
         return -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
-    for k, g in quality.gradient(model, x, first, y).items():
+    for k, g, chunk in [(*kg, c) for c in (100, 3, 1) for kg in quality.gradient(model, x, first, y, c).items()]:
         own = model.weights[k].reshape(-1)
         for i in rng.integers(0, len(own), 6):
             old, at = own[i], []
@@ -326,7 +326,60 @@ def test_attention_and_its_gradient_against_plain_loops():
                 own[i] = old + d
                 at.append(loss())
             own[i] = old
-            assert abs((at[0] - at[1]) / 2e-6 - g.reshape(-1)[i]) < 1e-6, k
+            assert abs((at[0] - at[1]) / 2e-6 - g.reshape(-1)[i]) < 1e-6, (k, chunk)
+
+
+def plain_passages(text):
+    """What ``passages`` gives for one text, by plain Python."""
+    data = text.encode()
+    found = list(re.finditer(rb"[^ \t\n\x0b\x0c\r]+", data))
+    hashes = _words.words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hash.tolist()
+    pairs = [tuple(hashes[k : k + 2]) for k in range(len(hashes) - 1)]
+    out = []
+    for p in range(0, max(1, len(found)), quality.PASSAGE):
+        own, x = found[p : p + quality.PASSAGE], np.zeros(quality.FEATURES)
+        if own:
+            n, words = len(own), [m.group() for m in own]
+            part = data[own[0].start() : found[p + n].start() if p + n < len(found) else len(data)]
+            for k, (_, values) in enumerate(quality._CLASSES):
+                x[k] = sum(v in values for v in part) / len(part)
+            marks, k = quality._CLASSES[5][1], len(quality._CLASSES)
+            x[k : k + 3] = sum(map(len, words)) / n / 10, sum(len(w) > 14 for w in words) / n, np.log1p(n) / 4
+            # repeats of a word and of a pair look back to words before the passage too
+            x[k + 3] = sum(i > 0 and hashes[i] == hashes[i - 1] for i in range(p, p + n)) / n
+            x[k + 4] = len(set(words)) / n
+            x[k + 5] = sum(w[-1] in marks for w in words) / n
+            x[k + 6] = sum(len(w) == 1 and w[0] in marks for w in words) / n
+            x[k + 7] = sum(i < len(pairs) and pairs[i] in pairs[:i] for i in range(p, p + n)) / n
+            x[k + 8 :] = quality._PROJECTION[[h % quality._BUCKETS for h in hashes[p : p + n]]].mean(0)
+        out.append(x)
+    return np.array(out)
+
+
+def test_passages_against_plain_python(spark):
+    rng = random.Random(12)
+    bits = ["a", "the", "the", "a-b", "|", "x.", "é", "A1", "supercalifragilistic", "\n", "  ", "word,"]
+    texts = ["", " ", "one", *[" ".join(rng.choices(bits, k=rng.choice([3, 63, 64, 65, 200]))) for _ in range(40)], "", "end"]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    offs = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    x, first = quality.passages(np.frombuffer("".join(texts).encode(), np.uint8), offs)
+    for k, t in enumerate(texts):
+        assert np.allclose(x[first[k] : first[k + 1]], plain_passages(t), atol=1e-5), (k, t[:80])
+
+
+def test_rows_to_learn_from_are_bounded_after_the_join(spark):
+    """One labelled id on 5,000 rows: at most ``sample`` of them are learned from, repeated ones once, long ones whole."""
+    ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(ids[0], f"text {k}") for k in range(5000)] + [(ids[1], "same")] * 3000 + [(ids[2], "w " * 64 * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0), (ids[2], 0), (ids[3], 1)], "doc_id long, quality int")
+    x, first, y = quality.labelled(docs, labels, sample=4)
+    assert len(y) == 4
+    x, first, y = quality.labelled(docs, labels.where(F.col("doc_id") != ids[0]))
+    assert sorted(np.diff(first).tolist()) == [1, 300] and len(x) == 301  # every passage of the long text
+    assert len(quality.labelled(docs, labels.where(F.col("doc_id") != ids[0]), size=100)[2]) == 1
+    model = quality.fit(x, first, np.array([1.0, 0]))
+    assert all(np.isfinite(v).all() for v in model.weights.values())
 
 
 def test_quality_query(spark):
@@ -338,9 +391,12 @@ def test_quality_query(spark):
     assert len(held) > 60 and np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.95
 
 
-def test_decontamination_query_against_every_pair(spark, tmp_path):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_decontamination_query_against_every_pair(spark, tmp_path, monkeypatch, limit):
+    whole = tiling.contaminated
+    monkeypatch.setattr(tiling, "contaminated", lambda docs, benchmark: whole(docs, benchmark, limit=limit))
     rng = random.Random(6)
-    items = [(i, " ".join(f"W{rng.randrange(60)}" for _ in range(rng.choice([5, 8, 20, 45])))) for i in range(25)] + [(3, None)]
+    items = [(i, " ".join(f"W{rng.randrange(60)}" for _ in range(rng.choice([2, 5, 8, 20, 45])))) for i in range(25)] + [(3, None), (30, "W1"), (30, "w1 W2 w3"), (31, "...")]
     docs = []
     for i in range(120):
         words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(40))]
@@ -358,7 +414,10 @@ def test_decontamination_query_against_every_pair(spark, tmp_path):
     for d, text in docs:
         for i, item in items:
             p = plain(item)
-            covered = sum(k for k, _, _ in tiling.tiles(p, plain(text))) if len(p) >= 8 else 0
+            t = plain(text)
+            if 0 < len(p) < 8 and any(t[k : k + len(p)] == p for k in range(len(t))):
+                want.append((d, i, len(p), len(p)))
+            covered = sum(k for k, _, _ in tiling.tiles(p, t)) if len(p) >= 8 else 0
             if covered >= max(8, 0.6 * len(p)):
                 want.append((d, i, covered, len(p)))
     got = [tuple(r)[:4] for r in tiling.op2_decontamination(spark, str(tmp_path)).collect()]
@@ -419,6 +478,8 @@ def test_contaminated(spark, odd, none, limit):
     benchmark = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None), (7, " ".join(item))], "item_id long, text string")
     got = tiling.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, limit=limit).collect()
     assert sorted((r["doc_id"] or 0, r["item_id"], r["covered"]) for r in got) == [(0, 7, 40), (1, 7, 40), (1, 7, 40), (2, 7, 40), (5, 7, 39)]
+    short = tiling.contaminated(spark.createDataFrame([(1, "It is TOO, short."), (2, "too very short"), (3, None)], "doc_id long, text string"), benchmark, limit=limit)
+    assert [tuple(r) for r in short.collect()] == [(1, 8, 2, 2, 1, 1.0)]
     assert tiling.contaminated(odd, benchmark, limit=limit).count() == 0
     assert tiling.contaminated(none, benchmark, limit=limit).count() == 0
     assert tiling.contaminated(odd, benchmark.where("item_id = 0"), limit=limit).count() == 0
