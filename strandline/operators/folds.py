@@ -1,7 +1,7 @@
 """Operators that need a track's state from frame to frame: smoothing filters, segmentation, spacing.
 
-``scan`` deals tracks to tasks, sorts them by frame and runs a state over each as a stream, so a track of any length
-holds one frame at a time. What needs a whole track (filters in both directions, solvers) uses ``per_track``.
+Linear recursions stream through ``solvers.linear``; what needs whole tracks works on many of them at once by
+``solvers.per_batch``, with array steps over all their rows.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import solvers
 from strandline.operators.sequences import ema, fill, median_window, weighted_window
-from strandline.session import TRACKS, tracks
+from strandline.session import TRACKS, by_frame, tracks
 
 _FILLED = f"""
 {TRACKS}, f as (select *, coalesce(last_value(v ignore nulls) over (partition by track order by frame rows between unbounded preceding and current row),
@@ -25,127 +25,57 @@ _FILLED = f"""
 """
 
 
-def scan(df: DataFrame, start: Callable[[], object], column: str, out: str, backward: bool = False) -> DataFrame:
-    """track, frame and ``out``: what the state made by ``start`` returns for each value of ``column``, frame by frame."""
-    own = df.select(F.col("track").cast("long"), F.col("frame").cast("long"), F.col(column).cast("double"))
-    order = F.desc("frame") if backward else F.asc("frame")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = (), None
-        for b in batches:
-            made = []
-            for track, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if now != (track,):
-                    now, state = (track,), start()
-                made.append(state(x))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.float64())], ["track", "frame", out])
-
-    return own.repartition("track").sortWithinPartitions("track", order).mapInArrow(run, f"track long, frame long, {out} double")
-
-
-def per_track(df: DataFrame, column: str, out: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """track, frame and ``out`` from a function of all values of a track; each track must fit one task."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("frame")
-        return pd.DataFrame({"track": g["track"], "frame": g["frame"], out: f(g[column].to_numpy(float))})
-
-    own = df.select(F.col("track").cast("long"), F.col("frame").cast("long"), F.col(column).cast("double").alias(column))
-    return own.groupBy("track").applyInPandas(run, f"track long, frame long, {out} double")
-
-
-class Ema:
-    """y = alpha * x + (1 - alpha) * y before; the first value stands as it is; a missing one repeats y."""
-
-    def __init__(self, alpha: float = 0.3):
-        self.alpha, self.y = alpha, None
-
-    def __call__(self, x: float | None) -> float | None:
-        if x is not None:
-            self.y = x if self.y is None else self.alpha * x + (1 - self.alpha) * self.y
-        return self.y
-
-
 class OneEuro:
-    """Low-pass whose cut-off rises with the speed of the filtered signal."""
+    """Low-pass whose cut-off rises with the speed of the filtered signal; a missing value repeats the last result."""
 
     def __init__(self, least: float = 1.0, beta: float = 0.007, speed: float = 1.0, rate: float = 30.0):
         self.least, self.beta, self.speed, self.rate = least, beta, speed, rate
-        self.x = self.dx = None
 
-    def _alpha(self, cutoff: float) -> float:
+    def _alpha(self, cutoff: np.ndarray | float) -> np.ndarray | float:
         return 1 / (1 + self.rate / (2 * math.pi * cutoff))
 
-    def __call__(self, x: float | None) -> float | None:
-        if x is None:
-            return self.x
-        if self.x is None:
-            self.x, self.dx = x, 0.0
-            return x
+    def __call__(self, k: int, state: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        last, dx = state
         a = self._alpha(self.speed)
-        self.dx = a * (x - self.x) * self.rate + (1 - a) * self.dx
-        a = self._alpha(self.least + self.beta * abs(self.dx))
-        self.x = a * x + (1 - a) * self.x
-        return self.x
+        new = a * (x - last) * self.rate + (1 - a) * dx
+        a = self._alpha(self.least + self.beta * np.abs(new))
+        y = a * x + (1 - a) * last
+        begins, missing = np.isnan(last), np.isnan(x)
+        y = np.where(missing, last, np.where(begins, x, y))
+        return y, [y, np.where(missing, dx, np.where(begins, 0.0, new))]
 
 
 class ClampedShift:
     """Mean that moves towards each value by at most ``most``, and towards zero where there is none."""
 
     def __init__(self, alpha: float = 0.3, most: float = 40.0, decay: float = 0.9):
-        self.alpha, self.most, self.decay, self.y = alpha, most, decay, 0.0
-
-    def __call__(self, x: float | None) -> float:
-        if x is None:
-            self.y *= self.decay
-        else:
-            self.y += max(-self.most, min(self.most, self.alpha * (x - self.y)))
-        return self.y
-
-
-class MotionEma:
-    """Smooths less where the signal moves: alpha = 1 - strength * exp(-sensitivity * |delta|)."""
-
-    def __init__(self, strength: float = 0.8, sensitivity: float = 0.02):
-        self.strength, self.sensitivity, self.y = strength, sensitivity, None
+        self.alpha, self.most, self.decay = alpha, most, decay
 
-    def __call__(self, x: float | None) -> float | None:
-        if x is not None:
-            a = 1.0 if self.y is None else 1 - self.strength * math.exp(-self.sensitivity * abs(x - self.y))
-            self.y = x if self.y is None else a * x + (1 - a) * self.y
-        return self.y
+    def __call__(self, k: int, state: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        (y,) = state
+        y = np.where(np.isnan(x), y * self.decay, y + np.clip(self.alpha * (x - y), -self.most, self.most))
+        return y, [y]
 
 
-class RatioSegments:
-    """Number of the segment: a new one where |ln(x / running mean)| passes the threshold; zeros stay where they are."""
+def recursion(df: DataFrame, column: str, out: str, step: Callable[..., tuple[np.ndarray, list[np.ndarray]]], state: list[float], dealt: bool = False) -> DataFrame:
+    """track, frame and ``out`` by a recursion that all tracks of a batch go through frame by frame together."""
+    return solvers.per_batch(df, [column], out, lambda first, x: solvers.lockstep(first, step, state, x), dealt=dealt)
 
-    def __init__(self, threshold: float = 0.7):
-        self.threshold, self.k, self.mean, self.n = threshold, 0, 0.0, 0
 
-    def __call__(self, x: float | None) -> float:
-        if x is None or x <= 0:
-            return float(self.k)
-        if self.n and abs(math.log(x / self.mean)) > self.threshold:
-            self.k, self.n, self.mean = self.k + 1, 0, 0.0
-        self.n += 1
-        self.mean += (x - self.mean) / self.n
-        return float(self.k)
+def motion_mean(df: DataFrame, column: str, out: str, strength: float = 0.8, sensitivity: float = 0.02) -> DataFrame:
+    """Smooths less where the signal moves, on and back, and takes the mean of both.
 
-
-class DeadBand:
-    """Number of the segment: it grows while its values stay within 2 * radius."""
-
-    def __init__(self, radius: float = 60.0):
-        self.radius, self.k, self.low, self.high = radius, 0, math.inf, -math.inf
-
-    def __call__(self, x: float | None) -> float:
-        if x is None:
-            return float(self.k)
-        low, high = min(self.low, x), max(self.high, x)
-        if high - low > 2 * self.radius:
-            self.k, low, high = self.k + 1, x, x
-        self.low, self.high = low, high
-        return float(self.k)
+    y = a * y before + (1 - a) * x with a = strength * exp(-sensitivity * |x - x before|), of the values as they come in,
+    so the recursion is linear. A missing value repeats y, and the next one's motion is from the last known.
+    """
+    w = by_frame()
+    x = F.col(column)
+    for name, near, backward in (("_on", F.last(column, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), False), ("_back", F.first(column, True).over(w.rowsBetween(1, Window.unboundedFollowing)), True)):
+        df = df.withColumn(f"{name}_a", F.when(x.isNotNull(), strength * F.exp(-sensitivity * F.abs(x - near))))
+        df = df.withColumn(f"{name}_b", (1 - F.col(f"{name}_a")) * x)
+    df = solvers.linear(df.withColumn("_x", x), "_on_a", "_on_b", "_on", seed="_x", dealt=True)
+    df = solvers.linear(df, "_back_a", "_back_b", "_back", True, "_x")
+    return df.withColumn(out, (F.col("_on") + F.col("_back")) / 2).drop("_x", *[f"{n}{k}" for n in ("_on", "_back") for k in ("", "_a", "_b")])
 
 
 def gaussian(x: np.ndarray, sigma: float = 1.25) -> np.ndarray:
@@ -160,60 +90,6 @@ def median_filter(x: np.ndarray, size: int = 5) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="edge"), size), axis=1)
 
 
-def kalman_rts(x: np.ndarray, q: float = 1.0, r: float = 100.0) -> np.ndarray:
-    """Constant-velocity Kalman filter and the smoother that runs back over it; missing values are predicted."""
-    step, noise = np.array([[1.0, 1.0], [0.0, 1.0]]), q * np.array([[0.25, 0.5], [0.5, 1.0]])
-    known = np.flatnonzero(~np.isnan(x))
-    if not len(known):
-        return x
-    m, p = np.array([x[known[0]], 0.0]), np.eye(2) * r
-    means, covs, ahead, ahead_cov = [], [], [], []
-    for z in x:
-        pm, pp = step @ m, step @ p @ step.T + noise
-        if np.isnan(z):
-            m, p = pm, pp
-        else:
-            gain = pp[:, 0] / (pp[0, 0] + r)
-            m, p = pm + gain * (z - pm[0]), pp - np.outer(gain, pp[0])
-        means.append(m), covs.append(p), ahead.append(pm), ahead_cov.append(pp)
-    for k in range(len(x) - 2, -1, -1):
-        c = covs[k] @ step.T @ np.linalg.inv(ahead_cov[k + 1])
-        means[k] = means[k] + c @ (means[k + 1] - ahead[k + 1])
-        covs[k] = covs[k] + c @ (covs[k + 1] - ahead_cov[k + 1]) @ c.T
-    return np.array([m[0] for m in means])
-
-
-def smooth_path(x: np.ndarray, band: float = 40.0, velocity: float = 1.0, acceleration: float = 10.0, jerk: float = 100.0, rounds: int = 200) -> np.ndarray:
-    """Path within ``band`` of the values with least squared velocity, acceleration and jerk, by projected gradients."""
-    n = len(x)
-    if n < 4:
-        return x
-    weights = ((1, velocity), (2, acceleration), (3, jerk))
-    # rows of the matrix differ near the ends only, so a short path has those with the largest sums too
-    near = [(w, np.diff(np.eye(min(n, 16)), k, axis=0)) for k, w in weights]
-    size = np.abs(sum(w * d.T @ d for w, d in near)).sum(1).max()
-
-    def slope(z: np.ndarray) -> np.ndarray:
-        """The sum of weight * D'D z over the differences D, by shifts."""
-        return sum(w * (-1) ** k * np.diff(np.pad(np.diff(z, k), k), k) for k, w in weights)
-
-    y, z, t = x.copy(), x.copy(), 1.0
-    for _ in range(rounds):
-        new = np.clip(z - slope(z) / size, x - band, x + band)
-        u = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        z, y, t = new + (t - 1) / u * (new - y), new, u
-    return y
-
-
-def spaced_peaks(x: np.ndarray, spacing: int = 5) -> np.ndarray:
-    """1.0 where a frame is kept: greedily by descending value, no two closer than ``spacing``."""
-    kept = np.zeros(len(x))
-    for i in np.lexsort((np.arange(len(x)), -x)):
-        if not kept[max(0, i - spacing + 1) : i + spacing].any():
-            kept[i] = 1.0
-    return kept
-
-
 def merge_short(labels: np.ndarray, values: np.ndarray, least: int = 3) -> np.ndarray:
     """Joins segments shorter than ``least``, smallest first, to the neighbour whose mean is nearer as a ratio.
 
@@ -290,7 +166,7 @@ def _rounded(df: DataFrame, column: str, digits: int = 4) -> DataFrame:
 
 
 def ema_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ema(fill(tracks(spark, sf_dir)), "filled", "ema")
+    e = ema(fill(tracks(spark, sf_dir)), "filled", "ema", dealt=True)
     return e.groupBy("track").agg(F.round(F.max_by("ema", "frame"), 4).alias("ema"))
 
 
@@ -301,7 +177,8 @@ select track, round(list_reduce(x, lambda a, x: 0.7 * a + 0.3 * x), 4) as ema fr
 
 
 def ema_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = ema(ema(fill(tracks(spark, sf_dir)), "filled", "a"), "filled", "b", backward=True)
+    # the first pass leaves tracks where they are; only their order is turned
+    both = ema(ema(fill(tracks(spark, sf_dir)), "filled", "a", dealt=True), "filled", "b", backward=True, dealt=True)
     return _rounded(both.withColumn("ema", (F.col("a") + F.col("b")) / 2), "ema")
 
 
@@ -313,7 +190,7 @@ select track, frame, round((list_reduce(b, lambda a, x: 0.7 * a + 0.3 * x) + lis
 
 
 def one_euro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scan(fill(tracks(spark, sf_dir)), OneEuro, "filled", "smooth"), "smooth")
+    return _rounded(recursion(fill(tracks(spark, sf_dir)), "filled", "smooth", OneEuro(), [math.nan, 0.0], True), "smooth")
 
 
 ONE_EURO = f"""
@@ -330,7 +207,7 @@ select track, frame, round(x, 4) as smooth from r
 
 
 def clamped_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(tracks(spark, sf_dir), ClampedShift, "v", "shift")
+    found = recursion(tracks(spark, sf_dir), "v", "shift", ClampedShift(), [0.0], True)
     return _rounded(found.withColumn("shift", F.col("shift") + 1e-7), "shift")
 
 
@@ -341,17 +218,27 @@ select track, frame, round(list_reduce(x, lambda a, x: case when x < 0 then a *
 
 
 def motion_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scan(fill(tracks(spark, sf_dir)), MotionEma, "filled", "smooth"), "smooth")
+    return _rounded(motion_mean(fill(tracks(spark, sf_dir)), "filled", "smooth"), "smooth")
 
 
 MOTION_EMA = f"""
-with {_FILLED}, l as (select track, frame, list(filled) over (partition by track order by frame rows between unbounded preceding and current row) x from f)
-select track, frame, round(list_reduce(x, lambda a, x: (1 - 0.8 * exp(-0.02 * abs(x - a))) * x + 0.8 * exp(-0.02 * abs(x - a)) * a), 4) as smooth from l
+with recursive {_FILLED}, d as (select track, frame, filled as x, 0.8 * exp(-0.02 * abs(filled - lag(filled) over w)) as a, 0.8 * exp(-0.02 * abs(filled - lead(filled) over w)) as b,
+  count(*) over (partition by track) as n from f window w as (partition by track order by frame)),
+o as (select track, frame, x as y from d where frame = 0
+  union all select d.track, d.frame, a * y + (1 - a) * x from o join d on d.track = o.track and d.frame = o.frame + 1),
+r as (select track, frame, x as y from d where frame = n - 1
+  union all select d.track, d.frame, b * y + (1 - b) * x from r join d on d.track = r.track and d.frame = r.frame - 1)
+select track, frame, round((o.y + r.y) / 2, 4) as smooth from o join r using (track, frame)
 """
 
 
+def _ratio_segments(first: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    return solvers.numbered(first, solvers.ratio_breaks(first, raw, 0.7))
+
+
 def greedy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scan(tracks(spark, sf_dir), RatioSegments, "raw", "segment")
+    """Segments of which no value is off the mean so far by a factor of two or more."""
+    s = solvers.per_batch(tracks(spark, sf_dir), ["raw"], "segment", _ratio_segments, dealt=True)
     return s.groupBy("track", F.col("segment").cast("long").alias("segment")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
@@ -366,19 +253,36 @@ select track, k as segment, min(frame) as first, max(frame) as last from r group
 """
 
 
-def deadband_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scan(tracks(spark, sf_dir), DeadBand, "raw", "segment")
-    return s.groupBy("track", F.col("segment").cast("long").alias("segment")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+def deadband_segments(spark: SparkSession, sf_dir: str, radius: float = 60.0) -> DataFrame:
+    """Stretches held at one value: their spread is within 2 * radius and all frames' bounds have a point in common.
+
+    The value is the stretch's mean, moved into the common bounds; a frame's bounds are 40 to 100 on either side.
+    """
+    room = 40.0 + 10 * (F.col("frame") % 7)
+    t = tracks(spark, sf_dir).select("track", "frame", "raw", (F.col("raw") - room).alias("lower"), (F.col("raw") + room).alias("upper"))
+
+    def of(first: np.ndarray, x: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
+        return solvers.numbered(first, solvers.deadband_breaks(first, x, lower, upper, radius))
+
+    s = solvers.per_batch(t.withColumn("_raw", F.col("raw")), ["raw", "lower", "upper"], "segment", of, dealt=True, keep=["_raw"])
+    raw = F.col("_raw")
+    s = s.groupBy("track", F.col("segment").cast("long").alias("segment")).agg(
+        F.min("frame").alias("first"), F.max("frame").alias("last"), F.avg(raw).alias("mean"), F.max(raw - room).alias("low"), F.min(raw + room).alias("high"),
+    )
+    return s.select("track", "segment", "first", "last", F.round(F.greatest("low", F.least("high", "mean")) + 1e-7, 4).alias("value"))
 
 
 DEADBAND_SEGMENTS = f"""
-with recursive {TRACKS}, r as (
-  select track, frame, 0::bigint k, raw as lo, raw as hi from t where frame = 0
+with recursive {TRACKS}, b as (select track, frame, raw, raw - (40.0 + 10 * (frame % 7)) as lower, raw + 40.0 + 10 * (frame % 7) as upper from t), r as (
+  select track, frame, 0::bigint k, raw as lo, raw as hi, lower as low, upper as high from b where frame = 0
   union all
-  select track, frame, case when cut then k + 1 else k end, case when cut then raw else least(lo, raw) end, case when cut then raw else greatest(hi, raw) end
-  from (select t.track, t.frame, t.raw, r.k, r.lo, r.hi, greatest(r.hi, t.raw) - least(r.lo, t.raw) > 120 as cut from r join t on t.track = r.track and t.frame = r.frame + 1)
+  select track, frame, case when cut then k + 1 else k end, case when cut then raw else least(lo, raw) end, case when cut then raw else greatest(hi, raw) end,
+    case when cut then lower else greatest(low, lower) end, case when cut then upper else least(high, upper) end
+  from (select b.*, r.k, r.lo, r.hi, r.low, r.high, greatest(r.hi, b.raw) - least(r.lo, b.raw) > 120 or greatest(r.low, b.lower) > least(r.high, b.upper) as cut
+    from r join b on b.track = r.track and b.frame = r.frame + 1)
 )
-select track, k as segment, min(frame) as first, max(frame) as last from r group by 1, 2
+select r.track, k as segment, min(frame) as first, max(frame) as last, round(greatest(max(b.lower), least(min(b.upper), avg(b.raw))) + 1e-7, 4) as value
+from r join b using (track, frame) group by 1, 2
 """
 
 
@@ -421,21 +325,26 @@ select q.track, q.frame, round(sum(w * c.calm) / sum(w), 4) as smooth from q joi
 """
 
 
-def kalman_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(per_track(tracks(spark, sf_dir), "v", "smooth", kalman_rts), "smooth")
+def crop_path(spark: SparkSession, sf_dir: str, margin: float = 16.0) -> DataFrame:
+    """The smoothest path that stays within ``margin`` of each track; missing frames do not pull."""
 
+    def solve(first: np.ndarray, filled: np.ndarray, v: np.ndarray) -> np.ndarray:
+        c = np.nan_to_num(filled)
+        path = solvers.smooth_paths(first, c, c - margin, c + margin, (~np.isnan(v)).astype(float))
+        return np.where(np.isnan(filled), np.nan, path)
 
-def crop_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(per_track(fill(tracks(spark, sf_dir)), "filled", "path", smooth_path), "path", 2)
+    return _rounded(solvers.per_batch(fill(tracks(spark, sf_dir)), ["filled", "v"], "path", solve, dealt=True), "path", 2)
 
 
 def keyframes_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = per_track(tracks(spark, sf_dir), "raw", "kept", spaced_peaks)
+    """Local maxima of each track, the highest first, no two closer than five frames."""
+    found = solvers.per_batch(tracks(spark, sf_dir), ["raw"], "kept", lambda first, x: solvers.spaced(first, x, 5).astype(float), dealt=True)
     return found.where("kept = 1").select("track", "frame")
 
 
 KEYFRAMES_SPACED = f"""
-with recursive {TRACKS}, o as (select track, frame, row_number() over (partition by track order by raw desc, frame) k from t),
+with recursive {TRACKS}, p as (select track, frame, raw, lag(raw) over w as a, lead(raw) over w as b from t window w as (partition by track order by frame)),
+o as (select track, frame, row_number() over (partition by track order by raw desc, frame) k from p where raw > a and raw > b),
 r as (
   select track, 0::bigint k, []::bigint[] kept from o group by track
   union all
@@ -446,17 +355,70 @@ select track, unnest(kept) as frame from z
 """
 
 
+def endpoints(df: DataFrame, motion: str, sharp: str, least: float, window: int = 12, strict: bool = False) -> DataFrame:
+    """track, first, last: the calmest sharp frame of the first ``window`` + 1 frames and of the last ones.
+
+    Sharp is a frame whose column ``sharp`` is ``least`` or more; of equally calm ones the outermost counts. Where there
+    is none the column is null or, with ``strict``, the query fails and names the track.
+    """
+    n = df.groupBy("track").agg(F.max("frame").alias("_last"))
+    ok = (F.col(sharp) >= least) & F.col(motion).isNotNull()
+    near = df.join(n, "track")
+    first = F.min_by("frame", F.when(ok & (F.col("frame") <= window), F.struct(motion, "frame")))
+    last = F.min_by("frame", F.when(ok & (F.col("frame") >= F.col("_last") - window), F.struct(motion, -F.col("frame"))))
+    found = near.groupBy("track").agg(first.alias("first"), last.alias("last"))
+    if strict:
+        fail = F.raise_error(F.concat(F.lit("no sharp frame near an end of track "), F.col("track").cast("string"))).cast("long")
+        found = found.withColumn("first", F.coalesce("first", fail)).withColumn("last", F.coalesce("last", fail))
+    return found
+
+
+def keyframe_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motion is the change from the frame before, sharpness the value's last two digits."""
+    t = tracks(spark, sf_dir)
+    t = t.withColumn("motion", F.abs(F.col("raw") - F.lag("raw").over(by_frame()))).withColumn("sharp", F.floor("raw") % 100)
+    return endpoints(t, "motion", "sharp", 40)
+
+
+KEYFRAME_ENDPOINTS = f"""
+with {TRACKS}, m as (select track, frame, abs(raw - lag(raw) over (partition by track order by frame)) as motion, floor(raw)::bigint % 100 as sharp, max(frame) over (partition by track) as n from t),
+a as (select track, frame, row_number() over (partition by track order by motion, frame) as k from m where motion is not null and sharp >= 40 and frame <= 12),
+b as (select track, frame, row_number() over (partition by track order by motion, frame desc) as k from m where motion is not null and sharp >= 40 and frame >= n - 12)
+select m.track, max(a.frame) as first, max(b.frame) as last from (select distinct track from m) m left join a on a.track = m.track and a.k = 1 left join b on b.track = m.track and b.k = 1 group by 1
+"""
+
+
 def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy segments after short ones have been joined to a neighbour."""
 
-    def both(x: np.ndarray) -> np.ndarray:
-        state = RatioSegments()
-        return merge_short(np.array([state(v) for v in x]), x)
+    def both(first: np.ndarray, x: np.ndarray) -> np.ndarray:
+        labels = _ratio_segments(first, x)
+        return np.concatenate([merge_short(labels[a:b], x[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)])
 
-    s = per_track(tracks(spark, sf_dir), "raw", "segment", both)
+    s = solvers.per_batch(tracks(spark, sf_dir), ["raw"], "segment", both, dealt=True)
     return s.groupBy("track", F.col("segment").cast("long").alias("segment")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
+MERGED_SEGMENTS = f"""
+with recursive {TRACKS}, r as (
+  select track, frame, 0::bigint k, raw as total, 1::bigint n, raw from t where frame = 0
+  union all
+  select track, frame, case when cut then k + 1 else k end, case when cut then raw else total + raw end, case when cut then 1 else n + 1 end, raw
+  from (select t.track, t.frame, t.raw, r.k, r.total, r.n, abs(ln(t.raw / (r.total / r.n))) > 0.7 as cut from r join t on t.track = r.track and t.frame = r.frame + 1)
+), g as (select track, k, count(*) as n, sum(raw) as total from r group by 1, 2),
+m as (
+  select track, list(n order by k) as n, list(total order by k) as total from g group by 1
+  union all
+  select track, n[:i - 1] || [n[i] + n[i + 1]] || n[i + 2:], total[:i - 1] || [total[i] + total[i + 1]] || total[i + 2:] from (
+    select track, n, total, case when k = 1 then 1 when k = len(n) then k - 1
+      when abs(ln(greatest(total[k - 1] / n[k - 1], 1e-6) / greatest(total[k] / n[k], 1e-6))) <= abs(ln(greatest(total[k + 1] / n[k + 1], 1e-6) / greatest(total[k] / n[k], 1e-6))) then k - 1 else k end as i
+    from (select *, list_position(n, list_min(n)) as k from m where len(n) > 1 and list_min(n) < 3))
+), z as (select track, arg_min(n, len(n)) as n from m group by 1),
+u as (select track, generate_subscripts(n, 1) - 1 as segment, unnest(n) as n from z)
+select track, segment, (sum(n) over w - n)::bigint as first, (sum(n) over w - 1)::bigint as last from u window w as (partition by track order by segment)
+"""
+
+
 def region_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as an 8 x 8 mask: number of regions, size of the largest, and cells that stay with the two largest of two cells or more."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
@@ -491,9 +453,9 @@ QUERIES = {
     "gaussian_smooth": (gaussian_smooth, GAUSSIAN_SMOOTH),
     "median_smooth": (median_smooth, MEDIAN_SMOOTH),
     "median_then_gaussian": (median_then_gaussian, MEDIAN_THEN_GAUSSIAN),
-    "kalman_rts": (kalman_smooth, None),
     "crop_path": (crop_path, None),
     "keyframes_spaced": (keyframes_spaced, KEYFRAMES_SPACED),
-    "merged_segments": (merged_segments, None),
+    "keyframe_endpoints": (keyframe_endpoints, KEYFRAME_ENDPOINTS),
+    "merged_segments": (merged_segments, MERGED_SEGMENTS),
     "region_components": (region_components, REGION_COMPONENTS),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from strandline.operators.solvers import linear
 from strandline.session import TRACKS, at_rank, by_frame, median_upper, pct_floor, sorted_list, tracks, whole
 
 _BACK = Window.unboundedPreceding
@@ -32,29 +33,14 @@ def interpolate(df: DataFrame, column: str = "v", out: str = "filled") -> DataFr
     return df.withColumn(out, value.otherwise(between)).drop("_a", "_b", "_i", "_j")
 
 
-def ema(df: DataFrame, column: str, out: str, alpha: float = 0.3, backward: bool = False, block: int = 64) -> DataFrame:
+def ema(df: DataFrame, column: str, out: str, alpha: float = 0.3, backward: bool = False, dealt: bool = False) -> DataFrame:
     """y = alpha * x + (1 - alpha) * y before; the first value stands as it is, a missing one repeats y.
 
-    A track is cut into blocks: within one the weights are powers of 1 - alpha, so y is a window sum, and a block takes
-    over from those before it one number; the blocks' own recursion runs over a list of two numbers for each block.
+    A linear recursion, scanned in batches that hand on one number; see ``solvers.linear``.
     """
-    w = Window.partitionBy("track").orderBy(F.desc("frame") if backward else F.asc("frame"))
-    keep = 1 - alpha
     valid = F.col(column).isNotNull()
-    df = df.withColumn("_k", F.sum(valid.cast("long")).over(w.rowsBetween(_BACK, 0)) - 1)  # place among valid values
-    df = df.withColumn("_b", F.floor(F.greatest("_k", F.lit(0)) / block)).withColumn("_i", F.pmod("_k", F.lit(block)))
-    weight = F.when(F.col("_k") == 0, 1.0).otherwise(alpha)
-    df = df.withColumn("_x", F.when(valid, weight * F.col(column) * F.pow(F.lit(keep), -F.col("_i"))))
-    inner = Window.partitionBy("track", "_b").orderBy(F.desc("frame") if backward else F.asc("frame")).rowsBetween(_BACK, 0)
-    df = df.withColumn("_y", F.sum("_x").over(inner) * F.pow(F.lit(keep), F.col("_i")))
-    ends = df.where(valid).groupBy("track", "_b").agg(F.max_by("_y", "_k").alias("y"), F.pow(F.lit(keep), F.count("*")).alias("p"))
-    chain = ends.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("_b", "y", "p"))).alias("c"))
-    zero = F.array().cast("array<double>")
-    carried = F.aggregate("c", zero, lambda a, e: F.concat(a, F.array(e["y"] + e["p"] * F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)))))
-    chain = chain.select("track", F.posexplode(carried).alias("_b", "_c")).select("track", (F.col("_b") + 1).cast("long").alias("_b"), "_c")
-    df = df.join(chain, ["track", "_b"], "left")
-    y = F.col("_y") + F.coalesce(F.col("_c") * F.pow(F.lit(keep), F.col("_i") + 1), F.lit(0.0))
-    return df.withColumn(out, F.when(F.col("_k") >= 0, y)).drop("_k", "_b", "_i", "_x", "_y", "_c")
+    df = df.withColumns({"_a": F.when(valid, 1 - alpha), "_b": alpha * F.col(column), "_s": F.col(column)})
+    return linear(df, "_a", "_b", out, backward, "_s", dealt).drop("_a", "_b", "_s")
 
 
 def weighted_window(df: DataFrame, column: str, out: str, weights: list[float]) -> DataFrame:
