@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.session import TRACKS, by_frame, median_upper, pct_floor, pct_nearest, sorted_list, table, tracks
+from strandline.plans.ordered import at_ranks, floor_rank, linear, nearest_rank
+from strandline.session import TRACKS, by_frame, table, tracks
 
 
 def shifted_sigma(sigma: Column, shift: Column) -> Column:
@@ -117,26 +118,16 @@ select p_partkey, string_agg(f::varchar, ',' order by f) as frames from c group
 
 
 def percentile_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three percentiles and three medians of each group from counted values: no group is gathered."""
+    """Three percentiles and three medians of each group, by exact ranks that are found range by range."""
     by = "o_orderpriority"
-    c = table(spark, sf_dir, "orders").where("o_totalprice is not null").groupBy(by, F.col("o_totalprice").alias("x")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    c = c.withColumn("upto", F.sum("c").over(w.orderBy("x"))).withColumn("n", F.sum("c").over(w))
-    n = F.col("n")
-
-    def at(rank: Column) -> Column:
-        """The value at a rank, counted from 0."""
-        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank), F.col("x")))
-
-    linear, middle = 0.95 * (n - 1), 0.5 * (n - 1)
-    g = c.groupBy(by).agg(
-        at(F.bround(0.95 * (n - 1))).alias("nearest"), at(F.least(n - 1, F.floor(0.95 * n))).alias("floor"), at(F.floor(linear)).alias("a"),
-        at(F.ceil(linear)).alias("b"), at(F.floor(n / 2)).alias("upper"), at(F.floor((n - 1) / 2)).alias("lower"), F.max(linear).alias("p"), F.max(middle).alias("m"),
-    )
-    between = lambda a, b, p: F.col(a) + (F.col(b) - F.col(a)) * (p - F.floor(p))
+    g = at_ranks(table(spark, sf_dir, "orders"), [by], "o_totalprice", {
+        "nearest": nearest_rank(0.95), "floor": floor_rank(0.95), "a": lambda n: F.floor(0.95 * (n - 1)), "b": lambda n: F.ceil(0.95 * (n - 1)),
+        "upper": floor_rank(0.5), "lower": lambda n: F.floor((n - 1) / 2),
+    })
+    n = F.col("known")
     return g.select(
-        by, F.round("nearest", 2).alias("nearest"), F.round("floor", 2).alias("floor"), F.round(between("a", "b", F.col("p")), 3).alias("linear"),
-        F.round("upper", 2).alias("median_upper"), F.round("lower", 2).alias("median_lower"), F.round(between("lower", "upper", F.col("m")), 3).alias("median_mid"),
+        by, F.round("nearest", 2).alias("nearest"), F.round("floor", 2).alias("floor"), F.round(linear("a", "b", 0.95 * (n - 1)), 3).alias("linear"),
+        F.round("upper", 2).alias("median_upper"), F.round("lower", 2).alias("median_lower"), F.round(linear("lower", "upper", 0.5 * (n - 1)), 3).alias("median_mid"),
     )
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.sequences import bucket
-from strandline.session import at_rank, table
+from strandline.plans.ordered import at_rank, at_ranks, nearest_rank
+from strandline.session import table
 
 
 def total(values: Column) -> Column:
@@ -90,7 +91,9 @@ def seam_pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir).withColumn("block", F.floor(F.col("vec_id") / 1000)).withColumn("own", F.lit(True))
     # the last frame of each block also stands before the first one of the next block that has any
     ends = f.where("block is not null").groupBy("block").agg(F.max_by(F.struct("label", "vec_id", "px"), "vec_id").alias("end"))
-    ends = ends.withColumn("block", F.lead("block").over(Window.orderBy("block"))).where("block is not null")
+    follows = f.where("block is not null").groupBy("block").agg(F.lit(1)).select("block")
+    follows = follows.withColumn("next", F.lead("block").over(Window.orderBy("block"))).where("next is not null")  # numbers only, without pixels
+    ends = ends.join(follows, "block").drop("block").withColumnRenamed("next", "block")
     f = f.unionByName(ends.select("end.*", "block", F.lit(False).alias("own")))
     w = Window.partitionBy("block").orderBy("vec_id")
     f = f.withColumn("prev", F.lag("px").over(w)).withColumn("before", F.lag("label").over(w)).where("own")
@@ -123,7 +126,7 @@ def zone_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.abs(F.col("l_extendedprice") - 1000 * F.col("l_quantity"))
     zone = ["l_returnflag", "l_linestatus"]
     rows = table(spark, sf_dir, "lineitem").select(*zone, x.alias("x"))
-    p95 = at_rank(rows, zone, "x", lambda n: F.bround(0.95 * (n - 1))).select(*zone, F.lit(None).alias("m"), F.lit(None).alias("n"), F.col("value").alias("p"))
+    p95 = at_rank(rows, zone, "x", nearest_rank(0.95)).select(*zone, F.lit(None).alias("m"), F.lit(None).alias("n"), F.col("value").alias("p"))
     g = rows.groupBy(*zone).agg(F.avg("x").alias("m"), F.count("*").alias("n")).withColumn("p", F.lit(None))
     g = g.unionByName(p95).groupBy("l_returnflag")
     return g.agg(F.round(F.avg("m"), 2).alias("mean"), F.round(F.max("p"), 2).alias("p95"), F.sum("n").alias("n"))
@@ -137,15 +140,11 @@ select l_returnflag, round(avg(m), 2) as mean, round(max(xs[round_even(0.95 * (l
 
 
 def zone_stats_scalable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ranks without gathering a zone: rows numbered within the group, one kept."""
+    """One rank of each zone and channel, however many values a zone has."""
     x = F.abs(F.col("l_extendedprice") - 1000 * F.col("l_quantity"))
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", x.alias("x"))
-    # values counted first, so that a zone's window runs over distinct values
-    c = rows.groupBy("l_returnflag", "l_linestatus", "x").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("l_returnflag", "l_linestatus")
-    c = c.withColumn("upto", F.sum("n").over(w.orderBy("x"))).withColumn("all", F.sum("n").over(w))
-    hit = c.where(F.col("upto") > F.bround(0.95 * (F.col("all") - 1)))
-    return hit.groupBy("l_returnflag", "l_linestatus").agg(F.min("x").alias("p95"), F.max("all").alias("n"))
+    zone = ["l_returnflag", "l_linestatus"]
+    found = at_rank(table(spark, sf_dir, "lineitem").select(*zone, x.alias("x")), zone, "x", nearest_rank(0.95))
+    return found.select(*zone, F.col("value").alias("p95"), F.col("known").alias("n"))
 
 
 ZONE_STATS_SCALABLE = """
@@ -155,6 +154,28 @@ select l_returnflag, l_linestatus, xs[round_even(0.95 * (len(xs) - 1), 0)::bigin
 """
 
 
+def zone_diff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each zone and channel: the absolute differences' mean, lower median, largest and four percentiles; the signed ones' mean and sample deviation."""
+    zone = ["l_returnflag", "l_linestatus"]
+    signed = F.col("l_extendedprice") - 1000 * F.col("l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(*zone, signed.alias("signed"), F.abs(signed).alias("x"))
+    ranks = {f"p{p}": nearest_rank(p / 100) for p in (50, 90, 95, 99)} | {"median_abs": lambda n: F.floor((n - 1) / 2)}
+    sums = rows.groupBy(*zone).agg(
+        F.count("x").alias("n"), F.round(F.avg("x"), 2).alias("mean_abs"), F.max("x").alias("max_abs"), F.round(F.avg("signed"), 2).alias("mean_signed"),
+        F.round(F.stddev_samp("signed"), 2).alias("std_signed"),
+    )
+    return sums.join(at_ranks(rows, zone, "x", ranks).drop("known"), zone)
+
+
+ZONE_DIFF_REPORT = """
+with x as (select l_returnflag, l_linestatus, l_extendedprice - 1000 * l_quantity as d from lineitem),
+g as (select l_returnflag, l_linestatus, count(*) n, round(avg(abs(d)), 2) as mean_abs, max(abs(d)) as max_abs, round(avg(d), 2) as mean_signed, round(stddev_samp(d), 2) as std_signed,
+  list(abs(d) order by abs(d)) xs from x group by 1, 2)
+select l_returnflag, l_linestatus, n, mean_abs, max_abs, mean_signed, std_signed, xs[(n - 1) // 2 + 1] as median_abs, xs[round_even(0.5 * (n - 1), 0)::bigint + 1] as p50,
+  xs[round_even(0.9 * (n - 1), 0)::bigint + 1] as p90, xs[round_even(0.95 * (n - 1), 0)::bigint + 1] as p95, xs[round_even(0.99 * (n - 1), 0)::bigint + 1] as p99 from g
+"""
+
+
 def set_iou_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: parts returned (flag A or R) against parts on finished lines (status F)."""
     own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
@@ -300,6 +321,7 @@ QUERIES = {
     "seam_pair_metrics": (seam_pair_metrics, SEAM_PAIR_METRICS),
     "seam_summary": (seam_summary, SEAM_SUMMARY),
     "zone_diff_stats": (zone_diff_stats, ZONE_DIFF_STATS),
+    "zone_diff_report": (zone_diff_report, ZONE_DIFF_REPORT),
     "zone_stats_scalable": (zone_stats_scalable, ZONE_STATS_SCALABLE),
     "set_iou_dice": (set_iou_dice, SET_IOU_DICE),
     "set_worst": (set_worst, SET_WORST),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.operators.solvers import linear
-from strandline.session import TRACKS, at_rank, by_frame, median_upper, pct_floor, sorted_list, tracks, whole
+from strandline.plans.ordered import at_rank, at_ranks, floor_rank
+from strandline.session import TRACKS, by_frame, tracks, whole
 
 _BACK = Window.unboundedPreceding
 _ON = Window.unboundedFollowing
@@ -191,10 +192,12 @@ select o_orderpriority, case when o_totalprice < 50000 then 'low' when o_totalpr
 
 def motion_delta_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tracks(spark, sf_dir).withColumn("d", F.abs(F.col("raw") - F.lag("raw").over(by_frame())))
-    g = d.groupBy("track").agg(sorted_list("d").alias("ds"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"))
+    r = at_ranks(d, ["track"], "d", {"p95": floor_rank(0.95), "median": floor_rank(0.5)})
+    g = d.groupBy("track").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"))
+    g = g.join(r.select(F.col("track").alias("_t"), "p95", "median"), F.col("track").eqNullSafe(F.col("_t")), "left")
     return g.select(
-        "track", F.size("ds").alias("n"), F.round(F.col("mean") + 1e-9, 4).alias("mean"), F.round(F.col("std") + 1e-9, 4).alias("std"),
-        F.round(pct_floor(F.col("ds"), 0.95), 4).alias("p95"), F.round(median_upper(F.col("ds")), 4).alias("median"),
+        "track", F.col("n").cast("int").alias("n"), F.round(F.col("mean") + 1e-9, 4).alias("mean"), F.round(F.col("std") + 1e-9, 4).alias("std"),
+        F.round("p95", 4).alias("p95"), F.round("median", 4).alias("median"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.plans.ordered import nearest
 from strandline.session import TRACKS, by_frame, table, tracks
 
 
@@ -45,29 +46,6 @@ def crossfade(parts: DataFrame, value: str, on: list[str], place: str) -> DataFr
     return g
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, value: str, out: str, width: float) -> DataFrame:
-    """Every left row with the right value nearest to its key, at any distance (ties: the smaller value).
-
-    Keys meet the values of their own block of ``width``, and the outermost values of the nearest blocks that have any
-    on either side; those come from a table with a row for each block. A null key, or an empty right side, gives null.
-    """
-    values = right.select(F.col(value).alias("_v")).where(F.col(value).isNotNull() & ~F.isnan(value)).distinct().withColumn("_b", F.floor(F.col("_v") / width))
-    keyed = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", F.floor(F.col(key) / width))
-    own = values.groupBy("_b").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    asked = keyed.select("_b").where("_b is not null").distinct()
-    blocks = asked.join(own, "_b", "full")
-    w = Window.orderBy("_b")  # a row for each block
-    blocks = blocks.select(
-        "_b", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
-        F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
-    )
-    d = lambda x: F.struct(F.abs(F.col(key) - x).alias("d"), x.alias("v"))
-    best = F.array_min(F.filter(F.array(*[d(F.col(c)) for c in ("_v", "_below", "_above")]), lambda x: x["v"].isNotNull()))
-    met = keyed.join(blocks, "_b", "left").join(values, "_b", "left")
-    found = met.groupBy("_row").agg(*[F.first(c).alias(c) for c in left.columns], F.min(best)["v"].alias(out))
-    return found.drop("_row")
-
-
 def latent_frames(n: Column) -> Column:
     """1 + (n - 1) div 4 compressed frames; 0 for none."""
     return F.when(n <= 0, 0).otherwise(F.floor((n - 1) / 4) + 1)
@@ -173,7 +151,7 @@ select *, row_number() over (order by mean, length desc, overlap) rank from m qu
 def nearest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer balance the nearest supplier balance."""
     left = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return nearest(left, table(spark, sf_dir, "supplier").select("s_acctbal"), "c_acctbal", "s_acctbal", "nearest", 500.0)
+    return nearest(left, table(spark, sf_dir, "supplier").select("s_acctbal"), "c_acctbal", "s_acctbal", "nearest")
 
 
 NEAREST_LOOKUP = """

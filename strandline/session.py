@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -39,37 +38,6 @@ t as (select user_id as track, row_number() over (partition by user_id order by
 """
 
 
-def pct_nearest(values: Column, q: float) -> Column:
-    """Value at index round(q * (n - 1)), half to even, of a sorted array."""
-    return F.element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1)) + 1).cast("int"))
-
-
-def pct_floor(values: Column, q: float) -> Column:
-    """Value at index int(q * n), the last at most, of a sorted array."""
-    return F.element_at(values, F.least(F.size(values), F.floor(F.lit(q) * F.size(values)).cast("int") + 1))
-
-
-def median_upper(values: Column) -> Column:
-    """Upper of the two middle values of a sorted array."""
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
-
-
-def at_rank(df: DataFrame, keys: list[str], column: str, rank: Callable[[Column], Column]) -> DataFrame:
-    """keys, value, known: the value at index ``rank(known)`` of a group's sorted values; nulls are not counted.
-
-    Values are counted first and ranks cumulated over distinct ones, so no group is gathered in an array.
-    """
-    c = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    c = c.withColumn("_upto", F.sum("_c").over(w.orderBy(column))).withColumn("_all", F.sum("_c").over(w))
-    hit = c.where(F.col("_upto") > rank(F.col("_all")))
-    return hit.groupBy(*keys).agg(F.min(column).alias("value"), F.max("_all").alias("known"))
-
-
-def sorted_list(column: str) -> Column:
-    return F.sort_array(F.collect_list(column))
-
-
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one only where the session names none, on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

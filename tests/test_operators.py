@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import tracemalloc
 
 import numpy as np
@@ -12,8 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import records, text
 from strandline.operators import folds, metrics, sequences, solvers
-from strandline.plans import ranges, sweeps
-from strandline.session import pct_nearest
+from strandline.plans import ordered, ranges, sweeps
 from strandline.sources import files
 
 
@@ -56,9 +56,46 @@ def test_bucket_is_strict(spark):
     assert spark.range(1).select(label.alias("x")).first()["x"] == "mid"
 
 
-def test_nearest_rank(spark):
-    a = F.array(*[F.lit(float(i)) for i in range(1, 12)])
-    assert spark.range(1).select(pct_nearest(a, 0.95).alias("x")).first()["x"] == 11
+def test_ranks_of_groups_of_any_size(spark):
+    """Against sorted lists: a group on most rows, ties, null keys, groups without a value, ranges of a few rows."""
+    rng = random.Random(4)
+    rows = [("big", None, rng.choice([rng.gauss(0, 9), 3.0, None])) for _ in range(6000)] + [("s", k % 40, float(rng.randrange(5))) for k in range(300)]
+    rows += [(None, 1, 2.0), (None, 1, 1.0), ("none", 1, None), ("one", 1, 7.0)]
+    df = spark.createDataFrame(rows, "a string, b int, v double")
+    ranks = {"p95": ordered.nearest_rank(0.95), "upper": ordered.floor_rank(0.5), "lower": lambda n: F.floor((n - 1) / 2), "top": lambda n: n - 1, "first": lambda n: F.lit(0)}
+    groups = {}
+    for a, b, v in rows:
+        if v is not None:
+            groups.setdefault((a, b), []).append(v)
+    want = {}
+    for k, x in groups.items():
+        x.sort()
+        n = len(x)
+        want[k] = (x[round(0.95 * (n - 1))], x[n // 2], x[(n - 1) // 2], x[-1], x[0], n)
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {(r["a"], r["b"]): tuple(r)[2:] for r in ordered.at_ranks(df, ["a", "b"], "v", ranks).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == want
+    assert ordered.at_ranks(df.where("v > 1e9"), ["a"], "v", ranks).count() == 0
+
+
+def test_a_rank_reads_one_range_of_its_group(spark):
+    """The values of one group are dealt over ranges, and the window that cumulates them is by range."""
+    df = spark.range(40_000).select(F.lit(1).alias("g"), F.xxhash64("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = ordered.in_ranges(df, ["g", "v"])
+        sizes = [r["count"] for r in stored.groupBy("_p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 15_000
+    plan = ordered.at_rank(df, ["g"], "v", lambda n: F.floor(n / 2))._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(g" in plan.replace("#", " ").replace("  ", " ") and plan.count("_p") > 2
 
 
 def test_overlap_of_empty_sets(spark):
@@ -307,21 +344,26 @@ def test_ema_windows_are_the_recursion(spark):
                 assert (got[t, f] is None) == (y is None) and (y is None or abs(got[t, f] - y) < 1e-9)
 
 
-def test_nearest_at_any_distance(spark):
-    import random
-
-    from strandline.plans import ranges
-
+@pytest.mark.parametrize("parts", ["1", "4", "9"])
+def test_nearest_at_any_distance(spark, parts):
     rng = random.Random(2)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     values = [rng.choice([-5000.0, 0.0, 7.5, 1e6]) + rng.random() * 50 for _ in range(40)] + [7.5, -7.5]
     keys = [rng.uniform(-9000, 2e6) for _ in range(200)] + [0.0, None, 5.0, 5.0, 1e9]
     left = spark.createDataFrame([(i, k) for i, k in enumerate(keys)] + [(202, 5.0)], "id long, key double")
     right = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-    got = ranges.nearest(left, right, "key", "v", "near", 10.0).collect()
+    got = ordered.nearest(left, right, "key", "v", "near").collect()
     assert len(got) == len(keys) + 1
     for r in got:
         assert r["near"] == (None if r["key"] is None else min(values, key=lambda v: (abs(v - r["key"]), v)))
-    assert all(r["near"] is None for r in ranges.nearest(left, right.where("v > 1e9"), "key", "v", "near", 10.0).collect())
+    assert all(r["near"] is None for r in ordered.nearest(left, right.where("v > 1e9"), "key", "v", "near").collect())
+    # one key on most rows, also with values beside it
+    hot = spark.range(3000).select("id", F.when(F.col("id") % 10 < 9, 5.0).otherwise(F.col("id").cast("double")).alias("key"))
+    few = spark.createDataFrame([(4.5,), (5.25,), (900.0,)], "v double")
+    assert all(r["near"] == min((4.5, 5.25, 900.0), key=lambda v: (abs(v - r["key"]), v)) for r in ordered.nearest(hot, few, "key", "v", "near").collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_merging_short_segments_against_the_plain_rule():
