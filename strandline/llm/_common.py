@@ -120,6 +120,16 @@ def lean(f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     return run
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Rows go to Python workers in batches of about ``size`` bytes, where the session keeps Spark's 64 MB.
+
+    A task holds each batch outside the heap, next to the worker's own copy.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "") in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(name, f"{size}b")
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
