@@ -126,7 +126,7 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     A task holds each batch outside the heap, next to the worker's own copy.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "") in ("67108864b", "67108864", "64MB", "64m"):
+    if spark.conf.get(name) in ("67108864b", "67108864", "64MB", "64m"):
         spark.conf.set(name, f"{size}b")
 
 
