@@ -133,8 +133,8 @@ def write_records(
     """Writes every text's ids with ``end_id`` behind them to ``folder``, in ascending doc_id order; returns the manifest.
 
     Range partitions follow doc_id, so files in (part, file_no) order hold the documents in order. A null text counts
-    as empty and yields the end id alone; a null doc_id comes first; rows with one doc_id stand side by side, by text;
-    an empty table makes no file. Other columns are ignored. A text takes about six times its bytes in a task, and one that
+    as empty and yields the end id alone; a null doc_id comes first; rows with one doc_id stand side by side, by a hash of
+    the text, and if they are very many (null ids, copies) in several parts; an empty table makes no file. Other columns are ignored. A text takes about six times its bytes in a task, and one that
     holds a string of an added token or odd white space goes to the library whole.
     """
     n = n_parts or _common.parts(docs.sparkSession)
@@ -158,8 +158,11 @@ def write_records(
             [pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["part", "file_no", "path", "n_records", "n_tokens"]
         )
 
+    _common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_common.lean(write), MANIFEST)
+    rows = rows.withColumn("_h", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(n, "doc_id", "_h", "_row").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    return dealt.mapInArrow(_common.lean(write), MANIFEST)
 
 
 def scan_records(manifest: DataFrame) -> DataFrame:

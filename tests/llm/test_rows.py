@@ -115,6 +115,19 @@ def test_records_round_trip(spark, odd, none, tmp_path):
     assert token_records.scan_records(empty).count() == 0
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_records_of_one_doc_id_are_dealt_over_parts(spark, tmp_path, same):
+    """Nine rows in ten share a doc_id (and a text): parts stay even, and ascending ids still follow one another."""
+    rows = [(5 if k % 10 else k, "copy" if same else f"text {k}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = token_records.write_records(docs, f"file://{tmp_path}/x", public_tokenizers.path("byte_bpe_50k.json"), n_parts=8).cache()
+    sizes = [r["n"] for r in manifest.groupBy("part").agg(F.sum("n_records").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 900
+    got = sorted(tuple(r) for r in token_records.scan_records(manifest).select("start", "doc_id", "n_tokens").collect())
+    assert [d for _, d, _ in got] == sorted(d for d, _ in rows) and [s for s, _, _ in got] == [sum(n for *_, n in got[:k]) for k in range(len(got))]
+    manifest.unpersist()
+
+
 def test_packing(spark, odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
