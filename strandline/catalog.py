@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from strandline.functions import configs, frames, records, text
+from strandline.functions import configs, documents, frames, noise, records, text
 from strandline.operators import boxes, folds, hulls, masks, metrics, sequences
 from strandline.plans import ranges, sweeps
 from strandline.sources import files
 from strandline.streaming import flows
 
-_ALL = {k: v for m in (sequences, folds, boxes, masks, hulls, metrics, ranges, sweeps, text, records, configs, frames, files, flows) for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in (sequences, folds, boxes, masks, hulls, metrics, ranges, sweeps, text, records, configs, frames, documents, noise, files, flows) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict:
