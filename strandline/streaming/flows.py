@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from strandline.session import work_dir
 
@@ -104,9 +105,85 @@ def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "2 days") ->
     return g.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
+class Expiring(StatefulProcessor):
+    """A user's count, sum and times of the first and last event, until nothing has come for ``ttl_s`` seconds of event time.
+
+    A timer stands at the last event's time and ``ttl_s``; when the watermark passes it the row goes out and the state is
+    removed, so keys that have gone quiet take no room. A later event of the user starts anew. Events of one batch that
+    are further apart than that part at once. With ``clock_ms`` the state store lets go of a key after that much time
+    of the clock as well, whatever the watermark does.
+    """
+
+    def __init__(self, ttl_s: int = 21_600, clock_ms: int | None = None):
+        self.ttl, self.clock = ttl_s, clock_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "n long, total double, first long, last long", self.clock)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        x = pd.concat(list(rows), ignore_index=True)
+        at, value = x["at"].to_numpy(np.int64), x["value"].to_numpy(float)
+        order = np.argsort(at, kind="stable")
+        at, value = at[order], value[order]
+        kept = self.state.get() if self.state.exists() else None
+        done = []
+        cuts = [0, *(np.flatnonzero(np.diff(at) >= self.ttl * 1_000_000) + 1).tolist(), len(at)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            now = (b - a, float(value[a:b].sum()), int(at[a]), int(at[b - 1]))
+            if kept and now[2] - kept[3] < self.ttl * 1_000_000:
+                kept = (kept[0] + now[0], kept[1] + now[1], min(kept[2], now[2]), max(kept[3], now[3]))
+            else:
+                done += [kept] if kept else []
+                kept = now
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.state.update(kept)
+        self.handle.registerTimer(kept[3] // 1000 + self.ttl * 1000)
+        yield self._rows(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = [self.state.get()] if self.state.exists() else []
+        self.state.clear()
+        yield self._rows(key, kept)
+
+    def _rows(self, key: tuple, done: list[tuple]) -> pd.DataFrame:
+        cols = [np.array(x) for x in zip(*done, strict=True)] if done else [np.zeros(0)] * 4
+        return pd.DataFrame({"user_id": np.full(len(done), key[0]), "n": cols[0].astype(np.int64), "total": cols[1].astype(float), "first": cols[2].astype(np.int64), "last": cols[3].astype(np.int64)})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring(events: DataFrame, ttl_s: int = 21_600, delay: str = "2 days", clock_ms: int | None = None) -> DataFrame:
+    """user_id, n, total, first, last (microseconds) of each stretch of a user's events, once its state has expired.
+
+    Needs a state store with timers: the session's ``spark.sql.streaming.stateStore.providerClass`` is set to RocksDB.
+    """
+    name = "spark.sql.streaming.stateStore.providerClass"
+    events.sparkSession.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own = events.withWatermark("ts", delay).where(NO_TICK).select("user_id", "ts", F.unix_micros("ts").alias("at"), "value")
+    return own.groupBy("user_id").transformWithStateInPandas(Expiring(ttl_s, clock_ms), "user_id long, n long, total double, first long, last long", "append", "EventTime")
+
+
 # queries
 
 
+def stream_state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and sums by user, which are forgotten six hours after the user's last event."""
+    found = drained(spark, sf_dir, expiring, "ttl")
+    return found.select("user_id", "n", F.round(F.col("total") + 1e-7, 2).alias("total"), F.floor(F.col("first") / 1_000_000).alias("first"), F.floor(F.col("last") / 1_000_000).alias("last"))
+
+
+STATE_TTL = """
+with g as (select user_id, ts, value, case when ts < lag(ts) over (partition by user_id order by ts) + interval 6 hour then 0 else 1 end as is_new from events),
+s as (select *, sum(is_new) over (partition by user_id order by ts) s from g)
+select user_id, count(*) n, round(sum(value) + 1e-7, 2) as total, floor(epoch(min(ts)))::bigint as first, floor(epoch(max(ts)))::bigint as last from s group by user_id, s
+"""
+
+
 def stream_inbox_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drained(spark, sf_dir, inbox, "inbox")
     return kept.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("sum"))
@@ -153,4 +230,5 @@ QUERIES = {
     "stream_keyed_ema": (stream_keyed_ema, KEYED_EMA),
     "stream_windows": (stream_windows, WINDOWS),
     "stream_sessions": (stream_sessions, SESSIONS),
+    "stream_state_ttl": (stream_state_ttl, STATE_TTL),
 }

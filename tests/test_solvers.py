@@ -184,3 +184,28 @@ def test_segments_against_plain_loops(levels):
         for a, b in zip(first[:-1], first[1:], strict=True):
             assert got[a:b].tolist() == plain_deadband(x[a:b], x[a:b] - m[a:b], x[a:b] + m[a:b], 60.0)
             assert two[a:b].tolist() == plain_ratio(x[a:b], 0.7)
+
+
+def test_state_expires_by_event_time_also_across_a_restart(spark, tmp_path):
+    """Keys that went quiet are sent out and leave the state; what is kept at a stop goes on after it."""
+    import datetime as dt
+
+    from strandline.streaming import flows
+
+    start = dt.datetime(2024, 1, 1)
+    at = lambda hours: start + dt.timedelta(hours=hours)
+    first = [(1, at(0), 1, 1.0), (2, at(1), 1, 2.0), (3, at(9), 1, 4.0), (4, at(0), 2, 8.0), (5, at(9), 3, 16.0)]
+    second = [(6, at(12), 3, 32.0), (7, at(24 * 40), 9, 64.0)]
+    third = [(8, at(24 * 41), 1, 128.0)]
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for k, rows in enumerate((first, second, third)):
+        df = spark.createDataFrame([(e, t, u, "x", v, None) for e, t, u, v in rows], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).toPandas().to_parquet(f"{folder}/events.parquet{k}", coerce_timestamps="us")
+        flow = flows.expiring(flows.events_stream(spark, folder))
+        got = {(r["user_id"], r["n"], r["total"]) for r in flows.drain(flow, out, state, "append").collect()}
+        if k == 0:
+            assert got == {(1, 2, 3.0)}  # the pause in the batch itself; the others wait for the watermark
+    assert got == {(1, 2, 3.0), (1, 1, 4.0), (2, 1, 8.0), (3, 2, 48.0)}
+    kept = spark.read.format("statestore").option("stateVarName", "open").load(state).select("key.user_id").collect()
+    assert {r["user_id"] for r in kept} == {1, 9}
