@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.sequences import bucket
-from strandline.plans.ordered import at_rank, at_ranks, nearest_rank
+from strandline.plans.ordered import at_rank, at_ranks, nearest_rank, previous
 from strandline.session import table
 
 
@@ -64,8 +64,9 @@ mx as (select label, vec_id, prev_id, px, prev,
 
 
 def consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
-    f = frames(spark, sf_dir).withColumn("prev", F.lag("px").over(w)).withColumn("prev_id", F.lag("vec_id").over(w))
+    """Each frame with the one before it of its label: prev, prev_id, err."""
+    f = previous(frames(spark, sf_dir), "label", "vec_id", ["px"])
+    f = f.select("label", "vec_id", "px", F.col("_before.px").alias("prev"), F.col("_before.vec_id").alias("prev_id"))
     return f.where("prev is not null").withColumn("err", mse(F.col("prev"), F.col("px")))
 
 

@@ -90,3 +90,23 @@ def nearest(left: DataFrame, right: DataFrame, key: str, value: str, out: str) -
     under, over, x = F.col("_under"), F.col("_over"), F.col("_x")
     best = F.when(over.isNull() | (x - under <= over - x), under).otherwise(over)
     return near.select("_row.*", F.when(x.isNotNull() & ~F.isnan(x), best).alias(out))
+
+
+def previous(df: DataFrame, group: str, order: str, columns: list[str], width: int = 1000) -> DataFrame:
+    """``df`` and a struct ``_before`` of the columns of the row before, by a whole-number ``order`` within each group.
+
+    Rows are windowed by group and block of ``width`` numbers; a block's first row gets the last one of the nearest block
+    before that has any, which is handed on by a table of block numbers. So a group of any size is dealt over tasks, and
+    no row's columns go through a window of its whole group. Null orders stand apart, before nothing.
+    """
+    df = df.withColumn("_b", F.floor(F.col(order) / width))
+    row = F.struct(order, *columns)
+    ends = df.where("_b is not null").groupBy(group, "_b").agg(F.max_by(row, order).alias("_end"))
+    numbers = df.where("_b is not null").groupBy(group, "_b").agg(F.lit(1).alias("_one"))
+    follows = numbers.withColumn("_next", F.lead("_b").over(Window.partitionBy(group).orderBy("_b"))).where("_next is not null")
+    follows = follows.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), "_next")
+    ends = ends.join(follows, ends[group].eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c"))).select(F.col("_g"), F.col("_next").alias("_c"), "_end")
+    w = Window.partitionBy(group, "_b").orderBy(order)
+    df = df.withColumn("_before", F.lag(row).over(w)).withColumn("_k", F.row_number().over(w))
+    df = df.join(ends, df[group].eqNullSafe(ends["_g"]) & (F.col("_b") == F.col("_c")) & (F.col("_k") == 1), "left")
+    return df.withColumn("_before", F.when(F.col(order).isNotNull(), F.coalesce("_before", "_end"))).drop("_b", "_g", "_c", "_end", "_k")
