@@ -69,6 +69,30 @@ def test_paths_are_within_a_thousandth_of_the_least_cost(kind, lens):
             assert (p.gap(s, c - band, c + band) <= 1e-3 * p.cost(s) + 1e-5).all()
 
 
+def test_paths_of_the_query_are_the_least_within_their_bounds(spark):
+    """Each track of the table: inside the margin, and no higher than the least cost by what rounding explains."""
+    import pandas as pd
+
+    from strandline.operators import folds
+    from strandline.session import tracks
+
+    sf = "/root/testdata/sf0.001"
+    got = folds.crop_path(spark, sf).toPandas().merge(tracks(spark, sf).select("track", "frame", "v").toPandas(), on=["track", "frame"])
+    checked = 0
+    for _, g in got.sort_values("frame").groupby("track"):
+        known = pd.Series(g["v"].to_numpy(float))
+        filled = known.ffill().bfill().to_numpy()
+        if np.isnan(filled).any():
+            assert g["path"].isna().all()
+            continue
+        s, w = g["path"].to_numpy(float), known.notna().to_numpy().astype(float)
+        assert np.abs(s - filled).max() <= 16.01
+        p = solvers.PathProblem(np.array([0, len(s)]), filled, w, 0.25, 0.25, 30.0, 1.0)
+        assert p.gap(s, filled - 16, filled + 16)[0] <= 5e-3 * p.cost(s)[0] + 0.05 * len(s) ** 0.5
+        checked += 1
+    assert checked > 10
+
+
 def test_bounds_without_a_point_between_give_the_midpoint():
     c = np.arange(6.0)
     got = solvers.smooth_paths(np.array([0, 6]), c, c + np.array([0, 0, 5, 0, 0, 0]), c + np.array([1, 1, -5, 1, 1, 1]))
