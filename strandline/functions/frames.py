@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandline.operators.metrics import frames
+from strandline.plans.ordered import previous
 from strandline.plans.ranges import latent_frames
 from strandline.session import TRACKS, by_frame, table, tracks, whole, work_dir
 
@@ -83,35 +88,51 @@ def match_media(cells: DataFrame, files: DataFrame) -> DataFrame:
     return cells.join(listed.groupBy("suffix").agg(F.max("path").alias("path")), "suffix", "left")
 
 
-def gaussian_weights(side: int, window: int, sigma: float) -> list[list[float]]:
-    """For each cell of a side x side frame the weights of all cells: a Gaussian window, reflected at the borders."""
+def gaussian_line(side: int, window: int, sigma: float) -> np.ndarray:
+    """For each place of a line of ``side`` the weights of all places: a Gaussian window, reflected at the ends."""
     reach = window // 2
-    g = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
-    g = [x / sum(g) for x in g]
-    line = [[0.0] * side for _ in range(side)]
-    for i in range(side):
-        for k, x in zip(range(-reach, reach + 1), g, strict=True):
-            j = abs(i + k)
-            line[i][j if j < side else 2 * side - 2 - j] += x
-    return [[line[r][i] * line[c][j] for i in range(side) for j in range(side)] for r in range(side) for c in range(side)]
+    if reach >= side:
+        raise ValueError(f"a window of {window} does not fit {side} places")
+    g = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
+    line = np.zeros((side, side))
+    at = np.abs(np.arange(side)[:, None] + np.arange(-reach, reach + 1))
+    np.add.at(line, (np.arange(side)[:, None], np.where(at < side, at, 2 * side - 2 - at)), g / g.sum())
+    return line
 
 
-def ssim_windowed(a: Column, b: Column, weights: list[list[float]], c1: float = 0.01**2, c2: float = 0.03**2) -> Column:
-    """Mean of the structural similarities of the cells' windows."""
-    w = F.array(*[F.array(*[F.lit(x) for x in row]) for row in weights])
+def ssim_windowed(df: DataFrame, a: str, b: str, height: int, width: int, out: str = "ssim", window: int = 11, sigma: float = 1.5, c1: float = 0.01**2, c2: float = 0.03**2) -> DataFrame:
+    """``df`` and the mean of the structural similarities of all places' windows, of frames given row by row.
 
-    def blurred(v: Column) -> Column:
-        return F.transform(w, lambda row: F.aggregate(F.zip_with(row, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-
-    square = lambda p, q: blurred(F.zip_with(p, q, lambda x, y: x * y))
-    cells = F.arrays_zip(blurred(a).alias("a"), blurred(b).alias("b"), square(a, a).alias("aa"), square(b, b).alias("bb"), square(a, b).alias("ab"))
-
-    def one(z: Column) -> Column:
-        ma, mb = z["a"], z["b"]
-        va, vb = F.greatest(F.lit(0.0), z["aa"] - ma * ma), F.greatest(F.lit(0.0), z["bb"] - mb * mb)
-        return ((2 * ma * mb + c1) * (2 * (z["ab"] - ma * mb) + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
-
-    return F.aggregate(F.transform(cells, one), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    A window is a Gaussian in rows times one in columns, so a batch of frames is blurred by two matrix products. Null
+    where a frame is null, has a null, or another size.
+    """
+    rows, cols = gaussian_line(height, window, sigma), gaussian_line(width, window, sigma)
+    df = df.drop(out)
+    names = df.columns
+    own = df.withColumns({c: F.col(c).cast("array<double>") for c in (a, b)})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blurred = lambda x: rows @ x @ cols.T
+        for batch in batches:
+            lists = [batch.column(names.index(c)) for c in (a, b)]
+            ok = np.ones(batch.num_rows, bool)
+            for x in lists:
+                ok &= pc.fill_null(pc.equal(pc.list_value_length(x), height * width), False).to_numpy(zero_copy_only=False)
+            for x in lists:  # a null inside a frame
+                parent = pc.list_parent_indices(x).to_numpy()
+                ok[parent[x.flatten().is_null().to_numpy(zero_copy_only=False)]] = False
+            at = np.flatnonzero(ok)
+            made = np.full(batch.num_rows, np.nan)
+            for i in range(0, len(at), max(1, (1 << 20) // (height * width))):
+                some = pa.array(at[i : i + max(1, (1 << 20) // (height * width))])
+                p, q = (x.take(some).flatten().to_numpy(zero_copy_only=False).reshape(-1, height, width) for x in lists)
+                mp, mq = blurred(p), blurred(q)
+                vp, vq = np.maximum(0, blurred(p * p) - mp * mp), np.maximum(0, blurred(q * q) - mq * mq)
+                s = ((2 * mp * mq + c1) * (2 * (blurred(p * q) - mp * mq) + c2)) / ((mp * mp + mq * mq + c1) * (vp + vq + c2))
+                made[some.to_numpy()] = s.mean((1, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, mask=~ok)], [*names, out])
+
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(out, DoubleType())]))
 
 
 # queries
@@ -263,9 +284,13 @@ BLOB_ROUND_TRIP = "select doc_id as key, octet_length(encode(coalesce(text, ''))
 
 def ssim_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed similarity of a label's consecutive 8 x 8 frames; the window of 11 shrinks to 7, the largest odd one that fits."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    f = frames(spark, sf_dir).withColumn("prev", F.lag("px").over(w)).where("prev is not null")
-    return f.select("vec_id", F.round(ssim_windowed(F.col("prev"), F.col("px"), gaussian_weights(8, 7, 1.5)), 4).alias("ssim"))
+    f = previous(frames(spark, sf_dir), "label", "vec_id", ["px"]).where("_before is not null")
+    f = f.select("vec_id", "px", F.col("_before.px").alias("prev"))
+    return ssim_windowed(f, "prev", "px", 8, 8, window=7).select("vec_id", F.round("ssim", 4).alias("ssim"))
+
+
+#: The same weights in SQL: for each cell those of all cells.
+_WEIGHTS = np.einsum("ri,cj->rcij", gaussian_line(8, 7, 1.5), gaussian_line(8, 7, 1.5)).reshape(64, 64).tolist()
 
 
 def _blur(v: str) -> str:
@@ -273,7 +298,7 @@ def _blur(v: str) -> str:
 
 
 SSIM_WINDOWS = f"""
-with fr as (select label, vec_id, list_transform(embedding, lambda x: (x::double + 1) / 2) b, {gaussian_weights(8, 7, 1.5)}::double[][] as w from embeddings),
+with fr as (select label, vec_id, list_transform(embedding, lambda x: (x::double + 1) / 2) b, {_WEIGHTS}::double[][] as w from embeddings),
 p as (select *, lag(b) over (partition by label order by vec_id) a from fr),
 q as (select vec_id, w, a, b, list_transform(a, lambda x: x * x) a2, list_transform(b, lambda x: x * x) b2, list_transform(list_zip(a, b), lambda z: z[1] * z[2]) c from p where a is not null),
 m as (select vec_id, list_zip({_blur("a")}, {_blur("b")}, {_blur("a2")}, {_blur("b2")}, {_blur("c")}) z from q)

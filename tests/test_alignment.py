@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions import logs
+from strandline.functions import frames, logs
 from strandline.operators import alignment
 from strandline.plans import ordered
 
@@ -120,3 +120,29 @@ def test_models_of_a_log(spark):
              "Requested to load B", "Requested to load C", "loaded completely 3 3.25 MB loaded", "dtype fp32"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)] + [(2, 0, "Requested to load A")], "run int, i int, line string")
     assert sorted(tuple(r) for r in logs.models(df, "run", F.col("i"), F.col("line")).collect()) == [(1, 1, "A", 7.5, "bf16"), (1, 2, "C", 3.25, "fp32")]
+
+
+def test_windowed_similarity_of_frames_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    h, w, reach = 17, 23, 5
+    g = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * 1.5**2))
+    g = np.outer(g, g) / g.sum() ** 2
+
+    def blurred(x):
+        x = np.pad(x, reach, mode="reflect")
+        return np.array([[(x[r : r + 11, c : c + 11] * g).sum() for c in range(w)] for r in range(h)])
+
+    rows, want = [], {}
+    for k in range(4):
+        a = rng.random((h, w))
+        b = a if k == 0 else np.clip(a + rng.normal(size=(h, w)) * 0.1 * k, 0, 1)
+        ma, mb = blurred(a), blurred(b)
+        va, vb, cov = np.maximum(0, blurred(a * a) - ma * ma), np.maximum(0, blurred(b * b) - mb * mb), blurred(a * b) - ma * mb
+        want[k] = (((2 * ma * mb + 1e-4) * (2 * cov + 9e-4)) / ((ma**2 + mb**2 + 1e-4) * (va + vb + 9e-4))).mean()
+        rows.append((k, a.ravel().tolist(), b.ravel().tolist()))
+    rows += [(8, None, rows[0][1]), (9, [0.5], rows[0][1]), (10, [None, *rows[0][1][1:]], rows[0][1])]
+    df = spark.createDataFrame(rows, "k int, a array<double>, b array<double>")
+    got = {r["k"]: r["ssim"] for r in frames.ssim_windowed(df, "a", "b", h, w).collect()}
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items()) and got[0] == pytest.approx(1) and got[8] is got[9] is got[10] is None
+    with pytest.raises(ValueError, match="does not fit"):
+        frames.ssim_windowed(df, "a", "b", 5, 40)
