@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from strandline.functions import configs, documents, frames, logs, noise, records, text
 from strandline.operators import alignment, boxes, folds, hulls, masks, metrics, sequences
-from strandline.plans import ranges, sweeps
+from strandline.plans import loads, ranges, sweeps
 from strandline.sources import files
 from strandline.streaming import flows
 
-_ALL = {k: v for m in (sequences, folds, boxes, masks, hulls, alignment, metrics, ranges, sweeps, text, records, configs, frames, documents, logs, noise, files, flows) for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in (sequences, folds, boxes, masks, hulls, alignment, metrics, ranges, loads, sweeps, text, records, configs, frames, documents, logs, noise, files, flows) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict:

@@ -146,3 +146,41 @@ def test_windowed_similarity_of_frames_of_any_size(spark):
     assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items()) and got[0] == pytest.approx(1) and got[8] is got[9] is got[10] is None
     with pytest.raises(ValueError, match="does not fit"):
         frames.ssim_windowed(df, "a", "b", 5, 40)
+
+
+def test_parameters_are_read_typed(spark):
+    from strandline.plans import loads
+
+    rows = [(1, {"n": " 3 ", "x": "1.5", "b": "TRUE", "s": "a b"}), (2, {"n": "3.0", "x": "", "b": "2"}), (3, {"n": "3.5", "x": "y"}), (4, {}), (5, None), (6, {"n": "99999999999"})]
+    df = spark.createDataFrame(rows, "k int, p map<string,string>")
+    got = {r["k"]: tuple(r)[2:] for r in loads.iteration(df, "p", {"n": "int", "x": "double", "b": "boolean", "s": "string"}).collect()}
+    assert got == {
+        1: (3, 1.5, True, "a b", []), 2: (3, None, None, None, ["b"]), 3: (None, None, None, None, ["n", "x"]), 4: (None,) * 4 + ([],), 5: (None,) * 4 + ([],), 6: (None,) * 4 + (["n"],),
+    }
+    with pytest.raises(Exception, match="unreadable parameters: n, x"):
+        loads.iteration(df, "p", {"n": "int", "x": "double"}, strict=True).where("k = 3").collect()
+
+
+def test_slices_are_those_of_lists(spark):
+    from strandline.plans import loads
+
+    df = spark.createDataFrame([(t, 10 * k) for t, n in ((1, 0), (2, 1), (3, 7), (4, 12)) for k in range(n)], "track long, frame long")
+    for a, b, s in ((None, None, 1), (2, 9, 3), (-5, -1, 2), (0, -20, 1), (-30, None, 4), (5, 2, 1)):
+        got = sorted((r["track"], r["place"], r["frame"]) for r in loads.slice_frames(df, a, b, s).collect())
+        assert got == [(t, i, x) for t, n in ((2, 1), (3, 7), (4, 12)) for i, x in enumerate([10 * k for k in range(n)][a:b:s])], (a, b, s)
+    tokens = list(range(23))
+    for a, b in ((0, 2), (1, -1), (-2, 99), (3, 1), (-99, 99)):
+        r = spark.range(1).select(loads.slice_tokens(F.array(*map(F.lit, tokens)), 5, a, b).alias("x")).first()["x"]
+        assert r == [x for f in [tokens[k : k + 5] for k in range(0, 20, 5)][a:b] for x in f], (a, b)
+
+
+def test_a_merge_with_another_count_fails(spark):
+    from strandline.plans import loads
+
+    own = spark.createDataFrame([(1, 0, 5.0), (1, 1, 6.0), (2, 0, 7.0)], "g int, k int, v double")
+    done = spark.createDataFrame([(1, 1, 60.0)], "g int, k int, v double")
+    promised = lambda *rows: spark.createDataFrame(rows, "g int, n long")
+    got = loads.merged_back(own, done, ["g", "k"], "v", promised((1, 1), (2, 0)), "g").collect()
+    assert sorted((r["g"], r["k"], r["v"]) for r in got) == [(1, 0, 5.0), (1, 1, 60.0), (2, 0, 7.0)]
+    with pytest.raises(Exception, match="group 1: 1 processed rows instead of 2"):
+        loads.merged_back(own, done, ["g", "k"], "v", promised((1, 2)), "g").collect()
