@@ -7,16 +7,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, MapType, StructType
 
+from strandline.functions.documents import matches
 from strandline.session import table, work_dir
 
 
-def finite(df: DataFrame) -> DataFrame:
-    """Doubles that are not finite become null, as JSON has no form for them."""
-    own = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")]
-    bad = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
-    return df.withColumns({c: F.when(~bad(F.col(c)), F.col(c)) for c in own})
+def _safe(x: Column, kind: DataType, depth: int) -> Column:
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~(F.isnan(x) | (F.abs(x) == float("inf"))), x)
+    if depth <= 0 and isinstance(kind, (StructType, ArrayType, MapType)):
+        return F.to_json(x)  # deeper than a reader should go: as text
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*[_safe(x[f.name], f.dataType, depth - 1).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda v: _safe(v, kind.elementType, depth - 1))
+    if isinstance(kind, MapType):
+        return F.transform_values(x, lambda _, v: _safe(v, kind.valueType, depth - 1))
+    return F.base64(x) if isinstance(kind, BinaryType) else x
+
+
+def _has_odd(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_odd(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _has_odd(kind.elementType)
+    if isinstance(kind, MapType):
+        return _has_odd(kind.valueType)
+    return isinstance(kind, (DoubleType, FloatType, BinaryType))
+
+
+def finite(df: DataFrame, depth: int = 8) -> DataFrame:
+    """What JSON has no form for is replaced, at any depth: doubles that are not finite by null, bytes by base64.
+
+    Structures more than ``depth`` levels down become JSON texts. Columns without such values are left as they are.
+    """
+    return df.withColumns({f.name: _safe(F.col(f"`{f.name}`"), f.dataType, depth) for f in df.schema.fields if _has_odd(f.dataType)})
+
+
+def csv_text(df: DataFrame, columns: list[str], out: str = "line") -> DataFrame:
+    """``df`` and a column with the named columns as one CSV line, quoted where it must be; null is empty."""
+    return df.withColumn(out, F.to_csv(F.struct(*columns)))
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -46,10 +77,20 @@ def write_new(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, length and modificationTime of files below a folder, in path order without regard to case; no content is read."""
+def inventory(spark: SparkSession, root: str, pattern: str = "*", include: list[str] | None = None, exclude: list[str] | None = None, depth: int | None = None) -> DataFrame:
+    """path, length and modificationTime of files below a folder, in path order without regard to case; no content is read.
+
+    ``include`` and ``exclude`` are globs on the path below ``root`` (``**`` crosses folders), ``depth`` is how many
+    folders down a file may lie.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "length", "modificationTime").orderBy(F.lower("path"))
+    files = files.select("path", "length", "modificationTime")
+    if include or exclude or depth is not None:
+        whole = spark._jvm.org.apache.hadoop.fs.Path(root)
+        whole = whole.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(whole).toString().rstrip("/")
+        below = F.col("path").substr(F.lit(len(whole) + 2), F.length("path"))
+        files = files.where(matches(below, include or ["**"], exclude, depth))
+    return files.orderBy(F.lower("path"))
 
 
 def with_fallback(files: DataFrame, folder: Column, first: str, second: str, exclude: str = "^$") -> DataFrame:

@@ -169,3 +169,46 @@ def test_hulls_do_not_depend_on_how_points_are_dealt(spark):
     assert all(len(v) == 2 and v[0] == v[1] for v in got.values()) and set(got) == {"big", "ring", "square", "line", "one", None}
     assert got["square"][0] == (4, 4.0) and got["line"][0] == (2, 0.0) and got["one"][0] == (1, 0.0) and got["ring"][0][0] == 400
     assert got["ring"][0][1] == pytest.approx(np.pi, rel=1e-3)
+
+
+def test_inventory_by_globs_and_depth(spark, tmp_path):
+    from strandline.sources import files
+
+    for name in ("a.png", "x/b.PNG", "x/c.txt", "x/y/d.png", "x/y/z/e.png", "tmp/f.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1")
+    names = lambda **k: [r["path"].split(f"{tmp_path}/")[1] for r in files.inventory(spark, f"file://{tmp_path}", **k).collect()]
+    assert names(include=["**/*.png"]) == ["a.png", "tmp/f.png", "x/y/d.png", "x/y/z/e.png"]
+    assert names(include=["**/*.png"], exclude=["tmp/**"], depth=2) == ["a.png", "x/y/d.png"]
+    assert names(depth=0) == ["a.png"] and len(names()) == 6
+
+
+def test_values_that_json_lacks_go_at_any_depth(spark, tmp_path):
+    from strandline.sources import files
+
+    nan, inf = float("nan"), float("inf")
+    kind = "k int, a struct<x: double, y: array<double>>, m map<string, struct<v: float>>, b binary, s string"
+    df = spark.createDataFrame([(1, (nan, [1.0, inf, None]), {"p": (2.5,), "q": (-inf,)}, bytearray(b"hi"), "t"), (2, None, None, None, None)], kind)
+    r = {x["k"]: x for x in files.finite(df).collect()}
+    assert r[1]["a"].asDict(True) == {"x": None, "y": [1.0, None, None]} and {k: v["v"] for k, v in r[1]["m"].items()} == {"p": 2.5, "q": None}
+    assert r[1]["b"] == "aGk=" and r[2]["a"] is None and r[2]["m"] is None and r[1]["s"] == "t"
+    assert files.finite(df, 1).select("a.y").first()["y"].startswith("[1.0")
+    files.append_jsonl(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    lines = {x["k"]: x["line"] for x in files.csv_text(spark.createDataFrame([(1, 'a "b", c', None), (2, "d", 1.5)], "k int, t string, v double"), ["k", "t", "v"]).collect()}
+    assert lines == {1: '1,"a \\"b\\", c",', 2: "2,d,1.5"}
+
+
+def test_small_helpers(spark, tmp_path):
+    from strandline.plans import sweeps
+    from strandline.sources import files
+
+    df = spark.range(2)
+    files.write_new(df, str(tmp_path / "once"))
+    with pytest.raises(Exception, match="already exists"):
+        files.write_new(df, str(tmp_path / "once"))
+    assert sweeps.float_range(0.1, 0.5, 0.2) == pytest.approx([0.1, 0.3, 0.5])
+    assert sweeps.step_splits(10, 4, 12, 3) == ["4,6", "7,3"]
+    files.append_csv(df, str(tmp_path / "c"))
+    files.append_csv(df, str(tmp_path / "c"))
+    assert files.read_csv(spark, str(tmp_path / "c"), "id long").count() == 4
