@@ -173,7 +173,13 @@ def expiring(events: DataFrame, ttl_s: int = 21_600, delay: str = "2 days", cloc
 
 def stream_state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums by user, which are forgotten six hours after the user's last event."""
-    found = drained(spark, sf_dir, expiring, "ttl")
+    # a state store a task: no more of them than two for each core, as each is opened again in every batch
+    name, own = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(name, str(min(int(own), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        found = drained(spark, sf_dir, expiring, "ttl")
+    finally:
+        spark.conf.set(name, own)
     return found.select("user_id", "n", F.round(F.col("total") + 1e-7, 2).alias("total"), F.floor(F.col("first") / 1_000_000).alias("first"), F.floor(F.col("last") / 1_000_000).alias("last"))
 
 
