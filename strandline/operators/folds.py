@@ -337,14 +337,17 @@ def crop_path(spark: SparkSession, sf_dir: str, margin: float = 16.0) -> DataFra
 
 
 def keyframes_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local maxima of each track, the highest first, no two closer than five frames."""
-    found = solvers.per_batch(tracks(spark, sf_dir), ["raw"], "kept", lambda first, x: solvers.spaced(first, x, 5).astype(float), dealt=True)
+    """Frames of each track, the highest first, no two closer than five frames; all frames count, not local maxima alone."""
+
+    def keep(first: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return solvers.spaced(first, x, 5, maxima=False).astype(float)
+
+    found = solvers.per_batch(tracks(spark, sf_dir), ["raw"], "kept", keep, dealt=True)
     return found.where("kept = 1").select("track", "frame")
 
 
 KEYFRAMES_SPACED = f"""
-with recursive {TRACKS}, p as (select track, frame, raw, lag(raw) over w as a, lead(raw) over w as b from t window w as (partition by track order by frame)),
-o as (select track, frame, row_number() over (partition by track order by raw desc, frame) k from p where raw > a and raw > b),
+with recursive {TRACKS}, o as (select track, frame, row_number() over (partition by track order by raw desc, frame) k from t),
 r as (
   select track, 0::bigint k, []::bigint[] kept from o group by track
   union all
