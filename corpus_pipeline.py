@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from strandline.llm import _common, near_docs, packing, quality, secrets, tiling
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a batch to Python workers: five stages in one session leave little of an executor beside its heap.
+BATCH = 2 << 20
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """The rows with a number of their own, stored: doc_id may be null or repeated."""
-    _common.small_batches(docs.sparkSession)
+    _common.small_batches(docs.sparkSession, BATCH)
     return _common.stage(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
@@ -23,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one by their text, so repeated ones fare alike; null and empty texts are scored as a passage of
     zeros. An empty table stays empty. A text takes about seventeen times its bytes in a task.
     """
-    _common.small_batches(spark)
+    _common.small_batches(spark, BATCH)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(COLUMNS), model).where("quality_score >= 0.7").select(COLUMNS)
 
@@ -63,13 +65,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A text takes about twice its bytes in a task.
     """
-    _common.small_batches(spark)
+    _common.small_batches(spark, BATCH)
     return secrets.redact(docs.select(COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document: its place in a sequence of at most 2048 tokens; null and empty texts have one too."""
-    _common.small_batches(spark)
+    _common.small_batches(spark, BATCH)
     pieces = packing.pieces_of(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
 

@@ -7,6 +7,7 @@ order. ``spaced`` keeps the white space before a word with it (byte-level BPE);
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -48,7 +49,7 @@ class BatchTokenizer:
         """Drops what it remembers, so that a worker that waits for other tasks holds no more than the vocabulary."""
         self.keys = self.at = self.n = self.ids = np.zeros(0, np.uint64)
         self.used = 0
-        self.parts: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, bytes] = {}  # ids of 4 bytes: lists of numbers take several times as much
 
     def _ready(self) -> None:
         if not len(self.keys):
@@ -56,18 +57,18 @@ class BatchTokenizer:
             self.keys, self.at, self.n = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
             self.ids = np.zeros(1 << 20, np.uint32)
 
-    def _part(self, part: bytes) -> list[int]:
+    def _part(self, part: bytes) -> bytes:
         own = self.parts.get(part)
         if own is None:
             text = part if self.spaced else part.decode().lower().encode()
-            own = [x.id for x in self.library.model.tokenize(text.decode("latin-1").translate(_ALPHABET))]
+            own = array("I", [x.id for x in self.library.model.tokenize(text.decode("latin-1").translate(_ALPHABET))]).tobytes()
             if len(self.parts) >= 100_000:
                 self.parts.clear()
             self.parts[part] = own
         return own
 
-    def _new(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece: of its letters and punctuation by the model, or of any other piece by the whole pipeline."""
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, 4 bytes each: of its letters and punctuation by the model, or of any other piece by the whole pipeline."""
         out: list = [None] * len(pieces)
         rest = []
         for i, piece in enumerate(pieces):
@@ -82,19 +83,18 @@ class BatchTokenizer:
             out[i] = ids + self._part(marks) if marks else ids
         texts = [pieces[i].decode() for i in rest]
         for i, x in zip(rest, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            out[i] = x.ids
+            out[i] = array("I", x.ids).tobytes()
         return out
 
-    def _keep(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
+    def _keep(self, lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         total = int(n.sum())
         if self.used + total > self.most:
             self.keys[:] = 0
             self.used = 0
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        flat = np.fromiter((x for own in lists for x in own), np.uint32, total)
-        self.ids[self.used : self.used + total] = flat
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(lists), np.uint32)
         at = self.used + np.cumsum(n) - n
         self.used += total
         return at, n
@@ -122,7 +122,7 @@ class BatchTokenizer:
             one = missed[one]
             whole = data.tobytes()
             lists = self._new([whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
-            if self.used and self.used + sum(map(len, lists)) > self.most:
+            if self.used and self.used + sum(map(len, lists)) // 4 > self.most:
                 self.keys[:] = 0
                 self.used = 0
                 if len(lists) < len(h):

@@ -40,6 +40,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
                         p = x[s : s + capacity]
                         rows.append((doc_ids[r], k, s, len(p), zlib.crc32(p.tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            _common.tidy()  # a batch of new words leaves more free memory behind than the tables take
         own.release()
 
     return docs.select(F.col("doc_id").cast("long"), _common.text_or_empty().alias("text")).mapInArrow(_common.lean(cut), PIECES)

@@ -96,3 +96,25 @@ def test_components(spark):
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
     assert _common.edges_to_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_remembered_ids_take_four_bytes_each():
+    own = _tokens.BatchTokenizer(public_tokenizers.path("word_bpe_49k.json"), False)
+    own.encode(*_words.columns(pa.array(["unremarkable Words, here: antidisestablishmentarianism!"])))
+    assert own.parts and all(isinstance(ids, bytes) and len(ids) % 4 == 0 for ids in own.parts.values())
+
+
+def test_pipeline_stages_send_small_batches(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b", "en", "x", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        spark.conf.unset(name)
+        corpus_pipeline.packed(spark, docs, str(tmp_path))
+        assert int(spark.conf.get(name).rstrip("b")) == 2 << 20
+        spark.conf.set(name, "1048576b")
+        corpus_pipeline.packed(spark, docs, str(tmp_path))
+        assert spark.conf.get(name) == "1048576b"  # a session's own choice stays
+    finally:
+        spark.conf.set(name, was)
