@@ -162,10 +162,17 @@ select c_custkey, c_acctbal, s_acctbal as nearest from p where k = 1
 
 
 def _resampled(t: DataFrame, factor: float) -> DataFrame:
-    """Positions of the slowed track's frames on the original one: n' = (n - 1) * factor + 1 of them."""
-    n = t.groupBy("track").agg(F.max("frame").alias("last"))
-    out = n.withColumn("out", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") * factor).cast("bigint"))))
-    return out.withColumn("pos", F.col("out") / factor)
+    """track, out, i, pos, a, b: the slowed track's frames, n' = (n - 1) * factor + 1 of them, between frame i (a) and the next (b).
+
+    Each frame lists the outputs from itself on to before the next one, so nothing is joined: rows listed by track have a
+    size that Spark takes for that of the tracks, and were sent through the driver to every task.
+    """
+    w = by_frame()
+    after = F.lead("frame").over(w)
+    t = t.select("track", F.col("frame").alias("i"), F.col("raw").alias("a"), F.when(after.isNull(), F.col("raw")).otherwise(F.lead("raw").over(w)).alias("b"), F.coalesce(after, "frame").alias("_to"))
+    listed = F.sequence(F.floor(F.col("i") * factor).cast("bigint"), F.floor(F.col("_to") * factor).cast("bigint"))
+    out = t.withColumn("out", F.explode(listed)).withColumn("pos", F.col("out") / factor)
+    return out.where(F.floor("pos") == F.col("i")).drop("_to")
 
 
 def resample_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,11 +185,8 @@ RESAMPLE_SELECT = f"with {TRACKS} select track, frame // 3 as out, raw from t wh
 
 def resample_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each track at 2.5 times its frames, linear between neighbours."""
-    t = tracks(spark, sf_dir).select("track", "frame", "raw")
-    p = _resampled(t, 2.5).withColumn("i", F.floor("pos")).withColumn("j", F.least(F.floor("pos") + 1, "last"))
-    a, b = t.select("track", F.col("frame").alias("i"), F.col("raw").alias("a")), t.select("track", F.col("frame").alias("j"), F.col("raw").alias("b"))
-    j = p.join(a, ["track", "i"]).join(b, ["track", "j"])
-    return j.select("track", "out", F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.col("i")) + 1e-9, 4).alias("x"))
+    p = _resampled(tracks(spark, sf_dir).where("track is not null").select("track", "frame", "raw"), 2.5)
+    return p.select("track", "out", F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.col("i")) + 1e-9, 4).alias("x"))
 
 
 RESAMPLE_LERP = f"""
