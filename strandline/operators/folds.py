@@ -256,18 +256,19 @@ select track, k as segment, min(frame) as first, max(frame) as last from r group
 def deadband_segments(spark: SparkSession, sf_dir: str, radius: float = 60.0) -> DataFrame:
     """Stretches held at one value: their spread is within 2 * radius and all frames' bounds have a point in common.
 
-    The value is the stretch's mean, moved into the common bounds; a frame's bounds are 40 to 100 on either side.
+    The value is the stretch's mean, moved into the common bounds; a frame's bounds are 40 to 100 on either side. Values
+    of two decimals often meet a bound exactly, where the last bit decides, so bounds are added up as the SQL does.
     """
-    room = 40.0 + 10 * (F.col("frame") % 7)
-    t = tracks(spark, sf_dir).select("track", "frame", "raw", (F.col("raw") - room).alias("lower"), (F.col("raw") + room).alias("upper"))
+    raw, more = F.col("raw"), 10 * (F.col("frame") % 7)
+    t = tracks(spark, sf_dir).select("track", "frame", "raw", (raw - (40.0 + more)).alias("lower"), (raw + 40.0 + more).alias("upper"))
 
     def of(first: np.ndarray, x: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
         return solvers.numbered(first, solvers.deadband_breaks(first, x, lower, upper, radius))
 
-    s = solvers.per_batch(t.withColumn("_raw", F.col("raw")), ["raw", "lower", "upper"], "segment", of, dealt=True, keep=["_raw"])
+    s = solvers.per_batch(t.withColumn("_raw", raw), ["raw", "lower", "upper"], "segment", of, dealt=True, keep=["_raw"])
     raw = F.col("_raw")
     s = s.groupBy("track", F.col("segment").cast("long").alias("segment")).agg(
-        F.min("frame").alias("first"), F.max("frame").alias("last"), F.avg(raw).alias("mean"), F.max(raw - room).alias("low"), F.min(raw + room).alias("high"),
+        F.min("frame").alias("first"), F.max("frame").alias("last"), F.avg(raw).alias("mean"), F.max(raw - (40.0 + more)).alias("low"), F.min(raw + 40.0 + more).alias("high"),
     )
     return s.select("track", "segment", "first", "last", F.round(F.greatest("low", F.least("high", "mean")) + 1e-7, 4).alias("value"))
 

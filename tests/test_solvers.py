@@ -233,3 +233,35 @@ def test_state_expires_by_event_time_also_across_a_restart(spark, tmp_path):
     assert got == {(1, 2, 3.0), (1, 1, 4.0), (2, 1, 8.0), (3, 2, 48.0)}
     kept = spark.read.format("statestore").option("stateVarName", "open").load(state).select("key.user_id").collect()
     assert {r["user_id"] for r in kept} == {1, 9}
+
+
+def against_sql(spark, folder, name, values):
+    """The query's rows on tracks of these values, and its SQL's."""
+    import datetime as dt
+
+    import duckdb
+
+    from strandline import catalog
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1000 * t + k, start + dt.timedelta(minutes=k), t, "view", v, None) for t, x in values.items() for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.repartition(3).write.parquet(f"{folder}/events.parquet")
+    found = catalog.queries()[name](spark, str(folder))
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    want = duck.sql(f"select {', '.join(found.columns)} from ({catalog.oracle_sql()[name]})").fetchall()
+    return sorted(map(tuple, found.collect())), sorted(want)
+
+
+def test_deadband_bounds_are_those_of_the_sql_to_the_last_bit(spark, tmp_path):
+    """Values whose bounds meet exactly (124.51 - 50 and 4.51 + 70, the first two tracks as drawn), and missing ones."""
+    values = {
+        1: [112.23, 66.02, 124.51, 111.19, 4.51, 11.24], 2: [0.0] * 49 + [112.23, 124.51, 111.19, 4.51, 11.24], 3: [None, 5.0, None, 200.0, None, None, 210.0], 4: [None, None],
+    }
+    rng = np.random.default_rng(6)
+    for t in range(5, 105):  # pairs 80 to 120 apart at each place, so that bounds meet
+        low = np.round(rng.uniform(0, 400, 40), 2)
+        values[t] = [float(round(v + d, 2)) for v in low for d in (0, rng.choice([80, 90, 100, 110, 120]), 0)]
+    got, want = against_sql(spark, tmp_path, "deadband_segments", values)
+    assert got == want
