@@ -233,11 +233,11 @@ select track, frame, round((o.y + r.y) / 2, 4) as smooth from o join r using (tr
 
 
 def _ratio_segments(first: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    return solvers.numbered(first, solvers.ratio_breaks(first, raw, 0.7))
+    return solvers.numbered(first, solvers.ratio_breaks(first, raw, 0.7, every=True))
 
 
 def greedy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of which no value is off the mean so far by a factor of two or more."""
+    """Segments of which no value is off the mean so far by a factor of two or more; zero is off any mean, also of zeros."""
     s = solvers.per_batch(tracks(spark, sf_dir), ["raw"], "segment", _ratio_segments, dealt=True)
     return s.groupBy("track", F.col("segment").cast("long").alias("segment")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
 

@@ -265,3 +265,20 @@ def test_deadband_bounds_are_those_of_the_sql_to_the_last_bit(spark, tmp_path):
         values[t] = [float(round(v + d, 2)) for v in low for d in (0, rng.choice([80, 90, 100, 110, 120]), 0)]
     got, want = against_sql(spark, tmp_path, "deadband_segments", values)
     assert got == want
+
+
+def odd_tracks():
+    """Zeros, missing values, changes of sign, and segments longer than are looked for at once."""
+    rng = np.random.default_rng(7)
+    values = {1: [0.0], 2: [0.0, 0.0, 0.0, 1.0, 1.0], 3: [5.0, 6.0, 0.0, 5.0, 6.0, 5.5, 0.0], 4: [None, 1.0, 9.0], 5: [3.0, 9.0, None, 1.0, 9.0, None], 6: [-1.0, -1.0, -9.0, 2.0, 2.0, -2.0]}
+    values[7] = [float(round(v, 2)) for v in rng.uniform(90, 110, 400)] + [0.0] + [float(round(v, 2)) for v in rng.uniform(90, 110, 200)]
+    for t in range(8, 60):
+        values[t] = [float(v) for v in np.round(rng.exponential(50, 70), 2)]
+        for k in rng.integers(0, 70, rng.integers(0, 6)).tolist():
+            values[t][k] = 0.0
+    return values
+
+
+def test_greedy_segments_are_those_of_the_sql_also_at_zeros(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "greedy_segments", odd_tracks())
+    assert got == want
