@@ -6,8 +6,10 @@ Linear recursions stream through ``solvers.linear``; what needs whole tracks wor
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
+import operator
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -93,11 +95,13 @@ def median_filter(x: np.ndarray, size: int = 5) -> np.ndarray:
 def merge_short(labels: np.ndarray, values: np.ndarray, least: int = 3) -> np.ndarray:
     """Joins segments shorter than ``least``, smallest first, to the neighbour whose mean is nearer as a ratio.
 
-    Segments wait in a heap by size and place and are linked to their neighbours, so a track takes n log n steps.
+    Segments wait in a heap by size and place and are linked to their neighbours, so a track takes n log n steps. Sums run
+    from frame to frame, as in SQL, as their last bits decide between neighbours at equal ratios; a missing value adds nothing.
     """
     first = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1]) if len(labels) else np.zeros(0, int)
     size = np.diff(np.append(first, len(labels))).tolist()
-    total = np.add.reduceat(np.asarray(values, float), first).tolist() if len(first) else []
+    known = np.where(np.isnan(values), 0.0, values).tolist()
+    total = [functools.reduce(operator.add, known[a : a + n]) for a, n in zip(first.tolist(), size, strict=True)]
     left, right = list(range(-1, len(first) - 1)), [*range(1, len(first)), -1]
     heap = [(n, k) for k, n in enumerate(size) if n < least]
     heapq.heapify(heap)
